@@ -13,12 +13,14 @@ is at least the threshold.  Classes are the connected components of that relatio
    is its weight to random registers; a register keeps the shingle that came
    first.  A shingle stops as soon as its next arrival is later than the last
    register's first.  Two texts agree in a register with probability J.
-3. Bands of registers name buckets.  Within a bucket, texts are not paired with
-   each other but with leaders, a round at a time: a round compares every text not
-   yet in its bucket's leading class with the next leader.  1 - J is a metric, so
-   what leaders have measured rules most further pairs out; the few that remain
-   between classes of a bucket are compared one by one.  No link is lost.
-4. Pairs are verified exactly; linked texts are joined by label propagation.
+3. Bands of registers name buckets.  Every text of a bucket is compared with the
+   bucket's leader, its smallest id, which settles most buckets.
+4. In the other buckets, texts outside the leading class are held against the
+   texts of other classes by their signatures, block by block inside a task, and
+   only pairs whose estimate comes near the threshold leave it: first the best of
+   each text, and once those have joined classes, all the rest.  1 - J is a metric,
+   so what the leader has measured rules further pairs out.
+5. Pairs are verified exactly; linked texts are joined by label propagation.
 """
 
 from __future__ import annotations
@@ -36,7 +38,11 @@ from hypnoframe.llm.store import discard, settled
 
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 50, 8
+#: texts of a bucket that a task holds from each of two tiles
+TILE = 4096
+#: how many standard errors below the threshold an estimate may lie
+SIGMAS = 3.5
 
 
 def weighted(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,15 +107,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _content(texts: DataFrame) -> DataFrame:
-    """rep, keys, weights of each text."""
+    """rep, keys, weights (none where all are 1) and sig (a byte a register) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, n, r, s, w in weighted(b.column(1)):
                 cut = np.searchsorted(r, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(w.astype(np.int32)))], names=["rep", "keys", "weights"])
+                heavy = np.bincount(r, weights=w, minlength=n) > np.diff(cut)
+                some = heavy[r]
+                place = np.concatenate([[0], np.cumsum(np.where(heavy, np.diff(cut), 0))]).astype(np.int32)
+                sig = (tb.mix(prob_minhash(n, r, s, w)) >> U(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(a, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(place), pa.array(w[some].astype(np.int32))), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    names=["rep", "keys", "weights", "sig"],
+                )
 
-    return texts.select("rep", "t").mapInArrow(run, "rep long, keys array<long>, weights array<int>")
+    return texts.select("rep", "t").mapInArrow(run, "rep long, keys array<long>, weights array<int>, sig binary")
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -147,7 +160,7 @@ def _verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
                 keys = k.values.to_numpy().astype(U)
                 weights = w.values.to_numpy().astype(np.float64)
                 base = w.offsets.to_numpy()
-                parts.append([(keys[off[i] : off[i + 1]], weights[base[i] : base[i + 1]]) for i in range(len(k))])
+                parts.append([(keys[off[i] : off[i + 1]], weights[base[i] : base[i + 1]] if base[i] < base[i + 1] else np.ones(off[i + 1] - off[i])) for i in range(len(k))])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([similarity(x, y) for x, y in zip(*parts, strict=True)], pa.float64())], names=["a", "b", "sim"])
 
     x = content.select(F.col("rep").alias("a"), F.col("keys").alias("kx"), F.col("weights").alias("wx"))
@@ -193,7 +206,61 @@ def _relabelled(state: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("bucket", "rep", "leader", "sim", F.coalesce("label", "rep").alias("label"), F.coalesce("ll", "leader").alias("ll"))
 
 
-def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """a, b: pairs of a bucket with different labels whose signatures agree nearly as often as the threshold asks.
+
+    Each text outside the class of its bucket's leader is held against all texts of
+    the bucket.  A bucket of more than TILE texts is dealt in tiles to as many tasks
+    as it has pairs of tiles, so that a task holds two tiles at most.
+    """
+    registers = BANDS * ROWS
+    least = threshold - SIGMAS * (threshold * (1 - threshold) / registers) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def matched() -> pa.RecordBatch:
+            rep, label, ll, sim, tile = (np.array(c) for c in zip(*((x[1], x[2], x[3], x[4], x[5]) for x in held), strict=True))
+            sig = np.frombuffer(b"".join(x[6] for x in held), np.uint8).reshape(len(held), registers)
+            out: list[tuple[int, int]] = []
+            for i in np.flatnonzero(label != ll):
+                # the other side: another class, the other tile if there are two, each pair once
+                other = (label != label[i]) & (np.abs(sim - sim[i]) <= 1.0 - threshold + 1e-9)
+                if at[1] != at[2]:
+                    other &= tile != tile[i]
+                j = np.flatnonzero(other)
+                agree = (sig[j] == sig[i]).mean(1) if len(j) else np.zeros(0)
+                good = np.flatnonzero(agree >= least)
+                if best_only and len(good):
+                    good = good[[agree[good].argmax()]]
+                out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j[good]]
+            out = sorted(set(out))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig")]
+            for bucket, lo, hi, *row in zip(*cols, strict=True):
+                if at != (bucket, lo, hi):
+                    if held:
+                        yield matched()
+                    at, held = (bucket, lo, hi), []
+                held.append((at, *row))
+        if held:
+            yield matched()
+
+    open_buckets = now.groupBy("bucket").agg(F.count("*").alias("m"), F.max((F.col("label") != F.col("ll")).cast("int")).alias("r")).where("r > 0")
+    rows = now.join(open_buckets, "bucket").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("lo"), F.greatest(t, "tile").alias("hi")))
+    rows = rows.withColumn("side", F.explode(sides)).select("bucket", "side.lo", "side.hi", "rep", "label", "ll", "sim", "tile")
+    rows = settled(rows, "rows").join(content.select("rep", "sig"), "rep")
+    n = max(1, int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
+    return dealt.select("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b, sim) that join all classes, and v, label of the texts with one.
 
     ``buckets``: bucket, rep.  ``texts``: rep, t.
@@ -201,47 +268,31 @@ def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, r
     spark = buckets.sparkSession
     leaders = settled(buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     members = settled(buckets.join(leaders, "bucket").select("bucket", "rep", "leader"), "members")
+    discard(leaders)
     if not _some(members):
         return spark.createDataFrame([], "a long, b long, sim double"), spark.createDataFrame([], "v long, label long")
     content = settled(_content(texts.join(members.select("rep").distinct(), "rep", "left_semi")), "content")
     pairs = settled(members.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     measured = settled(_verified(pairs, content), "measured")
     discard(pairs)
-    links = measured.where(F.col("sim") >= threshold)
-    labels = _labelled(links, spark)
+    labels = _labelled(measured.where(F.col("sim") >= threshold), spark)
     first = measured.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "sim")
-    state = settled(members.join(first, ["rep", "leader"], "left").select("bucket", "rep", "leader", F.coalesce("sim", F.lit(1.0)).alias("sim")), "state")
-    now = settled(_relabelled(state, labels), "now")
-    rest = now.where("label != ll")
-    near = F.abs(F.col("sim") - F.col("s2")) <= 1.0 - threshold + 1e-9  # the triangle inequality rules the others out
-    most = max(200_000, 4 * texts.select("rep").count())
-    for n in range(rounds + 1):
-        if not _some(rest):
+    state = members.join(first, ["rep", "leader"], "left").select("bucket", "rep", "leader", F.coalesce("sim", F.lit(1.0)).alias("sim"))
+    for best_only in (True, False):
+        now = settled(_relabelled(state, labels), "now")
+        if not _some(now.where("label != ll")):
+            discard(now)
             break
-        sizes = now.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("ll")).cast("long")).alias("r"))
-        left = sizes.agg(F.sum(F.col("m") * F.col("r"))).first()[0]
-        if left <= most or n == rounds:
-            led = rest.select("bucket", F.col("rep").alias("b"), F.col("label").alias("l2"), F.col("sim").alias("s2"))
-        else:
-            led = settled(rest.groupBy("bucket").agg(F.min(F.struct("rep", "label", "sim")).alias("m")).select("bucket", F.col("m.rep").alias("b"), F.col("m.label").alias("l2"), F.col("m.sim").alias("s2")), "led")
-        found = now.join(led, "bucket").where((F.col("label") != F.col("l2")) & near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
         known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settled(found.join(known, ["a", "b"], "left_anti"), "pairs")
+        pairs = settled(_promising(now, content, threshold, best_only).join(known, ["a", "b"], "left_anti"), "pairs")
         got = settled(_verified(pairs, content), "measured")
         discard(pairs)
         measured = settled(measured.unionByName(got), "measured")
-        links = measured.where(F.col("sim") >= threshold)
-        if left <= most or n == rounds:
-            labels = _labelled(links, spark)
-            break
         if _some(got.where(F.col("sim") >= threshold)):
-            labels = _labelled(links, spark)
-        led = led.select("bucket", F.col("b").alias("rep"))
-        done = led if n == 0 else done.unionByName(led)  # noqa: F821
-        now = settled(_relabelled(state, labels), "now")
-        rest = now.where("label != ll").join(done, ["bucket", "rep"], "left_anti")
+            labels = _labelled(measured.where(F.col("sim") >= threshold), spark)
+        state = now.select("bucket", "rep", "leader", "sim")
     discard(content)
-    return links, labels
+    return measured.where(F.col("sim") >= threshold), labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,9 +307,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     signed = settled(_signed(rows.where("t is not null")), "signed")
     groups = settled(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "groups")
     texts = rows.select(F.col("id").alias("rep"), "t").where("t is not null")
-    buckets = settled(groups.where("rep is not null").select("rep", F.explode("buckets").alias("bucket")), "buckets")
+    buckets = groups.where("rep is not null").select("rep", F.explode("buckets").alias("bucket"))
     _, labels = linked(buckets, texts, threshold)
-    discard(buckets)
     classes = groups.select("digest", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     classes = settled(classes, "classes")
     out = signed.select("id", "digest").join(classes, "digest").select("id", "class_id")
