@@ -84,6 +84,16 @@ def prob_minhash(n_rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.n
     return out.reshape(n_rows, registers)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket of each band of each signature."""
+    with np.errstate(over="ignore"):
+        bands = sig.reshape(len(sig), BANDS, ROWS)
+        key = np.zeros((len(sig), BANDS), U)
+        for j in range(ROWS):
+            key = tb.mix((key ^ bands[:, :, j]) * U(0x9E3779B97F4A7C15) + U(j + 1))
+        return tb.mix(key + np.arange(1, BANDS + 1, dtype=U))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact probability Jaccard of two weighted sets (ascending keys, weights)."""
     (ka, wa), (kb, wb) = a, b
@@ -107,7 +117,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _content(texts: DataFrame) -> DataFrame:
-    """rep, keys, weights (none where all are 1) and sig (a byte a register) of each text."""
+    """rep, keys, weights (none where all are 1), sig (a byte a register) and bands (four bytes a bucket) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,13 +126,14 @@ def _content(texts: DataFrame) -> DataFrame:
                 heavy = np.bincount(r, weights=w, minlength=n) > np.diff(cut)
                 some = heavy[r]
                 place = np.concatenate([[0], np.cumsum(np.where(heavy, np.diff(cut), 0))]).astype(np.int32)
-                sig = (tb.mix(prob_minhash(n, r, s, w)) >> U(56)).astype(np.uint8)
+                full = prob_minhash(n, r, s, w)
+                sig, bands = (tb.mix(full) >> U(56)).astype(np.uint8), (band_keys(full) >> U(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(place), pa.array(w[some].astype(np.int32))), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["rep", "keys", "weights", "sig"],
+                    [b.column(0).slice(a, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(place), pa.array(w[some].astype(np.int32))), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())],
+                    names=["rep", "keys", "weights", "sig", "bands"],
                 )
 
-    return texts.select("rep", "t").mapInArrow(run, "rep long, keys array<long>, weights array<int>, sig binary")
+    return texts.select("rep", "t").mapInArrow(run, "rep long, keys array<long>, weights array<int>, sig binary, bands binary")
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -136,12 +147,7 @@ def _signed(rows: DataFrame) -> DataFrame:
             for a, n, r, s, w in weighted(col):
                 sig = prob_minhash(n, r, s, w)
                 some = np.bincount(r, minlength=n) > 0
-                with np.errstate(over="ignore"):
-                    bands = sig.reshape(n, BANDS, ROWS)
-                    key = np.zeros((n, BANDS), U)
-                    for j in range(ROWS):
-                        key = tb.mix((key ^ bands[:, :, j]) * U(0x9E3779B97F4A7C15) + U(j + 1))
-                    key = tb.mix(key + np.arange(1, BANDS + 1, dtype=U))
+                key = band_keys(sig)
                 cut = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), digests.slice(a, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(key[some].reshape(-1).view(np.int64)))], names=["id", "digest", "buckets"])
 
@@ -223,6 +229,8 @@ def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only:
         def matched() -> pa.RecordBatch:
             rep, label, ll, sim, tile = (np.array(c) for c in zip(*((x[1], x[2], x[3], x[4], x[5]) for x in held), strict=True))
             sig = np.frombuffer(b"".join(x[6] for x in held), np.uint8).reshape(len(held), registers)
+            bands = np.frombuffer(b"".join(x[7] for x in held), np.uint32).reshape(len(held), BANDS)
+            here = np.uint32((at[0] & (1 << 64) - 1) >> 32)
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(label != ll):
                 # the other side: another class, the other tile if there are two, each pair once
@@ -232,6 +240,8 @@ def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only:
                 j = np.flatnonzero(other)
                 agree = (sig[j] == sig[i]).mean(1) if len(j) else np.zeros(0)
                 good = np.flatnonzero(agree >= least)
+                # texts that share several buckets meet in the first of them
+                good = good[bands[i][(bands[j[good]] == bands[i]).argmax(1)] == here] if len(good) else good
                 if best_only and len(good):
                     good = good[[agree[good].argmax()]]
                 out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j[good]]
@@ -239,7 +249,7 @@ def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig")]
+            cols = [b.column(c).to_pylist() for c in ("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig", "bands")]
             for bucket, lo, hi, *row in zip(*cols, strict=True):
                 if at != (bucket, lo, hi):
                     if held:
@@ -254,10 +264,10 @@ def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only:
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("lo"), F.greatest(t, "tile").alias("hi")))
     rows = rows.withColumn("side", F.explode(sides)).select("bucket", "side.lo", "side.hi", "rep", "label", "ll", "sim", "tile")
-    rows = settled(rows, "rows").join(content.select("rep", "sig"), "rep")
+    rows = settled(rows, "rows").join(content.select("rep", "sig", "bands"), "rep")
     n = max(1, int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
-    return dealt.select("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig", "bands").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
