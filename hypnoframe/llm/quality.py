@@ -94,12 +94,13 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     out = np.zeros((2, dim), np.float32)
     bias = np.zeros(2, np.float32)
     examples = []
-    for a in range(0, len(texts), 64):
-        raw, off = tb.buffers(pa.array(texts[a : a + 64], pa.string()))
-        row, bucket = features(raw, off)
+    raw, off = tb.buffers(pa.array(texts, pa.string()))
+    for a, b in tb.blocks(off, 1 << 17):  # small blocks: the driver's memory is narrow
+        row, bucket = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
         key, n = np.unique(row * BUCKETS + bucket, return_counts=True)
-        cut = np.searchsorted(key // BUCKETS, np.arange(len(off)))
-        examples += [((key % BUCKETS)[i:j], n[i:j].astype(np.float32) / max(n[i:j].sum(), 1)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        cut = np.searchsorted(key // BUCKETS, np.arange(b - a + 1))
+        key, n = (key % BUCKETS).astype(np.int32), n.astype(np.float32)
+        examples += [(key[i:j].copy(), n[i:j] / max(n[i:j].sum(), 1)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     steps, done = max(1, epochs * len(texts)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
@@ -120,7 +121,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     return QualityModel((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int]]:
     """Labelled texts to learn from, chosen by a hash of their id.
 
     At most ``most`` label rows, and of their documents those of at most
