@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hypnoframe.llm import textblocks as tb
+from hypnoframe.llm.store import narrow_batches
 
 UNDETERMINED = "und"
 
@@ -41,7 +42,7 @@ class PPMModel:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def train(texts: list[tuple[str, str]], order: int = 4, table_bytes: int = 48 << 20) -> PPMModel:
+def train(texts: list[tuple[str, str]], order: int = 4, table_bytes: int = 24 << 20) -> PPMModel:
     """Model of (text, language) pairs.
 
     Contexts beyond those that fill ``table_bytes`` of compiled tables are pruned,
@@ -251,6 +252,7 @@ def identify(docs: DataFrame, model: PPMModel, id_cols: list[str] = ("doc_id",),
 
 def accepted(docs: DataFrame, model: PPMModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is determined with a posterior of at least ``least``."""
+    narrow_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     place = docs.columns.index(text_col)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hypnoframe.llm import textblocks as tb
-from hypnoframe.llm.store import discard, settled
+from hypnoframe.llm.store import discard, narrow_batches, settled
 
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     to equal texts only; a null text is in a class of its own.  Rows that repeat an
     id are all returned.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     signed = settled(_signed(rows.where("t is not null")), "signed")
     groups = settled(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "groups")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hypnoframe.llm import chat, decontam, fingerprint, langid, neardup, packing, quality, secrets, tokens, urls
+from hypnoframe.llm.store import narrow_batches
 
 #: parameters of the queries: the vocabularies' places
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,7 @@ FLOOR, Z = 0.5, 1.645
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

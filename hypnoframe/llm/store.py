@@ -37,3 +37,9 @@ def discard(df: DataFrame | None) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2000 rows, so that a worker's memory doesn't follow the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
