@@ -220,7 +220,7 @@ def predictions(auto: Automaton, col: pa.Array) -> tuple[list[str], np.ndarray]:
         return [UNDETERMINED] * len(col), np.zeros(len(col))
     raw, off = tb.buffers(col)
     letters = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    bits = np.concatenate([auto.code_lengths(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in tb.blocks(off, 1 << 22)])
+    bits = np.concatenate([auto.code_lengths(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in tb.blocks(off, 1 << 21)])
     score = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
     lang = [auto.languages[i] if ok else UNDETERMINED for i, ok in zip(bits.argmin(1), letters, strict=True)]
     return lang, np.where(letters, score, 0.0)
