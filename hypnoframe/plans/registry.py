@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from hypnoframe.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLE: dict = dict(relational.ORACLE)
