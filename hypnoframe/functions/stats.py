@@ -60,9 +60,9 @@ def hjorth(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     d = df.withColumn("_d", F.col(value) - F.lag(value).over(w))
     d = d.withColumn("_dd", F.col("_d") - F.lag("_d").over(w))
     a = d.groupBy(*keys).agg(F.var_pop(value).alias("v0"), F.var_pop("_d").alias("v1"), F.var_pop("_dd").alias("v2"), F.count(value).alias("n"))
-    mob = F.sqrt(F.col("v1") / F.col("v0"))
+    mob = F.sqrt(F.try_divide("v1", "v0"))
     ok = F.col("n") >= 3
-    return a.select(*keys, F.when(ok, F.col("v0")).otherwise(0.0).alias("H1"), F.when(ok, mob).otherwise(0.0).alias("H2"), F.when(ok, F.sqrt(F.col("v2") / F.col("v1")) / mob).otherwise(0.0).alias("H3"))
+    return a.select(*keys, F.when(ok, F.col("v0")).otherwise(0.0).alias("H1"), F.when(ok, mob).otherwise(0.0).alias("H2"), F.when(ok, F.try_divide(F.sqrt(F.try_divide("v2", "v1")), mob)).otherwise(0.0).alias("H3"))
 
 
 def petrosian(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -109,7 +109,7 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     chance = rows.join(cols, "k").agg(F.sum(F.col("ra") * F.col("cb")).alias("e"))
     t = total.join(F.broadcast(chance))
     po, pe = F.col("agree") / F.col("n"), F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n"))
-    return t.select("n", po.alias("acc"), ((po - pe) / (1 - pe)).alias("kappa"))
+    return t.select("n", po.alias("acc"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
 
 
 def correlations(wide: DataFrame, channels: list[str]) -> DataFrame:
@@ -152,4 +152,4 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("within"))
     between = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-    return s.select("k", "n", between.alias("ss_between"), F.col("within").alias("ss_within"), ((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
+    return s.select("k", "n", between.alias("ss_between"), F.col("within").alias("ss_within"), F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k"))).alias("f"))

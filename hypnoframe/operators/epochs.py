@@ -209,6 +209,6 @@ def chep_outliers(stats: DataFrame, value: str, ep_th: list[float] = (3.0,), ch_
         for th in ths:
             w = Window.partitionBy("id", by)
             live = F.when(~F.col("masked"), F.col(value))
-            z = F.abs(F.col(value) - F.avg(live).over(w)) / F.stddev_samp(live).over(w)
+            z = F.try_divide(F.abs(F.col(value) - F.avg(live).over(w)), F.stddev_samp(live).over(w))
             d = d.withColumn("masked", F.col("masked") | F.coalesce(z > th, F.lit(False)))
     return d

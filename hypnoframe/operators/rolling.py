@@ -32,7 +32,7 @@ def rolling_norm(df: DataFrame, keys: list[str], order: list[str], value: str, s
     """Centred z-score; frames are cut at the edges."""
     h = size // 2
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-h, h)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
+    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
 
 
 def difference(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "diff") -> DataFrame:
@@ -64,7 +64,7 @@ def quantile_dynamics(df: DataFrame, keys: list[str], order: list[str], value: s
 def local_ratio(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 15, th: float = 2.0) -> DataFrame:
     """Ratio of a value to its moving average, flagged above ``th``."""
     d = moving_average(df, keys, order, value, size, "local")
-    return d.withColumn("fac", F.col(value) / F.col("local")).withColumn("flag", F.when(F.col("fac") > th, 1).otherwise(0))
+    return d.withColumn("fac", F.try_divide(F.col(value), F.col("local"))).withColumn("flag", F.when(F.col("fac") > th, 1).otherwise(0))
 
 
 def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, w: int = 2) -> DataFrame:

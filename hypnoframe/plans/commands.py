@@ -654,8 +654,8 @@ def means(s: Session, c: Command) -> Session:
     part = F.slice("v", (F.floor(F.col("start_ns") * F.col("sr") / NS) + 1).cast("int"), F.greatest(F.lit(0), F.round((F.col("stop_ns") - F.col("start_ns")) * F.col("sr") / NS)).cast("int"))
     j = s.channels(c).join(spans, "id").select("id", "ch", "class", part.alias("p"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
     total, n = F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)), F.sum(F.size("p"))
-    m = j.groupBy("id", "ch", "class", "lo", "hi").agg((total / n).alias("M"), n.alias("S"))
-    return s.emit("MEANS", m.select("id", "ch", "class", "M", "S", ((F.col("M") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("M1")), "CH", "ANNOT")
+    m = j.groupBy("id", "ch", "class", "lo", "hi").agg(F.try_divide(total, n).alias("M"), n.alias("S"))
+    return s.emit("MEANS", m.select("id", "ch", "class", "M", "S", F.try_divide(F.col("M") - F.col("lo"), F.col("hi") - F.col("lo")).alias("M1")), "CH", "ANNOT")
 
 
 @command("TABULATE")

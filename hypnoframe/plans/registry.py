@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hypnoframe.plans import relational
+from hypnoframe.plans import relational, scripted
 
-QUERIES: dict = dict(relational.QUERIES)
-ORACLE: dict = dict(relational.ORACLE)
+QUERIES: dict = relational.QUERIES | scripted.QUERIES
+ORACLE: dict = relational.ORACLE | scripted.ORACLE

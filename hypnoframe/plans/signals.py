@@ -64,10 +64,13 @@ def microvolts(s: Session, c: Command) -> Session:
 @command("SCALE")
 def scale(s: Session, c: Command) -> Session:
     lo, hi = _list(c, "min-max", "0,1")
-    # the limits are columns of their own: inside the lambda they would be found again for each sample
-    d = s.samples.withColumns({"_a": F.array_min("v"), "_b": F.array_max("v")})
-    new = F.transform("v", lambda x: lo + (x - F.col("_a")) / (F.col("_b") - F.col("_a")) * (hi - lo))
-    return s.with_samples(d.withColumn("v", F.when(s.matching(c.get("sig")), new).otherwise(F.col("v"))))
+    # the limits are bound once by the outer lambda; inside the inner one they would be found again for each sample
+
+    def scaled(v):
+        ends = F.array(F.struct(F.array_min(v).alias("a"), F.array_max(v).alias("b")))
+        return F.flatten(F.transform(ends, lambda e: F.transform(v, lambda x: lo + F.try_divide(x - e["a"], e["b"] - e["a"]) * (hi - lo))))
+
+    return s.native(c, scaled)
 
 
 @command("MINMAX")
@@ -549,7 +552,7 @@ def asymmetry(s: Session, c: Command) -> Session:
     """log2 of left over right band power, per band."""
     pw = _psd_bands(s, c)
     left, right = (pw.where(s.matching(c.get(k))).select("id", "B", F.col("PSD").alias(k)) for k in ("left", "right"))
-    return s.emit("ASYMM", left.join(right, ["id", "B"]).select("id", "B", F.log2(F.col("left") / F.col("right")).alias("ASYMM")), "B")
+    return s.emit("ASYMM", left.join(right, ["id", "B"]).select("id", "B", F.log2(F.try_divide("left", "right")).alias("ASYMM")), "B")
 
 
 # ---- spectra -------------------------------------------------------------
@@ -592,7 +595,7 @@ def psd(s: Session, c: Command) -> Session:
     if c.has("ratio") or c.has("slowing"):
         k = 1.0 if c.has("ratio1") else 0.0
         w = d.groupBy("id", "ch").pivot("B", list(dsp.BANDS)).agg(F.first("PSD"))
-        q = lambda a, b: (F.coalesce(a, F.lit(0.0)) / (F.coalesce(b, F.lit(0.0)) + k))
+        q = lambda a, b: F.try_divide(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)) + k)
         col = F.col
         s = s.emit("PSD-RATIO", w.select("id", "ch", q(col("SLOW"), col("SLOW") + col("DELTA")).alias("SOF"), q(col("DELTA"), col("ALPHA")).alias("DAR"), q(col("THETA"), col("ALPHA")).alias("TAR"), q(col("THETA"), col("BETA")).alias("TBR"), q(col("DELTA") + col("THETA"), col("ALPHA") + col("BETA")).alias("GSI")), "CH")
     return s
@@ -679,7 +682,7 @@ def fip(s: Session, c: Command) -> Session:
 def psc(s: Session, c: Command) -> Session:
     """Principal spectral components of log band powers across recordings (a row per recording and channel; band columns are few)."""
     names = [b for b in dsp.BANDS if b != "TOTAL"]
-    w = _psd_bands(s, c).groupBy("id", "ch").pivot("B", names).agg(F.first("PSD")).na.drop()
+    w = _psd_bands(s, c).groupBy("id", "ch").pivot("B", names).agg(F.first("PSD")).na.fill(0.0, names)
     logs = w.select("id", "ch", F.array(*(F.log(F.greatest(F.col(b), F.lit(1e-12))) for b in names)).alias("x"))
     n, k = len(names), min(int(c.num("nc", 3)), len(names))
     mean = logs.agg(*(F.avg(F.element_at("x", i + 1)).alias(f"m{i}") for i in range(n))).first()
@@ -1060,7 +1063,7 @@ def signal_cycles(s: Session, c: Command) -> Session:
     bands = ["DELTA", "THETA", "ALPHA", "SIGMA", "BETA"]
 
     def one(x, sr):
-        n = round(30 * sr)
+        n = max(8, round(c.num("epoch-sec", 30) * sr))
         m = np.array([[math.log(dsp.band_power(*dsp.welch(x[i : i + n], sr), *dsp.BANDS[b]) + 1e-12) for b in bands] for i in range(0, len(x) - n + 1, n)])
         if len(m) < 3:
             return []
