@@ -23,6 +23,8 @@ def session(spark: SparkSession, d: str) -> Session:
     """Traces by one aggregation: hour sums become a map, and the map an array with zeros between."""
     e = tables.samples(spark, d).groupBy("id", "ch", F.floor((F.col("t_ns") - T0) / (3600 * NS)).cast("int").alias("h")).agg(F.sum("x").alias("s"))
     m = e.where(F.col("h").between(0, HOURS - 1)).groupBy("id", "ch").agg(F.map_from_entries(F.collect_list(F.struct("h", "s"))).alias("m"))
+    # dealt by number: traces are small but costly to work on, so they mustn't be coalesced by size into one task
+    m = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     v = F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
     samples = m.select(F.col("id").cast("string").alias("id"), "ch", F.lit(float(RATE)).alias("sr"), F.lit("uV").alias("unit"), v.alias("v"))
     recs = m.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.lit("2024-01-01 00:00:00").alias("start"), F.lit(HOURS // RATE * NS).cast("long").alias("dur_ns"), F.lit(NS).cast("long").alias("rec_ns"))
