@@ -1,10 +1,11 @@
-"""Token counts and token ids by distinct pre-token.
-
-A pre-token's pieces don't depend on its neighbours, so they are found once per
-distinct pre-token and joined to the pre-tokens of each document.  The join is
-made inside the task, against a table of bounded size that the worker keeps:
-a join through a shuffle would move every (document, pre-token) pair, which is
-more than the texts themselves.
+"""Token counts and token ids by pre-token.
+
+A pre-token's pieces don't depend on its neighbours.  To count, the pieces of each
+distinct pre-token of the corpus are counted once, in a table; that is joined to
+the pre-tokens of each document.  The join has two parts, which together are whole:
+the most frequent pre-tokens, a bounded number, go to every worker and are joined
+inside the task; all others are joined through a shuffle.  So a hot pre-token is
+never shuffled, and what is broadcast doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -12,21 +13,25 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hypnoframe.llm.store import settled
+
 #: fixed values: the pre-token patterns of the two public vocabularies
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: entries of a worker's table of pre-tokens; it is emptied when full
 TABLE_LIMIT = 400_000
-#: longer pre-tokens aren't kept
+#: longer pre-tokens are no keys of tables: their pieces are counted where they stand
 KEEP_CHARS = 48
+#: pre-tokens that go to every worker at most
+HEAD_LIMIT = 100_000
 
 _plain = re.compile(r"[^\x00-\u02ff]")
 _made: dict = {}
@@ -51,14 +56,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class PieceTable(dict):
-    """Pre-token -> what ``value`` makes of its ids, found on first use."""
+def _model_pieces(model, token: str) -> list:
+    return model.tokenize(token.encode().decode("latin-1").translate(_LETTERS))
+
+
+_LETTERS = _byte_letters()
+
+
+class IdTable(dict):
+    """Pre-token -> its ids as bytes, found on first use."""
 
-    def __init__(self, model, value):
-        self.model, self.value, self.letters = model, value, _byte_letters()
+    def __init__(self, model):
+        self.model = model
 
-    def __missing__(self, token: str):
-        got = self.value([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))])
+    def __missing__(self, token: str) -> bytes:
+        got = _packed([t.id for t in _model_pieces(self.model, token)])
         if len(token) <= KEEP_CHARS:
             if len(self) >= TABLE_LIMIT:
                 self.clear()
@@ -70,59 +82,126 @@ def _packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
-def _load(path: str, kind: str):
-    """Tokenizer, its pattern, its special strings and a piece table, once per worker."""
-    if (path, kind) not in _made:
+def _load(path: str):
+    """Tokenizer, its pattern, whether it lowers case, its special strings and a table of ids, once per worker."""
+    if path not in _made:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
         lower = tok.normalizer is not None
-        # below U+0300 the pattern and the library agree on every character; other texts go to the library whole
+        # below U+0300 the pattern and the library agree on every character; other texts are split by the library
         pattern = _latin(WORD_PATTERN if lower else BYTE_PATTERN)
-        _made[path, kind] = tok, pattern, lower, special, PieceTable(tok.model, len if kind == "count" else _packed)
-    return _made[path, kind]
+        _made[path] = tok, pattern, lower, special, IdTable(tok.model)
+    return _made[path]
 
 
-def count_tokens(texts: Iterable[str], path: str) -> Iterator[int]:
-    """Tokens of each text, as the library's ``encode(text, add_special_tokens=False)`` gives."""
-    tok, pattern, lower, special, table = _load(path, "count")
-    for text in texts:
-        if _plain.search(text) or any(s in text for s in special):
-            yield len(tok.encode(text, add_special_tokens=False).ids)
-            continue
-        frequency = Counter(pattern.findall(text.lower() if lower else text))
-        yield sum(table[token] * n for token, n in frequency.items())
+def pre_tokens(text: str, path: str) -> list[str] | None:
+    """The pre-tokens of a text; None if a special string in it makes the library's answer depend on more than these."""
+    tok, pattern, lower, special, _ = _load(path)
+    if any(s in text for s in special):
+        return None
+    if not _plain.search(text):
+        return pattern.findall(text.lower() if lower else text)
+    if tok.normalizer is not None:
+        text = tok.normalizer.normalize_str(text)
+    return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 
 
 def id_bytes(text: str, path: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
-    tok, pattern, lower, special, table = _load(path, "ids")
+    tok, pattern, lower, special, table = _load(path)
     if _plain.search(text) or any(s in text for s in special):
-        return table.value(tok.encode(text, add_special_tokens=False).ids)
+        return _packed(tok.encode(text, add_special_tokens=False).ids)
     return b"".join(map(table.__getitem__, pattern.findall(text.lower() if lower else text)))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes and tokens of every whole text.
+def piece_counts(texts: DataFrame, path: str) -> DataFrame:
+    """token, n, pieces: every distinct pre-token of column t (up to KEEP_CHARS long), how often it occurs, its pieces."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
+            seen.clear()
+            return out
+
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                seen.update(pre_tokens(text or "", path) or ())
+                if len(seen) >= TABLE_LIMIT:
+                    yield flush()
+        yield flush()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            model = _load(path)[0].model
+            n = [len(_model_pieces(model, t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["token", "n", "pieces"])
+
+    kept = texts.select("t").mapInArrow(tally, "token string, n long").where(F.length("token") <= KEEP_CHARS)
+    return settled(kept.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(pieces, "token string, n long, pieces long"), "pieces")
+
+
+def head(pieces: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens: all above the lowest frequency class with which they stay at most ``most``."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, room = None, most
+    for r in sorted(pieces.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    got = pieces.where(step >= least).select("token", "pieces").toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", most: int = HEAD_LIMIT) -> DataFrame:
+    """Bytes and tokens of every whole text, as the library's ``encode(text, add_special_tokens=False)`` counts.
 
     Columns: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > limit).  A null
-    text counts as empty (0 bytes, 0 tokens); repeated rows are each counted; only
-    the two named columns are read, so extra columns cannot clash.
+    text counts as empty (0 bytes, 0 tokens); repeated rows and null ids are each
+    counted; an empty table gives no rows; only the two named columns are read, so
+    extra columns cannot clash.  Texts that contain a special string go to the
+    library whole, as do pre-tokens longer than KEEP_CHARS to its model.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    pieces = piece_counts(picked, path)
+    shared = docs.sparkSession.sparkContext.broadcast(head(pieces, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rest_type = shared.value, pa.list_(pa.struct([("token", pa.string()), ("f", pa.int64())]))
+        tok = _load(path)[0]
         for b in batches:
             texts = b.column(1).to_pylist()
-            n = list(count_tokens((t or "" for t in texts), path))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+            known, rest = [], []
+            for text in texts:
+                found, total, rare = pre_tokens(text or "", path), 0, []
+                if found is None:
+                    total = len(tok.encode(text, add_special_tokens=False).ids)
+                for token, f in Counter(found or ()).items():
+                    n = common.get(token)
+                    if n is not None:
+                        total += n * f
+                    elif len(token) > KEEP_CHARS:
+                        total += len(_model_pieces(tok.model, token)) * f
+                    else:
+                        rare.append({"token": token, "f": f})
+                known.append(total)
+                rest.append(rare)
+            sizes = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(known, pa.int64()), pa.array(rest, rest_type)], names=["id", "n_bytes", "known", "rest"])
+
+    split = picked.mapInArrow(run, f"id {kind}, n_bytes long, known long, rest array<struct<token: string, f: long>>")
+    split = settled(split.withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    done = split.where(F.size("rest") == 0).select("id", "n_bytes", F.col("known").alias("n_tokens"))
+    rare = split.where(F.size("rest") > 0).select("row", "id", "n_bytes", "known", F.explode("rest").alias("r")).select("row", "id", "n_bytes", "known", "r.token", "r.f")
+    joined = rare.join(pieces.select("token", "pieces"), "token").groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), (F.first("known") + F.sum(F.col("f") * F.col("pieces"))).alias("n_tokens"))
+    both = done.unionByName(joined.drop("row"))
+    return both.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

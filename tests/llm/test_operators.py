@@ -117,13 +117,31 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 120)}}
 
 
-def test_token_counts_match_library(spark):
-    path = public_tokenizers.path("byte_bpe_50k.json")
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_counts_match_library(spark, prose, name):
+    """With every pre-token joined through the shuffle, with some in the head, with all of them there."""
+    path = public_tokenizers.path(name)
     tok = Tokenizer.from_file(path)
-    got = {x["doc_id"]: x for x in tokens.token_counts(frame(spark, ODD, True), path).collect()}
-    for i, t in enumerate(ODD):
-        n = len(tok.encode(t or "", add_special_tokens=False).ids)
-        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
+    r = random.Random(4)
+    texts = ODD + [prose(40), prose(3) * 2] + ["".join(chr(r.choice([r.randrange(1, 0x250), r.randrange(0x300, 0xD000), 32, 10])) for _ in range(60)) for _ in range(20)]
+    for most in (0, 12, 100_000):
+        rows = tokens.token_counts(frame(spark, texts, True), path, most=most).collect()
+        got = {x["doc_id"]: x for x in rows}
+        assert len(rows) == len(texts)
+        for i, t in enumerate(texts):
+            n = len(tok.encode(t or "", add_special_tokens=False).ids)
+            assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
+    odd = spark.createDataFrame([(None, "rare word"), (None, "rare word"), (3, None)], "doc_id long, text string")
+    assert [x["n_tokens"] for x in tokens.token_counts(odd, path, most=0).orderBy("n_tokens").collect()] == [0] + [len(tok.encode("rare word", add_special_tokens=False).ids)] * 2
+    assert tokens.token_counts(odd.limit(0), path).count() == 0
+
+
+def test_head_is_bounded(spark):
+    pieces = spark.createDataFrame([(f"t{i}", 1 + i // 10, 1) for i in range(100)], "token string, n long, pieces long")
+    for most in (0, 5, 33, 1000):
+        got = tokens.head(pieces, most)
+        assert len(got) <= most and all(int(t[1:]) >= 100 - max(len(got), 1) for t in got)
+    assert len(tokens.head(pieces, 100)) == 100 and len(tokens.head(pieces, 33)) > 0
 
 
 def test_packing_is_whole_and_tight(spark):
