@@ -197,10 +197,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     split = picked.mapInArrow(run, f"id {kind}, n_bytes long, known long, rest array<struct<token: string, f: long>>")
     split = settled(split.withColumn("row", F.monotonically_increasing_id()), "frequencies")
-    done = split.where(F.size("rest") == 0).select("id", "n_bytes", F.col("known").alias("n_tokens"))
-    rare = split.where(F.size("rest") > 0).select("row", "id", "n_bytes", "known", F.explode("rest").alias("r")).select("row", "id", "n_bytes", "known", "r.token", "r.f")
-    joined = rare.join(pieces.select("token", "pieces"), "token").groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), (F.first("known") + F.sum(F.col("f") * F.col("pieces"))).alias("n_tokens"))
-    both = done.unionByName(joined.drop("row"))
+    # only the row number goes with a rare pre-token; the other columns meet its sum once per document
+    rare = split.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.token", "r.f")
+    sums = rare.join(pieces.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("f") * F.col("pieces")).alias("more"))
+    both = split.select("row", "id", "n_bytes", "known").join(sums, "row", "left").withColumn("n_tokens", F.col("known") + F.coalesce("more", F.lit(0)))
     return both.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
