@@ -61,7 +61,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is its document's label: the last path segment's leading number is the doc_id; good is quality 1 and not toxic."""
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     path = urls.split_url(F.col("url"))[1]
-    of = pages.select("url", F.regexp_extract(path, r"/([0-9]{1,18})[^/]*/?$", 1).cast("long").alias("doc_id")).where("doc_id is not null")
+    of = pages.select("url", F.regexp_extract(path, r"/([0-9]{1,18})[^/]*/?$", 1).try_cast("long").alias("doc_id")).where("doc_id is not null")
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     return urls.judge(pages, of.join(good, "doc_id").select("url", "good"), RULES, FLOOR, Z).select("page_id", "host", "path", "rule", "verdict")
 

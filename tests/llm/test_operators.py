@@ -339,3 +339,27 @@ def test_pipeline_stages(spark):
         left = out
     packed = corpus_pipeline.STAGES[-1][1](spark, left, SMALL)
     assert packed.select("doc_id").distinct().count() == left.count()
+
+
+def test_every_query_takes_empty_tables_and_extra_columns(spark, tmp_path):
+    """Tables without rows, with columns whose names clash with those the operators make."""
+    extra = {c: F.lit("clash") for c in ("id", "t", "row", "token", "host", "path", "good", "class_id", "score", "piece", "n", "start", "rep")}
+    for name in ("documents", "labels", "pages", "benchmark", "conversations"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).withColumns(extra).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op2_") else 0), name
+
+
+def test_every_query_keeps_rows_of_nulls_and_repeats(spark, tmp_path):
+    """A table whose rows are all there twice, beside rows of nulls: documents come out once per row."""
+    nothing = {}
+    for name in ("documents", "labels", "pages", "benchmark", "conversations"):
+        df = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        nothing[name] = spark.createDataFrame([tuple(None for _ in df.columns)] * 2, df.schema)
+        df = df.limit(60)
+        df.union(df).union(nothing[name]).coalesce(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op1_near_dedup", "op3_language_id", "op4_quality", "op6_url_filter", "op7_token_counts"):
+        rows = spark.read.parquet(f"{tmp_path}/{'pages' if name.startswith('op6') else 'documents'}.parquet").count()
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == rows, name
+    for name in ("op2_chat_format", "op5_secret_scan", "op8_best_fit_packing", "op9_decontamination", "op10_fingerprints"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() >= 0, name
