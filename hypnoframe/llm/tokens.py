@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -30,6 +31,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TABLE_LIMIT = 400_000
 #: longer pre-tokens are no keys of tables: their pieces are counted where they stand
 KEEP_CHARS = 48
+#: distinct pre-tokens that a task holds before it hands them on, and rows of a batch of them
+TALLY_LIMIT, TALLY_ROWS = 100_000, 10_000
+#: longer texts aren't split into a list
+LIST_CHARS = 200_000
 #: pre-tokens that go to every worker at most
 HEAD_LIMIT = 100_000
 
@@ -96,16 +101,18 @@ def _load(path: str):
     return _made[path]
 
 
-def pre_tokens(text: str, path: str) -> list[str] | None:
-    """The pre-tokens of a text; None if a special string in it makes the library's answer depend on more than these."""
+def frequencies(text: str, path: str) -> Counter | None:
+    """How often each pre-token occurs; None if a special string in the text makes the library's answer depend on more."""
     tok, pattern, lower, special, _ = _load(path)
     if any(s in text for s in special):
         return None
     if not _plain.search(text):
-        return pattern.findall(text.lower() if lower else text)
+        text = text.lower() if lower else text
+        # a long text's pre-tokens aren't listed: the list would be many times its size
+        return Counter(pattern.findall(text) if len(text) <= LIST_CHARS else (m.group() for m in pattern.finditer(text)))
     if tok.normalizer is not None:
         text = tok.normalizer.normalize_str(text)
-    return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
+    return Counter(text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text))
 
 
 def id_bytes(text: str, path: str) -> bytes:
@@ -120,18 +127,19 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
     """token, n, pieces: every distinct pre-token of column t (up to KEEP_CHARS long), how often it occurs, its pieces."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = iter(seen.items())
+            while part := list(islice(items, TALLY_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["token", "n"])
             seen.clear()
-            return out
 
         seen: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(pre_tokens(text or "", path) or ())
-                if len(seen) >= TABLE_LIMIT:
-                    yield flush()
-        yield flush()
+            for text in b.column(0):
+                seen.update(frequencies(text.as_py() or "", path) or ())
+                if len(seen) >= TALLY_LIMIT:
+                    yield from flush()
+        yield from flush()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,27 +181,29 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(head(pieces, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rest_type = shared.value, pa.list_(pa.struct([("token", pa.string()), ("f", pa.int64())]))
-        tok = _load(path)[0]
+        common, tok = shared.value, _load(path)[0]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            known, rest = [], []
-            for text in texts:
-                found, total, rare = pre_tokens(text or "", path), 0, []
+            sizes, known, ends, rare, often = [], [], [0], [], []
+            for value in b.column(1):
+                text, total = value.as_py() or "", 0
+                found = frequencies(text, path)
                 if found is None:
-                    total = len(tok.encode(text, add_special_tokens=False).ids)
-                for token, f in Counter(found or ()).items():
+                    total, found = len(tok.encode(text, add_special_tokens=False).ids), {}
+                for token, f in found.items():
                     n = common.get(token)
                     if n is not None:
                         total += n * f
                     elif len(token) > KEEP_CHARS:
                         total += len(_model_pieces(tok.model, token)) * f
                     else:
-                        rare.append({"token": token, "f": f})
+                        rare.append(token)
+                        often.append(f)
+                sizes.append(len(text.encode()))
                 known.append(total)
-                rest.append(rare)
-            sizes = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(known, pa.int64()), pa.array(rest, rest_type)], names=["id", "n_bytes", "known", "rest"])
+                ends.append(len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(often, pa.int64())], names=["token", "f"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), rest], names=["id", "n_bytes", "known", "rest"])
 
     split = picked.mapInArrow(run, f"id {kind}, n_bytes long, known long, rest array<struct<token: string, f: long>>")
     split = settled(split.withColumn("row", F.monotonically_increasing_id()), "frequencies")
