@@ -287,13 +287,78 @@ def drop_annots(s: Session, c: Command) -> Session:
     return replace(s, annots=s.annots.join(gone.select("class").distinct(), "class", "left_anti").select(*s.annots.columns))
 
 
+#: fixed values: channel types and the labels (upper case) that have them, the first that fits
+CHANNEL_TYPES = (("EEG", "EEG|^[CFPOT][0-9Z]"), ("EOG", "EOG|LOC|ROC"), ("EMG", "EMG|CHIN|LEG"), ("ECG", "ECG|EKG"), ("OXY", "SAO2|SPO2"), ("RESP", "RESP|AIR|THOR|ABD|NASAL|FLOW"))
+
+
+def channel_type(ch):
+    kind = F.lit("UNKNOWN")
+    for name, pattern in reversed(CHANNEL_TYPES):
+        kind = F.when(F.upper(ch).rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+@command("TYPES")
+def types(s: Session, c: Command) -> Session:
+    """The rules by which channels have types."""
+    return s.emit("TYPES", s.spark.createDataFrame(list(CHANNEL_TYPES), "TYPE string, LABELS string"), "TYPE")
+
+
+@command("CLOCS")
+def clocs(s: Session, c: Command) -> Session:
+    """Electrode positions from lines of label, x, y, z (blank, tab or comma between; # and % begin comments), kept as cache ``clocs``.
+
+    Labels are upper-cased; a line of any other form stops the command.  The unit
+    sphere's coordinates (azimuth and elevation in degrees, radius) stand beside.
+    """
+    if not c.has("file"):
+        raise ScriptError("CLOCS needs file")
+    lines = s.spark.read.text(c.get("file")).select(F.trim("value").alias("line")).where(~F.col("line").rlike("^([#%].*)?$"))
+    part = F.split("line", r"[\t ,]+")
+    x, y, z = (part[k].try_cast("double").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z")))
+    table = lines.select(F.size(part).alias("parts"), F.upper(part[0]).alias("ch"), x, y, z)
+    bad = table.where("parts != 4 or x is null or y is null or z is null").limit(1).count()
+    if bad:
+        raise ScriptError("CLOCS: a line isn't label, x, y, z")
+    flat = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)
+    table = table.select("ch", "x", "y", "z", F.degrees(F.atan2("y", "x")).alias("azimuth"), F.degrees(F.atan2(F.col("z"), flat)).alias("elevation"), F.sqrt(flat**2 + F.col("z") ** 2).alias("radius"))
+    return replace(s, caches={**s.caches, "clocs": table}).emit("CLOCS", table, "CH")
+
+
+@command("SEDF")
+def summary_channels(s: Session, c: Command) -> Session:
+    """A summary of each channel by epoch, as channels of one sample an epoch: Hjorth numbers (H1_, H2_, H3_) of EEG, EOG, EMG and ECG, else mean, least and greatest value (M_, L_, U_).
+
+    Result SEDF by channel; with ``sedf-dir`` also written there as Parquet by recording.
+    """
+
+    def one(x, sr):
+        return [dict(zip(("H1", "H2", "H3"), dsp.hjorth(x), strict=True)) | {"M": float(x.mean()), "L": float(x.min()), "U": float(x.max())}]
+
+    s = _ensured(s)
+    e = s.epoch_rows(c, one, ", ".join(f"{k} double" for k in ("H1", "H2", "H3", "M", "L", "U")))
+    electric = channel_type(F.col("ch")).isin("EEG", "EOG", "EMG", "ECG")
+    stats = [F.struct(F.concat(F.when(electric, F.lit(a)).otherwise(F.lit(b)), F.lit("_"), F.col("ch")).alias("ch"), F.when(electric, F.col(a)).otherwise(F.col(b)).alias("x")) for a, b in (("H1", "M"), ("H2", "L"), ("H3", "U"))]
+    long = e.select("id", "e", F.explode(F.array(*stats)).alias("r")).select("id", "e", "r.ch", "r.x")
+    step = s.epochs.groupBy("id").agg(F.min(F.col("stop_ns") - F.col("start_ns")).alias("step"))
+    traces = long.groupBy("id", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", "x"))), lambda r: r["x"]).alias("v"))
+    traces = traces.join(step, "id").select("id", "ch", (F.lit(float(NS)) / F.col("step")).alias("sr"), F.lit("").alias("unit"), "v")
+    if c.has("sedf-dir"):
+        traces.write.mode("overwrite").partitionBy("id").parquet(c.get("sedf-dir"))
+    return s.emit("SEDF", traces, "CH")
+
+
+@command("REMS")
+def rems(s: Session, c: Command) -> Session:
+    """Accepted and without effect: no computation is defined for it."""
+    return s
+
+
 @command("CTYPES")
 def ctypes(s: Session, c: Command) -> Session:
     """Channel types from the label, and rate and Hjorth features beside them."""
-    up = F.upper("ch")
-    kind = F.when(up.rlike("EEG|^[CFPOT][0-9Z]"), "EEG").when(up.rlike("EOG|LOC|ROC"), "EOG").when(up.rlike("EMG|CHIN|LEG"), "EMG").when(up.rlike("ECG|EKG"), "ECG").when(up.rlike("SAO2|SPO2"), "OXY").when(up.rlike("RESP|AIR|THOR|ABD|NASAL|FLOW"), "RESP").otherwise("UNKNOWN")
     feats = s.rows(c, lambda x, sr: [dict(zip(("H1", "H2", "H3"), dsp.hjorth(x), strict=True))], "H1 double, H2 double, H3 double")
-    return s.emit("CTYPES", feats.withColumn("CTYPE", kind), "CH")
+    return s.emit("CTYPES", feats.withColumn("CTYPE", channel_type(F.col("ch"))), "CH")
 
 
 # ---- epochs and masks ----------------------------------------------------
@@ -812,8 +877,7 @@ def dynam(s: Session, c: Command) -> Session:
 #: commands that aren't built: the script stops with an error instead of giving something else
 NOT_BUILT = {
     "EPOCH-MASK": "redundant: use MASK",
-    "REMS": "has no computation",
-    **dict.fromkeys(("SET-TIMESTAMPS", "EDF-", "EDF-MINUS", "ALIGN", "ALIASES", "TYPES", "CLOCS", "SEDF", "TSLIB", "SSS", "SUDS", "MAKE-SUDS", "COMPLETE", "REBASE", "POPS", "RUN-POPS"), "not built yet"),
+    **dict.fromkeys(("SET-TIMESTAMPS", "EDF-", "EDF-MINUS", "ALIGN", "ALIASES", "TSLIB", "SSS", "SUDS", "MAKE-SUDS", "COMPLETE", "REBASE", "POPS", "RUN-POPS"), "not built yet"),
 }
 
 

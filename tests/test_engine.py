@@ -208,6 +208,23 @@ def test_annotation_files(session, spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/out", sep="\t").count() == NE
 
 
+def test_channel_types_positions_and_summary_channels(session, tmp_path):
+    s = session.eval("EPOCH & TYPES & REMS & SEDF sig=EEG & CTYPES")
+    assert s.table("TYPES", "TYPE").count() == 6
+    assert {r["ch"]: r["CTYPE"] for r in s.table("CTYPES", "CH").collect()}["EEG"] == "EEG"
+    got = {r["ch"]: r for r in s.table("SEDF", "CH").collect()}
+    assert set(got) == {"H1_EEG", "H2_EEG", "H3_EEG"} and got["H1_EEG"]["sr"] == pytest.approx(1 / 30)
+    x = np.array(session.samples.where("ch = 'EEG'").first()["v"])
+    assert got["H1_EEG"]["v"] == pytest.approx([part.var() for part in x.reshape(NE, -1)])
+    (tmp_path / "clocs").write_text("# label x y z\nc3\t0 1,0\n\nCz 0 0 2\n")
+    at = {r["ch"]: r for r in session.eval(f"CLOCS file={tmp_path}/clocs").table("CLOCS", "CH").collect()}
+    assert (at["C3"]["azimuth"], at["CZ"]["elevation"], at["CZ"]["radius"]) == (90, 90, 2)
+    (tmp_path / "bad").write_text("Cz 0 0\n")
+    for text in (f"CLOCS file={tmp_path}/bad", "CLOCS"):
+        with pytest.raises(ScriptError):
+            session.eval(text)
+
+
 def test_engine(session):
     e = procs.Engine(session.spark).attach(session)
     e.eval("EPOCH & STATS")
