@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: prefixes that issuers put before their keys
-ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|sk_live_[0-9A-Za-z]{24,99}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{24,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
 #: fixed values: names to which secrets are assigned
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "private_key", "credential", "bearer")
 #: fixed values: words beside harmless look-alikes
@@ -31,9 +31,9 @@ HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "uui
 COMMON = ("password", "secret", "change", "example", "token", "default", "admin", "test", "your", "here", "null", "none", "true", "false", "value", "user", "name", "config", "service", "server", "client", "index", "image", "static", "module", "library", "document", "version", "release", "account", "public", "private", "station", "tion", "ing", "the", "and", "ment", "ung", "keit", "schaft")
 
 CANDIDATE = re.compile(
-    rf"(?P<issued>\b(?:{ISSUED})\b)"
-    rf"|(?i:(?P<name>\b[\w-]*(?:{'|'.join(NAMES)})[\w-]*)[\"']?\s{{0,3}}(?:[:=]|\s)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,512}})"
-    r"|(?P<random>(?<![\w/+=-])(?=[A-Za-z0-9+/_=-]{0,60}\d)(?=[A-Za-z0-9+/_=-]{0,60}[A-Za-z])[A-Za-z0-9+/_=-]{16,512}(?![\w/+=-]))"
+    rf"(?P<issued>\b(?:{ISSUED})(?:\b|(?<=-)(?![\w-])))"
+    rf"|(?i:(?P<name>\b[\w-]*(?:{'|'.join(NAMES)})[\w-]*)[\"']?\s{{0,3}}(?:[:=]|\s)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,}}+)"
+    r"|(?P<random>(?<![\w/+=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?![\w/+=-]))"
 )
 #: a text without one of these has no candidate; found faster than candidates are
 HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|\d|(?i:" + "|".join(NAMES) + ")")

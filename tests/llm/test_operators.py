@@ -264,6 +264,17 @@ def test_secrets(spark):
     assert [x["text"] for x in out][1:4] == texts[1:4]
 
 
+def test_long_secrets_are_whole(spark):
+    forest, r = secrets.train(), random.Random(1)
+    draw = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    values = [draw(800), f"eyJ{draw(20)}.{draw(700)}.{draw(43)}", draw(600), f"xoxb-{draw(12)}-{draw(90)}", f"eyJ{draw(20)}.{draw(40)}.{draw(42)}-", "x" * 80 + draw(600)]
+    texts = [f"{a}{v}{z}" for v, (a, z) in zip(values, [('set token = "', '" now'), ("use bearer ", " now"), ("key ", " end"), ("see ", " end"), ("see ", " end"), ("key ", " end")])]
+    for t, v in zip(texts, values):
+        assert [t[f.start : f.end] for f in secrets.candidates(t)] == [v]
+    out = [x["text"] for x in secrets.redacted(frame(spark, texts[:3]), forest, chars_col=None).orderBy("doc_id").collect()]
+    assert out == ['set token = "[SECRET]" now', "use bearer [SECRET] now", "key [SECRET] end"]
+
+
 def brute_tiles(a, b, least):
     used_a, used_b, out = [False] * len(a), [False] * len(b), 0
     while True:
