@@ -8,13 +8,14 @@ duplicates if their probability Jaccard similarity
 
 is at least the threshold.  Classes are the connected components of that relation.
 
-1. Rows of equal text form a group, represented by their smallest id.
+1. Every row has a number of its own.  Rows of equal text form a group, represented
+   by the row of the smallest id; ids may be null or shared by different texts.
 2. Each shingle of a distinct text sends arrivals of a Poisson process whose rate
    is its weight to random registers; a register keeps the shingle that came
    first.  A shingle stops as soon as its next arrival is later than the last
    register's first.  Two texts agree in a register with probability J.
 3. Bands of registers name buckets.  Every text of a bucket is compared with the
-   bucket's leader, its smallest id, which settles most buckets.
+   bucket's leader, its first row, which settles most buckets.
 4. In the other buckets, texts outside the leading class are held against the
    texts of other classes by their signatures, block by block inside a task, and
    only pairs whose estimate comes near the threshold leave it: first the best of
@@ -270,10 +271,11 @@ def _promising(now: DataFrame, content: DataFrame, threshold: float, best_only:
     return dealt.select("bucket", "lo", "hi", "rep", "label", "ll", "sim", "tile", "sig", "bands").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def linked(buckets: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b, sim) that join all classes, and v, label of the texts with one.
 
-    ``buckets``: bucket, rep.  ``texts``: rep, t.
+    ``buckets``: bucket, rep.  ``groups``: rep, id, digest.  ``texts``: id, digest, t,
+    where a pair of id and digest is there once.
     """
     spark = buckets.sparkSession
     leaders = settled(buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
@@ -281,7 +283,8 @@ def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     discard(leaders)
     if not _some(members):
         return spark.createDataFrame([], "a long, b long, sim double"), spark.createDataFrame([], "v long, label long")
-    content = settled(_content(texts.join(members.select("rep").distinct(), "rep", "left_semi")), "content")
+    wanted = groups.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("of"), F.col("digest").alias("sha"))
+    content = settled(_content(texts.join(wanted, (F.col("digest") == F.col("sha")) & F.col("id").eqNullSafe(F.col("of")))), "content")
     pairs = settled(members.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     measured = settled(_verified(pairs, content), "measured")
     discard(pairs)
@@ -305,32 +308,84 @@ def linked(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return measured.where(F.col("sim") >= threshold), labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, class_id, kept: one row for each row of ``docs``.
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
+
+
+def _first(id_col: str, row_col: str):
+    """The row of the smallest id, rows without an id last."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row_col).alias("row")))
+
 
-    class_id is the smallest id of the class, kept whether the row has that id.
-    Equal texts, empty ones too, are of one class; a text without words is alike
-    to equal texts only; a null text is in a class of its own.  Rows that repeat an
-    id are all returned.
+def _named(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """label, class_id of the classes (label, id) that can't be called by their smallest id: it is null, or a class of a smaller label has it.
+
+    Their class_id is a hash that is no row's id.
+    """
+    owners = classes.where("id is not null").groupBy("id").agg(F.min("label").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    others = settled(classes.where("id is null").select("label").unionByName(classes.join(owners, "id").where("label != owner").select("label")), "others")
+    salt = 0
+    while True:
+        named = settled(others.select("label", F.xxhash64("label", F.lit(salt)).alias("class_id")), "named")
+        if not _some(named.groupBy("class_id").count().where("count > 1")) and not _some(named.join(ids.select(F.col("id").alias("class_id")), "class_id", "left_semi")):
+            return named
+        discard(named)
+        salt += 1
+
+
+def _judged(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, digest, class_id, kept, gone of each row, and whether rows repeat both id and text.
+
+    kept: the one row that stays of its class; gone: neither it nor a row of the same
+    id and text.  A null text has no digest.
     """
     narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    signed = settled(_signed(rows.where("t is not null")), "signed")
-    groups = settled(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "groups")
-    texts = rows.select(F.col("id").alias("rep"), "t").where("t is not null")
-    buckets = groups.where("rep is not null").select("rep", F.explode("buckets").alias("bucket"))
-    _, labels = linked(buckets, texts, threshold)
-    classes = groups.select("digest", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    classes = settled(classes, "classes")
-    out = signed.select("id", "digest").join(classes, "digest").select("id", "class_id")
-    out = out.unionByName(rows.where("t is null").select("id", F.col("id").alias("class_id")))
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    signed = settled(_signed(rows.where("t is not null")).withColumn("row", F.monotonically_increasing_id()), "signed")
+    nulls = settled(rows.where("t is null").select("id", (-1 - F.monotonically_increasing_id()).alias("label")), "nulls")
+    repeated = _some(signed.groupBy("digest", "id").count().where("count > 1"))
+    groups = signed.groupBy("digest").agg(_first("id", "row").alias("f"), F.first("buckets").alias("buckets"))
+    groups = settled(groups.select("digest", F.col("f.id").alias("id"), F.col("f.row").alias("rep"), "buckets"), "groups")
+    texts = rows.where("t is not null").withColumn("digest", _digest("t"))
+    texts = texts.dropDuplicates(["id", "digest"]) if repeated else texts
+    _, labels = linked(groups.select("rep", F.explode("buckets").alias("bucket")), groups.select("rep", "id", "digest"), texts, threshold)
+    groups = groups.select("digest", "id", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    first = groups.groupBy("label").agg(_first("id", "rep").alias("f")).select("label", F.col("f.id").alias("first_id"), F.col("f.row").alias("first_row"))
+    classes = settled(groups.select("digest", "rep", "label").join(first, "label"), "classes")
+    all_classes = classes.where("rep = first_row").select("label", F.col("first_id").alias("id")).unionByName(nulls.select("label", "id"))
+    if _some(all_classes.groupBy("id").count().where("count > 1 or id is null")):
+        named = _named(all_classes, signed.select("id").unionByName(nulls.select("id")))
+        classes = settled(classes.join(named, "label", "left").withColumn("class_id", F.coalesce("class_id", "first_id")), "classes")
+        nulls = nulls.join(named, "label", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    else:
+        classes, nulls = classes.withColumn("class_id", F.col("first_id")), nulls.withColumn("class_id", F.col("id"))
+    same = (F.col("rep") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id"))
+    out = signed.select("id", "digest", "row").join(classes, "digest").select("id", "digest", "class_id", (F.col("row") == F.col("first_row")).alias("kept"), (~same).alias("gone"))
+    alone = nulls.select("id", F.lit(None).cast("binary").alias("digest"), "class_id", F.lit(True).alias("kept"), F.lit(False).alias("gone"))
+    return out.unionByName(alone), repeated
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, class_id, kept: one row for each row of ``docs``.
+
+    class_id is the smallest id of the class; where that is null or another class
+    has it too, a number that is no row's id.  kept holds for one row of each class,
+    one of the smallest id.  Equal texts, empty ones too, are of one class; a text
+    without words is alike to equal texts only; a null text is in a class of its
+    own.  Rows that repeat an id are all returned, each judged by its own text.
+    """
+    return _judged(docs, threshold, id_col, text_col)[0].select(F.col("id").alias(id_col), "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose class has a smaller id; of rows that repeat an id one stays."""
-    judged = near_duplicates(docs, threshold, id_col, text_col)
-    gone = settled(judged.where("not kept").select(id_col), "gone")
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = docs.groupBy(id_col).count().where("count > 1")
-    return kept.dropDuplicates([id_col]) if _some(repeated) else kept
+    """``docs`` with one row of each class, one of the smallest id."""
+    judged, repeated = _judged(docs, threshold, id_col, text_col)
+    gone = settled(judged.where("gone").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")), "gone")
+    digest = "digest"
+    while digest in docs.columns:
+        digest += "_"
+    texts = docs.withColumn(digest, _digest(text_col))
+    kept = texts.join(gone, (F.col(digest) == F.col("gone_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    if repeated:
+        kept = kept.where(F.col(digest).isNotNull()).dropDuplicates([id_col, digest]).unionByName(kept.where(F.col(digest).isNull()))
+    return kept.drop(digest)

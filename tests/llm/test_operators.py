@@ -86,6 +86,21 @@ def test_near_duplicates_against_brute_force(spark, prose):
     assert neardup.near_duplicates(twice).count() == 2 and neardup.one_of_each(twice).count() == 1
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark, prose):
+    """Ids that are null or shared: texts are told apart by themselves, and every class keeps one row."""
+    x, y, z, w = (prose(60) for _ in range(4))
+    near = z + " " + z.split()[0]
+    rows = [(3, y), (5, x), (5, y), (None, z), (None, near), (None, w), (None, None), (5, None), (7, w), (7, w), (None, w), (7, x + " " + prose(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and len({r["class_id"] for r in got}) == 7 and None not in {r["class_id"] for r in got}
+    assert all(sum(r["kept"] for r in got if r["class_id"] == c) == 1 for c in {r["class_id"] for r in got})
+    kept = [tuple(r) for r in neardup.one_of_each(docs).collect()]
+    assert sum(t in (z, near) for _, t in kept) == 1 and len(kept) == 7
+    for row in [(3, y), (5, x), (7, w), (5, None), (None, None), rows[-1]]:
+        assert kept.count(row) == 1
+
+
 def test_open_buckets_lose_no_link(spark, prose, monkeypatch):
     """A chain whose ends aren't alike, tiles of a few texts."""
     monkeypatch.setattr(neardup, "TILE", 7)
