@@ -367,6 +367,16 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == left.count()
 
 
+def test_pipeline_drops_only_undetermined_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    model = langid.train([("radio taxi", k) for k in ("de", "en", "es")])
+    monkeypatch.setattr(queries, "language_model", lambda docs: model)
+    docs = frame(spark, ["radio taxi", "radio", "12 !!", None, ""])
+    assert langid.identify(docs, model).agg(F.max(F.when(F.col("doc_id") < 2, F.col("score")))).first()[0] < 0.5
+    assert sorted(x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, SMALL).collect()) == [0, 1]
+
+
 def test_every_query_takes_empty_tables_and_extra_columns(spark, tmp_path):
     """Tables without rows, with columns whose names clash with those the operators make."""
     extra = {c: F.lit("clash") for c in ("id", "t", "row", "token", "host", "path", "good", "class_id", "score", "piece", "n", "start", "rep")}
