@@ -87,7 +87,7 @@ def tiles(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]
 class ItemIndex:
     """Windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
+    def __init__(self, items: list[tuple[int | None, str]], size: int):
         self.size = size
         self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.ids = [i for i, _ in items]
@@ -125,12 +125,12 @@ class ItemIndex:
 
 def _indexes(benchmark: DataFrame, size: int, item_col: str, text_col: str):
     """Item indexes of the benchmark, a block of bounded size after the other."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     n = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(n / BLOCK_CHARS))
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items
-        got = sorted((r["i"], r["t"]) for r in part.collect())
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
+        got = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if got:
             yield ItemIndex(got, size)
 
@@ -139,7 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     """One row per (document row, contaminating item): id_col, item_id, item_tokens, covered, tiles, coverage.
 
     Null or empty texts and items of fewer than ``min_match`` tokens match nothing;
-    repeated rows are each judged; an empty benchmark gives no rows.
+    repeated rows are each judged; an empty benchmark gives no rows; an item without
+    an id is reported with a null item_id.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
