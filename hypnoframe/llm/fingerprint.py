@@ -21,8 +21,10 @@ from hypnoframe.llm import textblocks as tb
 
 K = 256
 SHINGLE = 5
-#: blocks of ids at most (they only grow longer beyond it)
-MOST_BLOCKS = 20_000
+#: bytes of text in a block of successive documents, about; blocks are as many as the texts need
+BLOCK_BYTES = 256 << 20
+#: rows a block whose place in the order is looked at to find the blocks' borders
+SAMPLES = 8
 _WIDTH = (tb.HASH_BITS + 7) // 8
 
 
@@ -96,55 +98,69 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     return picked.mapInArrow(run, f"id {kind}, fingerprint string, distinct_shingles double").withColumnRenamed("id", id_col)
 
 
-def _borders(ids: DataFrame, per_block: int) -> tuple[list[int], list[int], int | None]:
-    """Lower borders of the blocks of ids, the first id of each block, and the first of all."""
-    n = ids.count()
-    blocks = min(MOST_BLOCKS, max(1, -(-n // per_block)))
-    cuts = ids.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
-    cuts = sorted({int(x) for x in cuts})
-    return cuts, n
+def _order_keys(none: np.ndarray, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys whose byte order is that of (none, ids, h)."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = none
+    for at, x in ((1, ids), (9, h)):
+        out[:, at : at + 8] = (x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").reshape(-1)
 
 
-def with_successors(docs: DataFrame, per_block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (block, turn, id, t, own) in which each own row is followed by its successor.
+def with_successors(docs: DataFrame, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (block, turn, none, id, t, own) in which each own row is followed by its successor.
 
-    The ids are cut into blocks of about ``per_block``; the first row of each block
-    is copied to the end of the block before, and the first of all to the end of the
-    last.  Only one row per block (its border) passes through the driver.
+    The order is that of ids, null ids last, and of a hash of the text among rows
+    that share one.  It is cut into blocks; the first row of each block is copied to
+    the end of the block before, and the first of all to the end of the last.  What
+    passes through the driver is SAMPLES keys of 17 bytes for each block.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where("id is not null")
-    ids = base.select("id")
-    cuts, n = _borders(ids, per_block)
+    spark = docs.sparkSession
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).select(F.col("id").isNull().cast("int").alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("t").alias("h"), "t")
+    key = F.struct("none", "id", "h")
+    size = base.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes"), F.min(key).alias("first")).first()
+    if not size["n"]:
+        return base.select(F.lit(0).alias("block"), F.lit(0).alias("turn"), "none", "id", "t", F.lit(True).alias("own"))
+    blocks = blocks or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // BLOCK_BYTES))
+    share = min(1.0, SAMPLES * blocks / size["n"])
+    some = base.where(F.pmod(F.xxhash64(F.lit("border"), "none", "id", "h"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("none", "id", "h").distinct().toArrow()
+    keys = np.sort(_order_keys(*(c.to_numpy() for c in some.columns))) if some.num_rows else np.zeros(0, "S17")
+    at = np.unique(np.arange(1, blocks) * len(keys) // blocks)
+    first = _order_keys(*(np.array([size["first"][c]]) for c in ("none", "id", "h")))
+    cuts = np.unique(keys[at[at < len(keys)]])
+    cuts = cuts[cuts > first[0]]
 
     @F.pandas_udf("int")
-    def block_of(x):
+    def block_of(none, ids, h):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), x.to_numpy(), "right").astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, _order_keys(none.to_numpy(), ids.to_numpy(), h.to_numpy()), "right").astype(np.int32))
 
-    firsts = sorted((r["b"], r["id"]) for r in ids.select(block_of("id").alias("b"), "id").groupBy("b").agg(F.min("id").alias("id")).collect())
-    before = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}
-    if not firsts:
-        return base.select(F.lit(0).alias("block"), F.lit(0).alias("turn"), "id", "t", F.lit(True).alias("own")).limit(0)
-    last = firsts[-1][0]
-    heads = docs.sparkSession.createDataFrame([(at, b, int(i == 0)) for i, (at, b) in enumerate((at, before[at]) for _, at in firsts)], "id long, to int, turn int")
-    own = base.select(block_of("id").alias("block"), F.lit(0).alias("turn"), "id", "t", F.lit(True).alias("own"))
-    copies = base.join(F.broadcast(heads), "id").select(F.col("to").alias("block"), "turn", "id", "t", F.lit(False).alias("own"))
-    return own.unionByName(copies).repartition(last + 1, "block").sortWithinPartitions("block", "turn", "id", F.desc("own"), "t")
+    # a cut is the key of its block's first row
+    raw = np.frombuffer(b"".join(c.ljust(17, b"\0") for c in [*cuts.tolist(), first[0]]), np.uint8).reshape(-1, 17)
+    ids, h = (np.ascontiguousarray(raw[:, a : a + 8]).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63) for a in (1, 9))
+    heads = [(int(x), int(i), int(j), min(k, len(cuts)), int(k == len(cuts))) for k, (x, i, j) in enumerate(zip(raw[:, 0], ids.view(np.int64), h.view(np.int64), strict=True))]
+    heads = spark.createDataFrame(heads, "none int, id long, h long, block int, turn int")
+    own = base.select(block_of("none", "id", "h").alias("block"), F.lit(0).alias("turn"), "none", "id", "h", "t", F.lit(True).alias("own"))
+    copies = base.join(heads, ["none", "id", "h"]).select("block", "turn", "none", "id", "h", "t", F.lit(False).alias("own"))
+    return own.unionByName(copies).repartition(len(cuts) + 1, "block").sortWithinPartitions("block", "turn", "none", "id", "h", F.desc("own"), "t")
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, per_block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text replaces the last floor(n/2) code points by the first as many
     (or all) of the next document in ascending id; after the last comes the first.
-    A null text is empty, and two texts without words are alike (1).  Rows with a
-    null id have no place in the order and are left out; rows that share an id
-    follow one another in the order of their texts.  Columns: id, n_chars,
+    A null text is empty, and two texts without words are alike (1).  Every row gives
+    one row: null ids come last, and rows that share an id follow one another in the
+    order of a hash of their texts.  An empty table gives no rows, a single row is
+    its own successor; only the two named columns are read, so others can't clash.
+    A very long text is held once, with its successor.  Columns: id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
 
-    def emit(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    def emit(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         # rows: id, text, next text; in order, so a sketch serves as the next one's too
         edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for _, t, u in rows]
         texts = [t for _, t, _ in rows]
@@ -169,10 +185,10 @@ def edited_fingerprints(docs: DataFrame, k: int = K, per_block: int = 1000, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last own row, whose successor isn't known yet
-        out: list[tuple[int, str, str]] = []
+        out: list[tuple[int | None, str, str]] = []
         size = 0
         for b in batches:
-            for block, at, text, own in zip(*(b.column(c).to_pylist() for c in ("block", "id", "t", "own")), strict=True):
+            for block, none, at, text, own in zip(*(b.column(c).to_pylist() for c in ("block", "none", "id", "t", "own")), strict=True):
                 if held and held[0] == block:
                     out.append((held[1], held[2], text))
                     size += len(held[2])
@@ -180,10 +196,10 @@ def edited_fingerprints(docs: DataFrame, k: int = K, per_block: int = 1000, id_c
                     if size > 1 << 20:
                         yield emit(out)
                         out, size = [], 0
-                held = (block, at, text) if own else None
+                held = (block, None if none else at, text) if own else None
         if out:
             yield emit(out)
 
-    rows = with_successors(docs, per_block, id_col, text_col)
+    rows = with_successors(docs, blocks, id_col, text_col)
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
