@@ -10,6 +10,7 @@ never shuffled, and what is broadcast doesn't grow with the corpus.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -29,10 +30,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: entries of a worker's table of pre-tokens; it is emptied when full
 TABLE_LIMIT = 400_000
-#: longer pre-tokens are no keys of tables: their pieces are counted where they stand
+#: the key of a longer pre-token is its digest, so that no long string goes through a join
 KEEP_CHARS = 48
-#: distinct pre-tokens that a task holds before it hands them on, and rows of a batch of them
-TALLY_LIMIT, TALLY_ROWS = 100_000, 10_000
+#: distinct pre-tokens, and their characters, that a task holds before it hands them on; rows of a batch of them
+TALLY_LIMIT, TALLY_CHARS, TALLY_ROWS = 100_000, 4_000_000, 10_000
 #: longer texts aren't split into a list
 LIST_CHARS = 200_000
 #: pre-tokens that go to every worker at most
@@ -88,12 +89,16 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def _load(path: str):
-    """Tokenizer, its pattern, whether it lowers case, its special strings and a table of ids, once per worker."""
+    """Tokenizer, its pattern, whether it lowers case, a pattern of its special strings and a table of ids, once per worker."""
     if path not in _made:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        added = tok.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError(f"{path}: special strings that take in their surroundings aren't supported")
+        # the library takes the leftmost and there the longest
+        special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) or "(?!)")
         lower = tok.normalizer is not None
         # below U+0300 the pattern and the library agree on every character; other texts are split by the library
         pattern = _latin(WORD_PATTERN if lower else BYTE_PATTERN)
@@ -101,54 +106,71 @@ def _load(path: str):
     return _made[path]
 
 
-def frequencies(text: str, path: str) -> Counter | None:
-    """How often each pre-token occurs; None if a special string in the text makes the library's answer depend on more."""
+def frequencies(text: str, path: str) -> tuple[Counter, int]:
+    """How often each pre-token occurs, and how many special strings stand between them.
+
+    A special string is a token of its own, and the text is split there first.
+    """
     tok, pattern, lower, special, _ = _load(path)
-    if any(s in text for s in special):
-        return None
-    if not _plain.search(text):
-        text = text.lower() if lower else text
-        # a long text's pre-tokens aren't listed: the list would be many times its size
-        return Counter(pattern.findall(text) if len(text) <= LIST_CHARS else (m.group() for m in pattern.finditer(text)))
-    if tok.normalizer is not None:
-        text = tok.normalizer.normalize_str(text)
-    return Counter(text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text))
+    parts = special.split(text) if special.search(text) else [text]
+    seen: Counter = Counter()
+    for part in parts:
+        if not _plain.search(part):
+            part = part.lower() if lower else part
+            # a long text's pre-tokens aren't listed: the list would be many times its size
+            seen.update(pattern.findall(part) if len(part) <= LIST_CHARS else (m.group() for m in pattern.finditer(part)))
+        else:
+            if tok.normalizer is not None:
+                part = tok.normalizer.normalize_str(part)
+            seen.update(part[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(part))
+    return seen, len(parts) - 1
+
+
+def key_of(token: str) -> str:
+    """The pre-token itself, or a digest of a long one (which no pre-token is: it begins with a NUL and a letter)."""
+    return token if len(token) <= KEEP_CHARS else "\0d" + hashlib.sha256(token.encode()).hexdigest()
 
 
 def id_bytes(text: str, path: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
     tok, pattern, lower, special, table = _load(path)
-    if _plain.search(text) or any(s in text for s in special):
+    if _plain.search(text) or special.search(text):
         return _packed(tok.encode(text, add_special_tokens=False).ids)
     return b"".join(map(table.__getitem__, pattern.findall(text.lower() if lower else text)))
 
 
 def piece_counts(texts: DataFrame, path: str) -> DataFrame:
-    """token, n, pieces: every distinct pre-token of column t (up to KEEP_CHARS long), how often it occurs, its pieces."""
+    """token, n, pieces: the key of every distinct pre-token of column t, how often it occurs, its pieces."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
-            items = iter(seen.items())
+            # long ones last, in batches of their own
+            items = iter(sorted(seen.items(), key=lambda x: len(x[0]) > KEEP_CHARS) if size else seen.items())
             while part := list(islice(items, TALLY_ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["token", "n"])
             seen.clear()
 
         seen: Counter = Counter()
+        size = 0
         for b in batches:
             for text in b.column(0):
-                seen.update(frequencies(text.as_py() or "", path) or ())
-                if len(seen) >= TALLY_LIMIT:
+                got, _ = frequencies(text.as_py() or "", path)
+                seen.update(got)
+                size += sum(len(t) for t in got if len(t) > KEEP_CHARS)
+                if len(seen) >= TALLY_LIMIT or size >= TALLY_CHARS:
                     yield from flush()
+                    size = 0
         yield from flush()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             model = _load(path)[0].model
-            n = [len(_model_pieces(model, t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["token", "n", "pieces"])
+            found = b.column(0).to_pylist()
+            n = [len(_model_pieces(model, t)) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(t) for t in found], pa.string()), b.column(1), pa.array(n, pa.int64())], names=["token", "n", "pieces"])
 
-    kept = texts.select("t").mapInArrow(tally, "token string, n long").where(F.length("token") <= KEEP_CHARS)
-    return settled(kept.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(pieces, "token string, n long, pieces long"), "pieces")
+    tallies = texts.select("t").mapInArrow(tally, "token string, n long")
+    return settled(tallies.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(pieces, "token string, n long, pieces long"), "pieces")
 
 
 def head(pieces: DataFrame, most: int) -> dict[str, int]:
@@ -172,8 +194,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     Columns: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > limit).  A null
     text counts as empty (0 bytes, 0 tokens); repeated rows and null ids are each
     counted; an empty table gives no rows; only the two named columns are read, so
-    extra columns cannot clash.  Texts that contain a special string go to the
-    library whole, as do pre-tokens longer than KEEP_CHARS to its model.
+    extra columns cannot clash.  A special string counts as one token and parts the
+    text; a pre-token of any length is counted once, a long one under its digest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -181,20 +203,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(head(pieces, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, tok = shared.value, _load(path)[0]
+        common = shared.value
         for b in batches:
             sizes, known, ends, rare, often = [], [], [0], [], []
             for value in b.column(1):
-                text, total = value.as_py() or "", 0
-                found = frequencies(text, path)
-                if found is None:
-                    total, found = len(tok.encode(text, add_special_tokens=False).ids), {}
+                text = value.as_py() or ""
+                found, total = frequencies(text, path)
                 for token, f in found.items():
+                    token = token if len(token) <= KEEP_CHARS else key_of(token)
                     n = common.get(token)
                     if n is not None:
                         total += n * f
-                    elif len(token) > KEEP_CHARS:
-                        total += len(_model_pieces(tok.model, token)) * f
                     else:
                         rare.append(token)
                         often.append(f)
