@@ -7,10 +7,11 @@ to the next shorter context d/(n+d); after the empty context, 1/256).  The text'
 code length is the exact sum over all its bytes, and the language with the
 shortest code wins.
 
-The trees of all languages are compiled into one automaton whose states are the
-contexts: a table gives the next state and the cost in every language of each
-byte, so scoring is two table look-ups a byte, made for thousands of stretches of
-text side by side.
+Each language's tree is compiled into an automaton whose states are the contexts: a
+table gives the next state and the cost of each byte, so scoring is two table
+look-ups a byte and language, made for thousands of stretches of text side by side.
+Tables grow with the number of languages, and one language's don't depend on the
+others'.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hypnoframe.llm import textblocks as tb
@@ -42,18 +43,23 @@ class PPMModel:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def train(texts: list[tuple[str, str]], order: int = 4, table_bytes: int = 24 << 20) -> PPMModel:
+#: contexts that a language keeps at most
+CONTEXTS = 8000
+
+
+def train(texts: list[tuple[str, str]], order: int = 4, contexts: int = CONTEXTS) -> PPMModel:
     """Model of (text, language) pairs.
 
-    Contexts beyond those that fill ``table_bytes`` of compiled tables are pruned,
-    rarest first; a kept context's shorter forms are always kept.  Without any
-    text, the model has no language and every prediction is ``und``.
+    A language with more than ``contexts`` contexts loses its rarest, all of the
+    same frequency together (a context's shorter forms are at least as frequent, so
+    they stay); one with fewer keeps all, those seen once too.  Without any text,
+    the model has no language and every prediction is ``und``.
     """
     languages = sorted({lang for _, lang in texts})
-    grams: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+    kept: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
     for lang in languages:
         parts = [np.frombuffer(t.encode(), np.uint8).astype(np.uint64) for t, of in texts if of == lang]
-        own = []
+        own, seen = [], []
         for k in range(order + 1):
             keys = []
             for x in parts:
@@ -64,42 +70,31 @@ def train(texts: list[tuple[str, str]], order: int = 4, table_bytes: int = 24 <<
                         key = (key << np.uint64(8)) | x[j : j + m]
                     keys.append(key)
             u, c = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            own.append((u >> np.uint64(8), (u & np.uint64(255)).astype(np.uint8), c))
-        grams.append(own)
-    symbols = len(np.unique(np.concatenate([g[0][1] for g in grams]))) + 1 if grams else 1
-    room = max(1 + 256, table_bytes // (symbols * 4 * (1 + max(1, len(languages)))))
-    # how often each context was seen, in any language; the rarest go
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(order + 1):
-        if grams:
-            ctx = np.concatenate([g[k][0] for g in grams])
-            n = np.concatenate([g[k][2] for g in grams])
-            u, at = np.unique(ctx, return_inverse=True)
-            seen.append((u, np.bincount(at, weights=n).astype(np.int64)))
-    counts = np.sort(np.concatenate([c for _, c in seen]))[::-1] if seen else np.zeros(0)
-    least = max(2, int(counts[room]) + 1) if len(counts) > room else 2
-    kept = []
-    for own in grams:
+            ctx = u >> np.uint64(8)
+            _, at = np.unique(ctx, return_inverse=True)
+            often = np.bincount(at, weights=c).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+            own.append((ctx, (u & np.uint64(255)).astype(np.uint8), c, often[at] if len(at) else often))
+            seen.append(often)
+        counts = np.sort(np.concatenate(seen))[::-1]
+        least = int(counts[contexts]) + 1 if len(counts) > contexts else 1
         rows = []
-        for k, (ctx, byte, n) in enumerate(own):
-            u, c = seen[k]
-            ok = np.ones(len(ctx), bool) if k == 0 else c[np.searchsorted(u, ctx)] >= least
+        for k, (ctx, byte, n, often) in enumerate(own):
+            ok = often >= least if k else np.ones(len(ctx), bool)
             rows.append((ctx[ok], byte[ok], n[ok]))
         kept.append(rows)
     return PPMModel(languages, order, kept)
 
 
 class Automaton:
-    """The compiled model: ``step`` and ``cost`` by state * width + symbol."""
+    """A compiled language: ``step`` and ``cost`` by state * width + symbol."""
 
-    def __init__(self, model: PPMModel):
-        L, K = len(model.languages), model.order
-        self.languages, self.order = model.languages, K
-        used = np.unique(np.concatenate([g[0][1] for g in model.counts])) if L else np.zeros(0, np.uint8)
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        K = self.order = len(counts) - 1
+        used = np.unique(counts[0][1])
         self.width = A = len(used) + 1
         self.symbol = np.full(256, A - 1, np.uint16)  # the last symbol: bytes never seen
         self.symbol[used] = np.arange(len(used))
-        levels = [np.unique(np.concatenate([g[k][0] for g in model.counts])) if L else np.zeros(1, np.uint64) for k in range(K + 1)]
+        levels = [np.unique(ctx) for ctx, _, _ in counts]
         levels[0] = np.zeros(1, np.uint64)
         first = np.cumsum([0, *(len(x) for x in levels)])
 
@@ -108,26 +103,23 @@ class Automaton:
             at = np.minimum(np.searchsorted(levels[k], key), max(len(levels[k]) - 1, 0))
             return np.where(levels[k][at] == key, at + first[k], -1) if len(levels[k]) else np.full(len(key), -1)
 
-        n_states = int(first[-1])
-        cost = np.zeros((n_states, A, max(L, 1)), np.float32)
-        for lang in range(L):
-            for k in range(K + 1):
-                rows = slice(int(first[k]), int(first[k + 1]))
-                if k == 0:
-                    base = np.full((1, A), 8.0)
-                else:
-                    short = levels[k] & np.uint64((1 << 8 * (k - 1)) - 1)
-                    base = cost[find(k - 1, short), :, lang].astype(np.float64)
-                ctx, byte, n = model.counts[lang][k]
-                if len(ctx):
-                    at = find(k, ctx) - first[k]
-                    total = np.bincount(at, weights=n, minlength=len(levels[k]))
-                    kinds = np.bincount(at, minlength=len(levels[k]))
-                    own = kinds > 0
-                    base[own] += (np.log2(total[own] + kinds[own]) - np.log2(kinds[own]))[:, None]
-                    base[at, self.symbol[byte]] = np.log2(total[at] + kinds[at]) - np.log2(n)
-                cost[rows, :, lang] = base
-        step = np.zeros((n_states, A), np.int32)
+        cost = np.zeros((int(first[-1]), A), np.float32)
+        for k in range(K + 1):
+            rows = slice(int(first[k]), int(first[k + 1]))
+            if k == 0:
+                base = np.full((1, A), 8.0)
+            else:
+                short = levels[k] & np.uint64((1 << 8 * (k - 1)) - 1)
+                base = cost[find(k - 1, short)].astype(np.float64)
+            ctx, byte, n = counts[k]
+            if len(ctx):
+                at = find(k, ctx) - first[k]
+                total = np.bincount(at, weights=n, minlength=len(levels[k]))
+                kinds = np.bincount(at, minlength=len(levels[k]))
+                base += (np.log2(total + kinds) - np.log2(kinds))[:, None]
+                base[at, self.symbol[byte]] = np.log2(total[at] + kinds[at]) - np.log2(n)
+            cost[rows] = base
+        step = np.zeros((int(first[-1]), A), np.int32)
         for k in range(K + 1):
             rows = np.arange(first[k], first[k + 1])
             for s, byte in enumerate(used):
@@ -142,7 +134,15 @@ class Automaton:
                     if not todo.any():
                         break
                 step[rows, s] = to
-        self.step, self.cost = step.reshape(-1) * A, cost.reshape(-1, max(L, 1))
+        self.step, self.cost = step.reshape(-1) * A, cost.reshape(-1)
+
+
+class Scorer:
+    """The compiled languages of a model."""
+
+    def __init__(self, model: PPMModel):
+        self.languages, self.order = model.languages, model.order
+        self.automata = [Automaton(c) for c in model.counts]
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray, stretch: int = 512) -> np.ndarray:
         """Bits of each row in each language.
@@ -151,45 +151,63 @@ class Automaton:
         walks the ``order`` bytes before it, so its state is the one a single walk
         from the row's start would have.
         """
-        n, L, K = len(off) - 1, len(self.languages), self.order
-        bits = np.zeros((n, L))
+        n, K = len(off) - 1, self.order
+        bits = np.zeros((n, len(self.languages)))
         size = np.diff(off)
         parts = -(-size // stretch)
         row = np.repeat(np.arange(n), parts)
-        if not len(row) or not L:
+        if not len(row):
             return bits
         index = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = off[:-1][row] + index * stretch
         length = np.minimum(stretch, off[1:][row] - start)
         order = np.argsort(-length, kind="stable")
         row, start, length, index = row[order], start[order], length[order], index[order]
-        sym = self.symbol[raw].astype(np.int32)
-        state = np.zeros(len(row), np.int32)
         inner = np.flatnonzero(index)
-        for j in range(-K, 0):
-            state[inner] = self.step[state[inner] + sym[start[inner] + j]]
-        spent = np.zeros((len(row), L), np.float32)
         live = np.searchsorted(-length, -np.arange(stretch), "left")  # stretches longer than t
-        for t in range(int(length[0])):
-            m = int(live[t])
-            at = state[:m] + sym[start[:m] + t]
-            spent[:m] += self.cost[at]
-            state[:m] = self.step[at]
-        for lang in range(L):
-            bits[:, lang] = np.bincount(row, weights=spent[:, lang], minlength=n)
+        for lang, auto in enumerate(self.automata):
+            sym = auto.symbol[raw].astype(np.int32)
+            state = np.zeros(len(row), np.int32)
+            for j in range(-K, 0):
+                state[inner] = auto.step[state[inner] + sym[start[inner] + j]]
+            spent = np.zeros(len(row), np.float64)
+            for t in range(int(length[0])):
+                m = int(live[t])
+                at = state[:m] + sym[start[:m] + t]
+                spent[:m] += auto.cost[at]
+                state[:m] = auto.step[at]
+            bits[:, lang] = np.bincount(row, weights=spent, minlength=n)
         return bits
 
 
-_compiled: dict[str, Automaton] = {}
+_compiled: dict[str, Scorer] = {}
 
 
-def compiled(model: PPMModel) -> Automaton:
+def compiled(model: PPMModel) -> Scorer:
     if model.uid not in _compiled:
         _compiled.clear()
-        _compiled[model.uid] = Automaton(model)
+        _compiled[model.uid] = Scorer(model)
     return _compiled[model.uid]
 
 
+def sample(docs: DataFrame, per_language: int = 250, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """Whole labelled texts to learn from, of every language, chosen by a hash of id and text.
+
+    Bounds, both parameters: texts a language, and the length of a text that may be
+    chosen.  Rows with a null text or language teach nothing.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and length(t) between 1 and %d" % most_chars)
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    if not sizes:
+        return []
+    # first a share of each language by the hash, somewhat more than wanted, then exactly the wanted number
+    shares = F.create_map(*(F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, (1.5 * per_language + 50) / n))))
+    some = rows.withColumn("o", F.xxhash64(F.lit("langid"), "id", "t")).where(F.pmod("o", F.lit(1 << 20)) < F.element_at(shares, F.col("l")) * (1 << 20))
+    first = Window.partitionBy("l").orderBy("o", "t")
+    got = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("l", "r", "t").collect()
+    return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["l"], r["r"]))]
+
+
 def sample(docs: DataFrame, per_language: int = 250, most_languages: int = 64, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """Whole labelled texts to learn from, chosen by a hash of their id.
 
@@ -214,7 +232,7 @@ def sample(docs: DataFrame, per_language: int = 250, most_languages: int = 64, m
     return out
 
 
-def predictions(auto: Automaton, col: pa.Array) -> tuple[list[str], np.ndarray]:
+def predictions(auto: Scorer, col: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and posterior of each text."""
     if not auto.languages or not len(col):
         return [UNDETERMINED] * len(col), np.zeros(len(col))
@@ -232,6 +250,8 @@ def identify(docs: DataFrame, model: PPMModel, id_cols: list[str] = ("doc_id",),
     score is the posterior of the chosen language under equal priors.  lang_pred is
     ``und`` with score 0 where the text is null or has no letter, or where the model
     has learned no language.  Ties go to the first language in alphabetical order.
+    Null ids and repeated rows are kept as they are, an empty table gives no rows, and
+    a very long text is scored whole, stretch by stretch.
     """
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = [f"c{i}" for i in range(len(id_cols))]
@@ -251,7 +271,11 @@ def identify(docs: DataFrame, model: PPMModel, id_cols: list[str] = ("doc_id",),
 
 
 def accepted(docs: DataFrame, model: PPMModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with a posterior of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is determined with a posterior of at least ``least``.
+
+    Null texts and texts without a letter go; each of the other rows is judged by
+    its own text, whatever its id.
+    """
     narrow_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     place = docs.columns.index(text_col)

@@ -136,7 +136,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_chars: int
         return [], []
     picked = docs.sparkSession.createDataFrame([(i, y) for _, i, y in rows], "id long, y int")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(f"t is not null and length(t) <= {most_chars}")
-    got = sorted((r["id"], r["y"], r["t"]) for r in texts.join(F.broadcast(picked), "id").collect())
+    # an id stands for one text, the alphabetically first of those that share it
+    got = sorted((r["id"], r["y"], r["t"]) for r in texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect())
     return [t for _, _, t in got], [y for _, y, _ in got]
 
 
