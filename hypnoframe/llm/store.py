@@ -25,18 +25,30 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hypnoframe-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hypnoframe_path = path
     return out
 
 
+def _filed(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the application ends: later plans may read it until then."""
+    fs, where = _filed(spark, path)
+    fs.deleteOnExit(where)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a settled table that no later plan reads."""
     path = getattr(df, "_hypnoframe_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _filed(df.sparkSession, path)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
 
 
 def narrow_batches(spark: SparkSession) -> None:
