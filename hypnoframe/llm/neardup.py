@@ -56,11 +56,18 @@ def weighted(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def prob_minhash(n_rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
-    """Signatures: for each row and register the shingle whose arrival came first (0: none)."""
+    """Signatures: for each row and register the shingle whose arrival came first (0: none).
+
+    ``row`` ascends.  A round draws the next arrival of each shingle that is still
+    live, and looks again only at the registers of rows that still have one.
+    """
     total = np.bincount(row, weights=weight, minlength=n_rows)
     rate = weight / total[row]
     first = np.full(n_rows * registers, np.inf)
-    live = np.arange(len(row))
+    held = first.reshape(n_rows, registers)
+    # all arrivals of a row with one shingle are that shingle's
+    alone = np.bincount(row, minlength=n_rows) == 1
+    live = np.flatnonzero(~alone[row])
     time = np.zeros(len(row))
     last = np.full(n_rows, np.inf)
     seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -76,13 +83,18 @@ def prob_minhash(n_rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.n
             np.minimum.at(first, place, time[live])
             won = first[place] == time[live]
             seen.append((place[won], time[live][won], shingle[live][won]))
-            last = first.reshape(n_rows, registers).max(1)
+            rows = row[live]
+            rows = rows[np.r_[True, rows[1:] != rows[:-1]]]
+            last[rows] = held[rows].max(1)
             k += 1
     out = np.zeros(n_rows * registers, U)
     for place, at, s in seen:
         final = first[place] == at
         out[place[final]] = s[final]
-    return out.reshape(n_rows, registers)
+    out = out.reshape(n_rows, registers)
+    single = np.flatnonzero(alone[row])
+    out[row[single]] = shingle[single, None]
+    return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
