@@ -61,41 +61,53 @@ def fir(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return y[at : at + len(x)]
 
 
-def butterworth(sr: float, kind: str, edges: list[float], order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections by the bilinear transform of the analogue prototype; band filters cascade low and high pass."""
-    if kind == "bandpass":
-        return butterworth(sr, "highpass", [edges[0]], order) + butterworth(sr, "lowpass", [edges[1]], order)
-    k = math.tan(math.pi * edges[0] / sr)
-    out = []
-    for i in range(order // 2):
-        q = 2 * math.sin(math.pi * (2 * i + 1) / (2 * order))
-        d = 1 + q * k + k * k
-        b = np.array([k * k, 2 * k * k, k * k]) if kind == "lowpass" else np.array([1.0, -2.0, 1.0])
-        out.append((b / d, np.array([1.0, 2 * (k * k - 1) / d, (1 - q * k + k * k) / d])))
-    if order % 2:
-        b = np.array([k, k, 0]) if kind == "lowpass" else np.array([1.0, -1.0, 0])
-        out.append((b / (1 + k), np.array([1.0, (k - 1) / (1 + k), 0])))
-    return out
-
-
-def response(sections: list[tuple[np.ndarray, np.ndarray]], sr: float, f: np.ndarray) -> np.ndarray:
-    z = np.exp(-2j * np.pi * f / sr)
-    h = np.ones(len(f), complex)
-    for b, a in sections:
-        h *= (b[0] + b[1] * z + b[2] * z * z) / (a[0] + a[1] * z + a[2] * z * z)
+def recursive(sr: float, kind: str, edges: list[float], order: int = 4, eps: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a Butterworth (or, with ``eps``, Chebyshev type I) filter by the bilinear transform.
+
+    Band filters have ``order`` poles at each edge.
+    """
+    t = np.pi * (2 * np.arange(order) + 1) / (2 * order)
+    if eps is None:
+        p = -np.sin(t) + 1j * np.cos(t)
+    else:
+        mu = math.asinh(1 / eps) / order
+        p = -math.sinh(mu) * np.sin(t) + 1j * math.cosh(mu) * np.cos(t)
+    w = np.tan(np.pi * np.asarray(edges, float) / sr)
+    if kind in ("lowpass", "highpass"):
+        p = p * w[0] if kind == "lowpass" else w[0] / p
+        z = np.zeros(0 if kind == "lowpass" else order, complex)
+    else:
+        mid, half = w[0] * w[1], (w[1] - w[0]) / 2
+        q = p * half if kind == "bandpass" else half / p
+        r = np.sqrt(q * q - mid)
+        p = np.concatenate([q + r, q - r])
+        z = np.zeros(order, complex) if kind == "bandpass" else np.repeat([1j, -1j], order) * math.sqrt(mid)
+    zd = np.concatenate([(1 + z) / (1 - z), np.full(len(p) - len(z), -1.0 + 0j)])
+    pd = (1 + p) / (1 - p)
+    at = {"lowpass": 0.0, "bandstop": 0.0, "highpass": sr / 2}.get(kind)
+    at = np.arctan(math.sqrt(w[0] * w[1])) * sr / np.pi if at is None else at
+    # a Chebyshev filter of even order has a trough at the middle of its pass band
+    peak = 1.0 if eps is None or order % 2 else 1 / math.sqrt(1 + eps * eps)
+    return zd, pd, peak / abs(response(zd, pd, 1.0, sr, np.array([at]))[0])
+
+
+def response(zeros: np.ndarray, poles: np.ndarray, gain: float, sr: float, f: np.ndarray) -> np.ndarray:
+    e = np.exp(2j * np.pi * f / sr)
+    h = np.full(len(f), gain, complex)
+    for k in range(len(poles)):
+        h *= (e - zeros[k]) / (e - poles[k])
     return h
 
 
-def zero_phase(x: np.ndarray, sr: float, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """IIR magnitude, applied forwards and backwards through the spectrum of the reflected signal."""
-    n = len(x)
-    y = np.concatenate([x[::-1], x, x[::-1]])
-    h = np.abs(response(sections, sr, np.fft.rfftfreq(3 * n, 1 / sr))) ** 2
-    return np.fft.irfft(np.fft.rfft(y) * h, 3 * n)[n : 2 * n]
+def one_pass(x: np.ndarray, zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
+    """A recursive filter run once over x from rest, through a spectrum padded until its tail is under 1e-12."""
+    tail = math.ceil(-27.7 / math.log(min(np.abs(poles).max(), 1 - 1e-6)))
+    n = 1 << (len(x) + min(tail, 50 * len(x) + 1000)).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, n) * response(zeros, poles, gain, 1.0, np.fft.rfftfreq(n)), n)[: len(x)]
 
 
-def filtered(x: np.ndarray, sr: float, kind: str, edges: list[float], order: int | None = None, ripple: float = 0.02, tw: float = 1.0) -> np.ndarray:
-    return zero_phase(x, sr, butterworth(sr, kind, edges, order)) if order else fir(x, kaiser_fir(sr, kind, edges, ripple, tw))
+def filtered(x: np.ndarray, sr: float, kind: str, edges: list[float], ripple: float = 0.02, tw: float = 1.0) -> np.ndarray:
+    return fir(x, kaiser_fir(sr, kind, edges, ripple, tw))
 
 
 def resample(x: np.ndarray, sr: float, to: float, method: str = "sinc") -> np.ndarray:

@@ -38,6 +38,20 @@ def tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def names_in(text: str) -> list[str]:
+    """Names that an expression (or ``;``-separated assignments) uses and doesn't assign itself, in order; functions aside."""
+    used, own = [], set()
+    for part in filter(None, (p.strip() for p in text.split(";"))):
+        found = tokens(part)
+        target = found[0][1] if len(found) > 2 and found[0][0] == "name" and found[1] == ("op", "=") else None
+        for k, (kind, word) in enumerate(found):
+            call = k + 1 < len(found) and found[k + 1] == ("op", "(") and word in FUNCTIONS
+            if kind == "name" and not call and not (k == 0 and target) and word not in own and word not in used and word.lower() not in ("true", "false"):
+                used.append(word)
+        own |= {target} if target else set()
+    return used
+
+
 def _vector(c: Column) -> Column:
     return c
 

@@ -29,10 +29,22 @@ def median_filter(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def rolling_norm(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, out: str = "z") -> DataFrame:
-    """Centred z-score; frames are cut at the edges."""
+    """Centred z-score in windows that are whole at the ends too.
+
+    Before the first value stand once more the (size-1)/2 values that follow it, and
+    after the last those that precede it, both in their order.  A group of fewer
+    than (size+1)/2 values has no such window: null.
+    """
     h = size // 2
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-h, h)
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
+    # the places at which a row stands: its own, and one before or after all others
+    before = F.when((F.col("_rn") > 1) & (F.col("_rn") <= h + 1), F.col("_rn") - 1 - h)
+    after = F.when((F.col("_rn") >= F.col("_n") - h) & (F.col("_rn") < F.col("_n")), F.col("_rn") + h + 1)
+    placed = d.withColumn("_at", F.explode(F.array_compact(F.array(F.col("_rn"), before, after))))
+    win = w.orderBy("_at").rowsBetween(-h, h)
+    z = F.try_divide(F.col(value) - F.avg(value).over(win), F.stddev_samp(value).over(win))
+    return placed.withColumn(out, F.when(F.col("_n") > h, z)).where("_at = _rn").drop("_rn", "_n", "_at")
 
 
 def difference(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "diff") -> DataFrame:

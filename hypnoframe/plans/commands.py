@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hypnoframe.functions import dsp
-from hypnoframe.functions.expr import assignments, compiled
+from hypnoframe.functions.expr import compiled, names_in
 from hypnoframe.operators import epochs as ep
 from hypnoframe.operators import hypno
 from hypnoframe.operators import intervals as iv
@@ -155,8 +156,7 @@ def stop(s: Session, c: Command) -> Session:
 
 @command("REQUIRES")
 def requires(s: Session, c: Command) -> Session:
-    need, have = (c.get("version", "v0").lstrip("v").split("."), "1.0.0".split("."))
-    if any(int(n) > int(h) for n, h in zip(need, have, strict=False)):
+    if tuple(int(n) for n in c.get("version", "v0").lstrip("v").split(".")) > (1, 0, 0):
         raise ScriptError(f"version {c.get('version')} is required")
     return s
 
@@ -206,9 +206,9 @@ def regrid(s: Session, c: Command) -> Session:
 @command("SIGNALS")
 def signals(s: Session, c: Command) -> Session:
     if c.has("keep") or c.has("req"):
-        s = s.with_samples(s.samples.where(s.matching(c.get("keep", c.get("req")))))
+        s = s.with_samples(s.chosen(c.get("keep", c.get("req"))))
     if c.has("drop"):
-        s = s.with_samples(s.samples.where(~s.matching(c.get("drop"))))
+        s = s.with_samples(s.chosen(c.get("drop"), False))
     if c.has("pick"):
         order = F.array(*(F.lit(x.upper()) for x in c.list("pick")))
         rank = F.array_position(order, F.upper("ch"))
@@ -278,7 +278,7 @@ def canonical(s: Session, c: Command) -> Session:
 @command("REMAP")
 def remap(s: Session, c: Command) -> Session:
     m = dict(x.split(":") for x in c.list("map"))
-    return replace(s, annots=s.annots.withColumn("class", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), "class"), F.col("class"))) if m else s.annots)
+    return replace(s, annots=s.annots.withColumn("class", F.coalesce(F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[F.col("class")], F.col("class"))) if m else s.annots)
 
 
 @command("DROP-ANNOTS")
@@ -453,8 +453,7 @@ def mask(s: Session, c: Command) -> Session:
         notes = s.annots.select("id", F.col("class").alias("_c"), F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
         hits = iv.range_join(e.select("id", "e", "start_ns", "stop_ns"), notes, ["id"]).groupBy("id", "e").agg(F.collect_set("_c").alias("_s"))
         j = e.join(hits, ["id", "e"], "left")
-        names = {r["class"]: F.coalesce(F.array_contains("_s", r["class"]), F.lit(False)) for r in s.annots.select("class").distinct().limit(10_000).collect()}
-        names |= {k: F.col(k) for k in ("e", "start_ns", "stop_ns")}
+        names = {k: F.coalesce(F.array_contains("_s", k), F.lit(False)) for k in names_in(value)} | {k: F.col(k) for k in ("e", "start_ns", "stop_ns")}
         e = ep.mask_expr(j, compiled(value, names), mode, bare == "not-expr").drop("_s")
     else:
         raise ScriptError(f"MASK doesn't know {key}")
@@ -623,8 +622,7 @@ def make_annots(s: Session, c: Command) -> Session:
 @command("EXTEND")
 def extend(s: Session, c: Command) -> Session:
     w = round(c.num("w", 0.0) * NS)
-    names = [r["class"] for r in s.of_class(c.list("annots")).select("class").distinct().limit(10_000).collect()]
-    hit = F.col("class").isin(names)
+    hit = s.in_class(c.list("annots"))
     return replace(s, annots=iv.extend(s.annots.where(hit), w, w).unionByName(s.annots.where(~hit)))
 
 
@@ -651,26 +649,48 @@ def axa(s: Session, c: Command) -> Session:
 
 @command("OVERLAP")
 def overlap(s: Session, c: Command) -> Session:
-    """Seeds that overlap others, against a null of circular shifts: OBS, EXP, Z, P; and mean distances.
+    """Seeds that overlap others, against a null of circular shifts: OBS, EXP, Z, P.
 
-    Replicates are rows (id, rep) with a seeded shift, so they spread over the
-    cluster; each meets the others by the same range join as the observation.
+    A recording's seeds and its merged others meet in one row; each replicate moves
+    all seeds by one offset around the recording, and a seed that crosses its end
+    goes on at its start.  Counts by recording and replicate are added up by Spark.
     """
-    reps = int(c.num("nreps", 100))
-    seeds = s.of_class(c.list("seed")).select("id", F.col("class").alias("seed"), "start_ns", "stop_ns").withColumn("k", F.monotonically_increasing_id())
-    other = iv.islands(s.of_class(c.list("other")), ["id"]).select("id", F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
-    shifted = seeds.join(s.recordings.select("id", "dur_ns"), "id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    by = F.when(F.col("rep") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(int(s.variables.get("srand", "1"))), "id", "rep"), F.col("dur_ns")))
-    at = F.pmod(F.col("start_ns") + by, F.col("dur_ns"))
-    shifted = shifted.select("id", "seed", "rep", "k", at.alias("start_ns"), (at + F.col("stop_ns") - F.col("start_ns")).alias("stop_ns"))
-    hit = iv.range_join(shifted, other, ["id"]).select("seed", "rep", "id", "k").distinct().groupBy("seed", "rep").agg(F.count("*").alias("n"))
-    grid = seeds.select("seed").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).join(hit, ["seed", "rep"], "left").fillna(0, ["n"])
+    reps, seed = int(c.num("nreps", 1000)), int(s.variables.get("srand", "1"))
+    pack = lambda: F.collect_list(F.struct("start_ns", "stop_ns"))
+    seeds = s.of_class(c.list("seed")).groupBy("id", F.col("class").alias("seed")).agg(pack().alias("a"))
+    other = iv.islands(s.of_class(c.list("other")), ["id"]).groupBy("id").agg(pack().alias("b"))
+    j = seeds.join(s.recordings.select("id", "dur_ns"), "id").join(other, "id", "left").select("id", "seed", "dur_ns", "a", "b")
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for i, name, dur, a, b in p.itertuples(index=False):
+                x = np.array([(r["start_ns"], r["stop_ns"]) for r in a], np.int64)
+                y = np.array(sorted((r["start_ns"], r["stop_ns"]) for r in b) if b is not None else [], np.int64).reshape(-1, 2)
+                by = np.random.default_rng([seed, zlib.crc32(str(i).encode())]).integers(0, max(dur, 1), reps)
+                for k in range(reps + 1):
+                    at = (x[:, 0] + (by[k - 1] if k else 0)) % max(dur, 1) if k else x[:, 0]
+                    end = at + x[:, 1] - x[:, 0]
+                    hit = _meets(at, end, y) | (_meets(np.zeros(len(x), np.int64), end - dur, y) & (end > dur) if k else False)
+                    rows.append((name, k, int(hit.sum())))
+            yield pd.DataFrame(rows, columns=["seed", "rep", "n"])
+
+    grid = j.mapInPandas(run, "seed string, rep int, n long").groupBy("seed", "rep").agg(F.sum("n").alias("n"))
     obs = grid.where("rep = 0").select("seed", F.col("n").alias("OBS"))
     null = grid.where("rep > 0").join(obs, "seed").groupBy("seed", "OBS").agg(F.avg("n").alias("EXP"), F.stddev_pop("n").alias("sd"), F.sum((F.col("n") >= F.col("OBS")).cast("int")).alias("ge"))
     out = null.select("seed", "OBS", "EXP", F.when(F.col("sd") > 0, (F.col("OBS") - F.col("EXP")) / F.col("sd")).alias("Z"), ((F.col("ge") + 1) / F.lit(reps + 1)).alias("P"))
     return s.emit("OVERLAP", out, "SEED")
 
 
+def _meets(start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each interval (a point: its start) meets one of the ascending, disjoint ``other``."""
+    if not len(other):
+        return np.zeros(len(start), bool)
+    last = np.maximum(stop, start + 1)
+    k = np.searchsorted(other[:, 0], last, "left") - 1
+    return (k >= 0) & (other[np.maximum(k, 0), 1] > start)
+
+
 @command("A2S")
 def a2s(s: Session, c: Command) -> Session:
     """0/1 channel of a class at a rate, from its flattened intervals."""
@@ -734,10 +754,10 @@ def tabulate(s: Session, c: Command) -> Session:
 def evaluate(s: Session, c: Command) -> Session:
     """Per epoch: an expression over the counts and seconds of each class (``N2.n``, ``N2.sec``, ``N2`` = present); true epochs become annotations."""
     e = _ensured(s).epochs.where("not masked").select("id", "e", "start_ns", "stop_ns")
-    classes = sorted(r["class"] for r in s.annots.select("class").distinct().limit(1000).collect())
+    classes = sorted({n.removesuffix(".sec").removesuffix(".n") for n in names_in(c.get("expr"))} - {"e", "start_ns", "stop_ns"})
     names: dict = {k: F.col(k) for k in ("e", "start_ns", "stop_ns")}
     a = s.annots.select("id", F.col("class").alias("_c"), F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
-    hits = iv.range_join(e, a, ["id"]).groupBy("id", "e").agg(*(x for k in classes for x in (F.sum(F.when(F.col("_c") == k, 1).otherwise(0)).alias(f"n_{k}"), F.sum(F.when(F.col("_c") == k, (F.least("stop_ns", "r_stop") - F.greatest("start_ns", "r_start")) / NS).otherwise(0.0)).alias(f"s_{k}"))))
+    hits = iv.range_join(e, a.where(F.col("_c").isin(classes)), ["id"]).groupBy("id", "e").agg(F.lit(True).alias("_any"), *(x for k in classes for x in (F.sum(F.when(F.col("_c") == k, 1).otherwise(0)).alias(f"n_{k}"), F.sum(F.when(F.col("_c") == k, (F.least("stop_ns", "r_stop") - F.greatest("start_ns", "r_start")) / NS).otherwise(0.0)).alias(f"s_{k}"))))
     j = e.join(hits, ["id", "e"], "left")
     for k in classes:
         n, sec = F.coalesce(F.col(f"`n_{k}`"), F.lit(0)), F.coalesce(F.col(f"`s_{k}`"), F.lit(0.0))
@@ -752,7 +772,7 @@ def evaluate(s: Session, c: Command) -> Session:
 @command("DERIVE")
 def derive(s: Session, c: Command) -> Session:
     """One expression per recording over vectors of each class's seconds."""
-    classes = sorted(r["class"] for r in s.annots.select("class").distinct().limit(1000).collect())
+    classes = names_in(c.get("expr"))
     g = s.annots.groupBy("id").agg(*(F.collect_list(F.when(F.col("class") == k, (F.col("stop_ns") - F.col("start_ns")) / NS)).alias(k) for k in classes))
     return s.emit("DERIVE", g.select("id", compiled(c.get("expr"), classes).cast("string").alias(c.get("var", "VALUE"))))
 
@@ -760,23 +780,25 @@ def derive(s: Session, c: Command) -> Session:
 @command("TRANS")
 def trans(s: Session, c: Command) -> Session:
     """``sig=new expr="a = C3 * 2 ; a - C4"``: sample-wise over channels of one rate, in Catalyst expressions."""
-    names = [r["ch"] for r in s.samples.select("ch").distinct().limit(10_000).collect()]
-    used = [n for n in names if n in c.get("expr")]
+    used = names_in(c.get("expr"))
     wide = s.samples.where(F.col("ch").isin(used)).groupBy("id", "sr", "unit").pivot("ch", used).agg(F.first("v"))
     wide = wide.where(" and ".join(f"`{u}` is not null" for u in used))
-    cols = assignments(c.get("expr"), used)
-    last = list(cols.values())[-1]
     rows = F.arrays_zip(*(F.col(f"`{u}`") for u in used))
-    text = list(cols)[-1]
+    name = c.get("sig") or last_name(c.get("expr"))
     fn = lambda r: assignments_on(c.get("expr"), {u: r[u] for u in used})
-    out = wide.select("id", F.lit(c.get("sig", text)).alias("ch"), "sr", "unit", F.transform(rows, fn).cast("array<double>").alias("v"))
-    del last
+    out = wide.select("id", F.lit(name).alias("ch"), "sr", "unit", F.transform(rows, fn).cast("array<double>").alias("v"))
     if c.has("annot"):
-        at = out.select("id", "ch", "sr", "v")
         flagged = replace(s, samples=out).rows(Command("S2A", {"sig": "*"}), lambda x, sr: [{"start": a / sr, "stop": b / sr} for a, b in dsp.runs(x > 0)], "start double, stop double")
-        del at
         return s.events(flagged, c.get("annot"))
-    return s.with_samples(s.samples.where(F.col("ch") != c.get("sig", text)).unionByName(out))
+    return s.with_samples(s.samples.where(F.col("ch") != name).unionByName(out))
+
+
+def last_name(text: str) -> str:
+    """The name that the last of a row's assignments gives."""
+    import re
+
+    m = re.match(r"\s*([A-Za-z_][\w.]*)\s*=(?![=~])", text.split(";")[-1])
+    return m[1] if m else "_value"
 
 
 def assignments_on(text: str, names: dict):

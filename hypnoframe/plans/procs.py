@@ -153,7 +153,7 @@ class Engine:
 
     def slice(self, a_s: float, b_s: float, sig: str = "*") -> DataFrame:
         """(id, ch, t, x) of [a, b) seconds."""
-        s = self.session.samples.where(self.session.matching(sig))
+        s = self.session.chosen(sig)
         v = F.slice("v", (F.floor(F.col("sr") * a_s) + 1).cast("int"), F.floor(F.col("sr") * (b_s - a_s)).cast("int"))
         return s.select("id", "ch", "sr", F.posexplode(v).alias("k", "x")).select("id", "ch", (F.col("k") / F.col("sr") + a_s).alias("t"), "x")
 

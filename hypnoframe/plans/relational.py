@@ -22,7 +22,8 @@ a AS (SELECT id, ch AS class, t_ns AS start_ns, t_ns + CAST(round(x * 100) AS BI
 flat0 AS (SELECT *, max(stop_ns) OVER (PARTITION BY id, class ORDER BY start_ns, stop_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM a),
 flat1 AS (SELECT *, sum(CASE WHEN b IS NULL OR start_ns > b THEN 1 ELSE 0 END) OVER (PARTITION BY id, class ORDER BY start_ns, stop_ns ROWS UNBOUNDED PRECEDING) AS run FROM flat0),
 flat AS (SELECT id, class, min(start_ns) AS start_ns, max(stop_ns) AS stop_ns, count(*) AS n FROM flat1 GROUP BY id, class, run),
-e AS (SELECT id, k + 1 AS e, 1704067200000000000 + k * 3600000000000 AS start_ns, 1704067200000000000 + (k + 1) * 3600000000000 AS stop_ns FROM (SELECT DISTINCT id FROM s), (SELECT unnest(range(0, 720)) AS k))
+days AS (SELECT min((t_ns - 1704067200000000000) // 86400000000000) AS d0, max((t_ns - 1704067200000000000) // 86400000000000) + 1 AS d1 FROM s),
+e AS (SELECT id, k - 24 * d0 + 1 AS e, 1704067200000000000 + k * 3600000000000 AS start_ns, 1704067200000000000 + (k + 1) * 3600000000000 AS stop_ns FROM (SELECT DISTINCT id FROM s), (SELECT d0, unnest(range(24 * d0, 24 * d1)) AS k FROM days))
 """
 
 
@@ -37,9 +38,11 @@ def query(sql: str | None = None, cte: bool = True):
 
 
 def hourly(spark, d):
-    """720 hourly epochs per user from 2024-01-01."""
-    ids = tables.samples(spark, d).select("id").distinct().withColumn("dur_ns", F.lit(720 * HOUR))
-    return ep.epochs(ids, 3600.0).withColumns({"start_ns": F.col("start_ns") + T0, "stop_ns": F.col("stop_ns") + T0})
+    """Hourly epochs per user over the days that hold all events."""
+    first, n = tables.hours(spark, d, T0)
+    ids = tables.samples(spark, d).select("id").distinct().withColumn("dur_ns", F.lit(n * HOUR))
+    at = T0 + first * HOUR
+    return ep.epochs(ids, 3600.0).withColumns({"start_ns": F.col("start_ns") + at, "stop_ns": F.col("stop_ns") + at})
 
 
 def of(spark, d, *classes):
@@ -58,7 +61,7 @@ FROM s JOIN r ON s.id = r.id AND s.t_ns >= r.start_ns AND s.t_ns < r.stop_ns GRO
 def flagship_epoch_mask_stats(spark, d):
     """EPOCH, MASK ifnot=error, RE, STATS epoch."""
     eps = ep.restructure(ep.mask_annots(hourly(spark, d), of(spark, d, "error"), ["error"], ep.FORCE, negate=True))
-    s = tables.samples(spark, d).withColumn("_h", F.floor((F.col("t_ns") - T0) / HOUR) + 1)
+    s = tables.samples(spark, d).withColumn("_h", F.floor((F.col("t_ns") - T0) / HOUR) + 1 - tables.hours(spark, d, T0)[0])
     # the grid is regular, so samples meet epochs by an equi-join on the epoch's number
     j = s.join(eps.select("id", F.col("e_orig").alias("_h"), "e"), ["id", "_h"])
     x = F.col("x")
@@ -377,7 +380,11 @@ def shift_wrap(spark, d):
     return rolling.shift(tables.samples(spark, d), ["id"], ["t_ns", "ix"], "x", 3).select("id", "ix", "shifted")
 
 
-@query("""SELECT id, ix, (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) AS z FROM s WINDOW w AS (PARTITION BY id ORDER BY t_ns, ix ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)""")
+@query(
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t_ns, ix) AS rn, count(*) OVER (PARTITION BY id) AS n FROM s),
+p AS (SELECT id, ix, x, n, rn AS pos, true AS own FROM r UNION ALL SELECT id, ix, x, n, rn - 6, false FROM r WHERE rn BETWEEN 2 AND 6 UNION ALL SELECT id, ix, x, n, rn + 6, false FROM r WHERE rn BETWEEN n - 5 AND n - 1)
+SELECT id, ix, z FROM (SELECT id, ix, own, CASE WHEN n > 5 THEN (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) END AS z FROM p WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE own"""
+)
 def rolling_norm(spark, d):
     return rolling.rolling_norm(tables.samples(spark, d), ["id"], ["t_ns", "ix"], "x", 11).select("id", "ix", "z")
 

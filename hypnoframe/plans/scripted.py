@@ -1,7 +1,7 @@
 """Registered queries that run command scripts over the whole events table.
 
-Each user is a recording of 720 hours, each event type a channel whose sample k is
-the sum of its values in hour k; the channel's nominal rate is 24 per "second", so a
+Each user is a recording of the whole days that hold all events, each event type a
+channel whose sample k is the sum of its values in hour k; the channel's nominal rate is 24 per "second", so a
 30-"second" epoch is a month and a 1-"second" epoch a day.
 """
 
@@ -16,20 +16,22 @@ from hypnoframe.sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-HOURS, RATE, T0 = 720, 24, 1_704_067_200_000_000_000
+RATE, T0 = 24, 1_704_067_200_000_000_000
 
 
 def session(spark: SparkSession, d: str) -> Session:
     """Traces by one aggregation: hour sums become a map, and the map an array with zeros between."""
-    e = tables.samples(spark, d).groupBy("id", "ch", F.floor((F.col("t_ns") - T0) / (3600 * NS)).cast("int").alias("h")).agg(F.sum("x").alias("s"))
-    m = e.where(F.col("h").between(0, HOURS - 1)).groupBy("id", "ch").agg(F.map_from_entries(F.collect_list(F.struct("h", "s"))).alias("m"))
+    first, n = tables.hours(spark, d, T0)
+    t0 = T0 + first * 3600 * NS
+    e = tables.samples(spark, d).groupBy("id", "ch", F.floor((F.col("t_ns") - t0) / (3600 * NS)).cast("int").alias("h")).agg(F.sum("x").alias("s"))
+    m = e.groupBy("id", "ch").agg(F.map_from_entries(F.collect_list(F.struct("h", "s"))).alias("m"))
     # dealt by number: traces are small but costly to work on, so they mustn't be coalesced by size into one task
     m = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    v = F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
+    v = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
     samples = m.select(F.col("id").cast("string").alias("id"), "ch", F.lit(float(RATE)).alias("sr"), F.lit("uV").alias("unit"), v.alias("v"))
-    recs = m.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.lit("2024-01-01 00:00:00").alias("start"), F.lit(HOURS // RATE * NS).cast("long").alias("dur_ns"), F.lit(NS).cast("long").alias("rec_ns"))
+    recs = m.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.lit("2024-01-01 00:00:00").alias("start"), F.lit(n // RATE * NS).cast("long").alias("dur_ns"), F.lit(NS).cast("long").alias("rec_ns"))
     a = tables.annots(spark, d)
-    scale = lambda c: (F.round((F.col(c) - T0) / (3600 * RATE))).cast("long")
+    scale = lambda c: (F.round((F.col(c) - t0) / (3600 * RATE))).cast("long")
     notes = a.select(F.col("id").cast("string").alias("id"), "class", F.col("class").alias("inst"), F.lit(".").alias("ch"), scale("start_ns").alias("start_ns"), scale("stop_ns").alias("stop_ns"), F.create_map().cast("map<string,string>").alias("meta"))
     return Session(spark, samples, notes, recs)
 
@@ -38,14 +40,14 @@ def session(spark: SparkSession, d: str) -> Session:
 SCRIPTS = {
     "psd": ("PSD spectrum min=0.5 max=12", "PSD", ("CH", "B")), "psd_epoch": ("EPOCH len=5 & PSD epoch", "PSD", ("CH", "B", "E")), "psd_ratio": ("PSD ratio ratio1", "PSD-RATIO", ("CH",)), "fft": ("FFT sig=error", "FFT", ("CH", "F")),
     "mtm": ("MTM segment-sec=10", "MTM", ("CH", "F")), "irasa": ("IRASA sig=error,view", "IRASA", ("CH", "F")), "acf": ("ACF lag=5", "ACF", ("CH", "LAG")), "dfa": ("DFA sig=error", "DFA", ("CH", "SEC")), "fip": ("FIP f-lwr=2 f-upr=6 sig=error", "FIP", ("CH", "F", "T")),
-    "coh": ("COH", "COH", ("CH1", "CH2", "B")), "xcorr": ("XCORR w=1", "XCORR", ("CH1", "CH2")), "tsync": ("TSYNC w=1", "TSYNC", ("CH1", "CH2")), "psi": ("PSI", "PSI", ("CH1", "CH2", "F")), "ipc": ("IPC", "IPC", ("CH1", "CH2")), "cc": ("CC lwr=2 upr=4 nreps=10 sig1=error sig2=view", "CC", ("CH1", "CH2")),
+    "coh": ("COH", "COH", ("CH1", "CH2", "B")), "xcorr": ("XCORR w=1", "XCORR", ("CH1", "CH2")), "tsync": ("TSYNC w=1", "TSYNC", ("CH1", "CH2")), "psi": ("PSI", "PSI", ("CH1", "CH2", "F")), "ipc": ("IPC", "IPC", ("CH1", "CH2")), "cc": ("CC lwr=2 upr=4 sig1=error sig2=view", "CC", ("CH1", "CH2")),
     "mi": ("MI nbins=8", "MI", ("CH1", "CH2")), "gp": ("GP order=3", "GP", ("CH1", "CH2")), "ed": ("ED", "ED", ("CH1", "CH2")), "insert_lag": ("INSERT w=2 sig1=error sig2=view", "INSERT", ("CH1", "CH2")), "sync": ("SYNC f-lwr=2 f-upr=6", "SYNC", ("F",)),
-    "pac": ("PAC ph=1,3 amp=5,9 nreps=20", "PAC", ("CH",)), "cfc": ("CFC a=1,3 b=5,9 nreps=5", "CFC", ("CH",)), "psc": ("PSC nc=2", "PSC", ("CH",)), "svd": ("SVD no-new-channels", "SVD", ("C",)), "microstates": ("MS k=3", "MS", ("K",)), "l1out": ("L1OUT", "L1OUT", ("CH",)), "asymm": ("ASYMM left=error right=view", "ASYMM", ("B",)),
+    "pac": ("PAC ph=1,3 amp=5,9", "PAC", ("CH",)), "cfc": ("CFC a=1,3 b=5,9", "CFC", ("CH",)), "psc": ("PSC nc=2", "PSC", ("CH",)), "svd": ("SVD no-new-channels", "SVD", ("C",)), "microstates": ("MS k=3", "MS", ("K",)), "l1out": ("L1OUT", "L1OUT", ("CH",)), "asymm": ("ASYMM left=error right=view", "ASYMM", ("B",)),
     "sigstats": ("EPOCH len=5 & SIGSTATS epoch", "SIGSTATS", ("CH", "E")), "lzw": ("EPOCH len=5 & LZW", "LZW", ("CH", "E")), "mse": ("EPOCH len=15 & MSE s=1,3,1 sig=error", "MSE", ("CH", "SCALE")), "rai": ("RAI sig=error", "RAI", ("CH",)), "otsu": ("OTSU", "OTSU", ("CH",)), "artifacts": ("EPOCH len=2 & ARTIFACTS no-mask", "ARTIFACTS", ("CH", "E")),
     "edger": ("EPOCH len=1 & EDGER", "EDGER", ("CH",)), "qc": ("QC win=5 inc=5", "QC", ("CH",)), "zr": ("EPOCH len=5 & ZR", "ZR", ("CH", "E")), "spindles": ("SPINDLES fc=4 cycles=5 min=0.2 min0=0.1", "SPINDLES", ("CH",)), "so": ("SO", "SO", ("CH",)), "ripples": ("RIPPLES f-lwr=6 f-upr=11 msec=10", "RIPPLES", ("CH",)),
     "desat": ("DESAT drop=50", "DESAT", ("CH",)), "respbreath": ("RESPBREATH", "RESPBREATH", ("CH",)), "z_peaks": ("Z-PEAKS w=2 th=3", "Z-PEAKS", ("CH", "N")), "peaks_signal": ("PEAKS", "PEAKS", ("CH", "N")), "hrv": ("HRV sig=error", "HRV", ("CH",)), "hb": ("HB oxygen=view events=error", "HB", ()), "tlock": ("TLOCK annot=error w=0.5", "TLOCK", ("CH", "SEC")),
-    "peri": ("PERI annot=error w=0.25", "PERI", ("CH", "SEC")), "tclst": ("TCLST annot=error sig=view w=0.25", "TCLST", ("CH", "N")), "coupl": ("PCOUPL events=error sig=view lwr=1 upr=3 nreps=20", "PCOUPL", ("CH",)), "exe": ("EXE win=5 sig=error", "EXE", ("CH", "E")), "days": ("DAYS", "DAYS", ("DAY",)),
-    "overlap_permuted": ("OVERLAP seed=error other=view nreps=20", "OVERLAP", ("SEED",)), "headers": ("HEADERS", "HEADERS", ("CH",)), "ctypes": ("CTYPES", "CTYPES", ("CH",)), "dupes_channels": ("DUPES", "DUPES", ("CH",)), "s2c": ("S2C sig=error", "S2C", ("CH", "N")), "sig_cycles": ("SIG-CYCLES sig=error epoch-sec=1", "SIG-CYCLES", ("CH", "E")), "arousal_features": ("AROUSALS sig=error", "AROUSALS", ("CH", "T")), "polarity": ("POL", "POL", ("CH",)),
+    "peri": ("PERI annot=error w=0.25", "PERI", ("CH", "SEC")), "tclst": ("TCLST annot=error sig=view w=0.25", "TCLST", ("CH", "N")), "coupl": ("PCOUPL events=error sig=view lwr=1 upr=3", "PCOUPL", ("CH",)), "exe": ("EXE win=5 sig=error", "EXE", ("CH", "E")), "days": ("DAYS", "DAYS", ("DAY",)),
+    "overlap_permuted": ("OVERLAP seed=error other=view", "OVERLAP", ("SEED",)), "headers": ("HEADERS", "HEADERS", ("CH",)), "ctypes": ("CTYPES", "CTYPES", ("CH",)), "dupes_channels": ("DUPES", "DUPES", ("CH",)), "s2c": ("S2C sig=error", "S2C", ("CH", "N")), "sig_cycles": ("SIG-CYCLES sig=error epoch-sec=1", "SIG-CYCLES", ("CH", "E")), "arousal_features": ("AROUSALS sig=error", "AROUSALS", ("CH", "T")), "polarity": ("POL", "POL", ("CH",)),
     "nmf": ("NMF sig=error", "NMF", ("CH", "F")), "chep_mask_signal": ("EPOCH len=1 & CHEP-MASK ep-th=3", "CHEP-MASK", ("CH",)), "annot_means": ("MEANS annot=error", "MEANS", ("CH", "ANNOT")), "espan_command": ("EPOCH len=1 & ESPAN annot=error", "ESPAN", ("E",)), "eval_command": ('EPOCH len=1 & EVAL expr="error.n > 1 && view.sec > 0" annot=busy', "EVAL", ("E",)),
     "derive_command": ('DERIVE expr="sum(error) / length(error)" var=M', "DERIVE", ()), "cwt_stats": ("CWT sig=error fc=4 & STATS", "STATS", ("CH",)), "hilbert_stats": ("HILBERT sig=error f=2,5 & STATS", "STATS", ("CH",)), "filter_stats": ("FILTER bandpass=2,5 tw=1 & STATS", "STATS", ("CH",)), "butterworth_stats": ("FILTER lowpass=4 butterworth=4 & STATS", "STATS", ("CH",)),
     "resample_stats": ("RESAMPLE sr=12 & STATS", "STATS", ("CH",)), "bands_stats": ("BANDS sig=error bands=DELTA,THETA & STATS", "STATS", ("CH",)), "median_filter_stats": ("MEDIAN-FILTER hwin=0.25 & STATS", "STATS", ("CH",)), "tv_stats": ("TV lambda=20 & STATS", "STATS", ("CH",)), "line_denoise_stats": ("LINE-DENOISE f=6 & STATS", "STATS", ("CH",)), "robust_norm_stats": ("ROBUST-NORM & STATS", "STATS", ("CH",)),
@@ -68,8 +70,10 @@ for _name, (_text, _cmd, _factors) in SCRIPTS.items():
 
 # ---- native commands that SQL can check ----------------------------------
 
-_TRACE = """WITH s AS (SELECT user_id AS id, event_type AS ch, (epoch_us(ts) * 1000 - 1704067200000000000) // 3600000000000 AS h, value AS x FROM events), u AS (SELECT DISTINCT id, ch FROM s WHERE h BETWEEN 0 AND 719),
-v AS (SELECT CAST(u.id AS VARCHAR) AS id, u.ch, k, coalesce(sum(x), 0.0) AS x FROM u CROSS JOIN (SELECT unnest(range(0, 720)) AS k) LEFT JOIN s ON s.id = u.id AND s.ch = u.ch AND s.h = k GROUP BY ALL) """
+_TRACE = """WITH s0 AS (SELECT user_id AS id, event_type AS ch, epoch_us(ts) * 1000 AS t_ns, (epoch_us(ts) * 1000 - 1704067200000000000) // 3600000000000 AS h, value AS x FROM events), lim AS (SELECT min(h) // 24 * 24 AS h0, (max(h) // 24 - min(h) // 24 + 1) * 24 AS n FROM s0),
+s AS (SELECT id, ch, h - h0 AS h, x FROM s0, lim), u AS (SELECT DISTINCT id, ch FROM s), v AS (SELECT CAST(u.id AS VARCHAR) AS id, u.ch, k, coalesce(sum(x), 0.0) AS x FROM u CROSS JOIN (SELECT unnest(range(0, n)) AS k FROM lim) LEFT JOIN s ON s.id = u.id AND s.ch = u.ch AND s.h = k GROUP BY ALL),
+a AS (SELECT CAST(id AS VARCHAR) AS id, ch AS class, CAST(round((t_ns - h0 * 3600000000000 - 1704067200000000000) / 86400.0) AS BIGINT) AS start_ns, CAST(round((t_ns + CAST(round(x * 100) AS BIGINT) * 600000000 - h0 * 3600000000000 - 1704067200000000000) / 86400.0) AS BIGINT) AS stop_ns FROM s0, lim),
+rec AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, n // 24 AS dur FROM s0, lim) """
 _DAY = "SELECT id, ch, CAST(k // 24 AS BIGINT) AS day, sum(x) AS total, min(x) AS low, max(x) AS high FROM ({}) GROUP BY ALL"
 
 
@@ -88,11 +92,11 @@ def _checked(name: str, text: str, sql: str):
 
 _checked("sig_flip", "FLIP", "SELECT id, ch, k, -x AS x FROM v")
 _checked("sig_rectify", "FLIP & RECTIFY", "SELECT id, ch, k, abs(-x) AS x FROM v")
-_checked("sig_reverse", "REVERSE", "SELECT id, ch, 719 - k AS k, x FROM v")
+_checked("sig_reverse", "REVERSE", "SELECT id, ch, n - 1 - k AS k, x FROM v, lim")
 _checked("sig_clip", "CLIP upr=50", "SELECT id, ch, k, least(50.0, x) AS x FROM v")
 _checked("sig_log", "LOG offset=1", "SELECT id, ch, k, ln(x + 1) AS x FROM v")
 _checked("sig_scale", "SCALE min-max=0,1", "SELECT id, ch, k, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS x FROM v WINDOW w AS (PARTITION BY id, ch)")
-_checked("sig_shift_wrap", "SHIFT sp=7", "SELECT id, ch, (k + 7) % 720 AS k, x FROM v")
+_checked("sig_shift_wrap", "SHIFT sp=7", "SELECT id, ch, (k + 7) % n AS k, x FROM v, lim")
 _checked("sig_shift", "SHIFT sp=7 no-wrap", "SELECT id, ch, k, coalesce(lag(x, 7) OVER (PARTITION BY id, ch ORDER BY k), 0.0) AS x FROM v")
 _checked("sig_1fnorm", "1FNORM", "SELECT id, ch, k, coalesce(x - lag(x) OVER (PARTITION BY id, ch ORDER BY k), 0.0) AS x FROM v")
 _checked("sig_minmax", "MINMAX max=80", "SELECT id, ch, k, least(80.0, x) AS x FROM v")
@@ -142,9 +146,9 @@ def tabulate_command(spark, d):
     return session(spark, d).eval("TABULATE bin=20").table("TABULATE", "CH", "VALUE")
 
 
-@_oracle("SELECT id, ch, CAST(k // 60 AS BIGINT) AS bucket, min(x) AS lo, max(x) AS hi, min(k) / 24.0 AS t FROM v GROUP BY ALL")
+@_oracle("SELECT id, ch, CAST(floor(k / ceil(n / 12.0)) AS BIGINT) AS bucket, min(x) AS lo, max(x) AS hi, min(k) / 24.0 AS t FROM v, lim GROUP BY ALL")
 def window_view(spark, d):
-    return procs.window_view(session(spark, d).samples, 0.0, 30.0, 12)
+    return procs.window_view(session(spark, d).samples, 0.0, tables.hours(spark, d, T0)[1] / RATE, 12)
 
 
 @_oracle("SELECT id, ch, count(*) AS n, sum(x) AS total FROM (SELECT id, ch, x FROM v UNION ALL SELECT id, ch, x FROM v) GROUP BY ALL")

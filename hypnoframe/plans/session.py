@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hypnoframe.plans.script import Command, ScriptError, parse
@@ -96,18 +96,36 @@ class Session:
     # -- channels
 
     def matching(self, sig: str | None, col: str = "ch") -> Column:
-        """Channels of a ``sig`` list: ``*``, exact names without case, ``X*`` prefixes; ``A|B`` takes either."""
-        names = [n for part in (sig or "*").split(",") for n in part.split("|") if n]
-        if "*" in names:
+        """Channels of a ``sig`` list: ``*``, exact names without case, ``X*`` prefixes; of ``A|B`` the first that a recording has.
+
+        With ``|`` it is a window expression over the recording, so it can stand in
+        withColumn but not in where (see ``chosen``).
+        """
+        up, hit = F.upper(F.col(col)), F.lit(False)
+
+        def named(n: str) -> Column:
+            return up.startswith(n[:-1].upper()) if n.endswith("*") else up == n.upper()
+
+        parts = [[n for n in part.split("|") if n] for part in (sig or "*").split(",")]
+        if ["*"] in parts:
             return F.lit(True)
-        hit = F.lit(False)
-        for n in names:
-            up = F.upper(F.col(col))
-            hit = hit | (up.startswith(n[:-1].upper()) if n.endswith("*") else up == n.upper())
+        for names in filter(None, parts):
+            if len(names) == 1:
+                hit = hit | named(names[0])
+                continue
+            rank = F.coalesce(*(F.when(named(n), k) for k, n in enumerate(names)))
+            hit = hit | F.coalesce(rank == F.min(rank).over(Window.partitionBy("id")), F.lit(False))
         return hit
 
+    def chosen(self, sig: str | None, yes: bool = True) -> DataFrame:
+        """The traces that ``sig`` names, or all others."""
+        hit = self.matching(sig)
+        if "|" not in (sig or ""):
+            return self.samples.where(hit if yes else ~hit)
+        return self.samples.withColumn("_hit", hit).where("_hit" if yes else "not _hit").drop("_hit")
+
     def channels(self, c: Command, key: str = "sig") -> DataFrame:
-        return self.samples.where(self.matching(c.get(key)))
+        return self.chosen(c.get(key))
 
     def with_samples(self, df: DataFrame) -> Session:
         return replace(self, samples=df.select("id", "ch", "sr", "unit", "v"))
@@ -125,9 +143,8 @@ class Session:
                 out = [o if isinstance(o, tuple) else (o, sr) for o, sr in zip(out, p["sr"], strict=True)]
                 yield p.assign(v=[np.asarray(o[0], float) for o in out], sr=[float(o[1]) for o in out], ch=[name(x) if name else x for x in p["ch"]])
 
-        hit = self.matching(c.get("sig"))
-        new = self.samples.where(hit).mapInPandas(run, SAMPLES)
-        return self.with_samples((self.samples if keep else self.samples.where(~hit)).unionByName(new))
+        new = self.channels(c).mapInPandas(run, SAMPLES)
+        return self.with_samples((self.samples if keep else self.chosen(c.get("sig"), False)).unionByName(new))
 
     def expanded(self, c: Command, f: Callable[[str, np.ndarray, float], list[tuple[str, np.ndarray, float]]]) -> Session:
         """Adds the channels that a kernel makes from each matched one."""
@@ -173,32 +190,34 @@ class Session:
     def grouped(self, c: Command, f: Callable[[str, dict[str, tuple[float, np.ndarray]]], list[dict]], schema: str, keys=("sig",)) -> DataFrame:
         """Result rows (+ schema) of a kernel over all matched channels of a recording."""
         cols = [x.split()[0] for x in schema.split(",")]
-        hit = F.lit(False)
-        for k in keys:
-            if c.has(k) or len(keys) == 1:
-                hit = hit | self.matching(c.get(k))
+        sig = ",".join(c.get(k, "*") for k in keys if c.has(k) or len(keys) == 1)
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("ch")
             chs = {ch: (sr, np.asarray(v, float)) for ch, sr, v in p[["ch", "sr", "v"]].itertuples(index=False)}
             return pd.DataFrame([[p["id"].iloc[0], *(r.get(k) for k in cols)] for r in f(p["id"].iloc[0], chs)], columns=["id", *cols])
 
-        return self.samples.where(hit).groupBy("id").applyInPandas(run, f"id string, {schema}")
+        return self.chosen(sig).groupBy("id").applyInPandas(run, f"id string, {schema}")
 
     def pairs(self, c: Command, f: Callable[[np.ndarray, np.ndarray, float], list[dict]], schema: str) -> DataFrame:
-        """Result rows (id, ch1, ch2, + schema) of channel pairs of equal rate; sig1 x sig2, or all pairs of sig."""
+        """Result rows (id, ch1, ch2, + schema) of channel pairs of equal rate; sig1 x sig2, or all pairs of sig.
+
+        A recording's traces meet once, in one group, and the kernel runs over their
+        pairs: no trace is shuffled or copied for each pair.
+        """
         left, right = c.get("sig1"), c.get("sig2")
-        a = self.samples.where(self.matching(left or c.get("sig"))).select("id", "sr", F.col("ch").alias("ch1"), F.col("v").alias("v1"))
-        b = self.samples.where(self.matching(right or c.get("sig"))).select("id", "sr", F.col("ch").alias("ch2"), F.col("v").alias("v2"))
-        j = a.join(b, ["id", "sr"]).where("ch1 != ch2" if left else "ch1 < ch2")
         cols = [x.split()[0] for x in schema.split(",")]
+        one, two = self.matching(left or c.get("sig")), self.matching(right or c.get("sig"))
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                out = [(i, c1, c2, *(r.get(k) for k in cols)) for i, sr, c1, v1, c2, v2 in p[["id", "sr", "ch1", "v1", "ch2", "v2"]].itertuples(index=False) for r in f(np.asarray(v1, float), np.asarray(v2, float), sr)]
-                yield pd.DataFrame(out, columns=["id", "ch1", "ch2", *cols])
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("ch", kind="stable")
+            rows = [(ch, sr, np.asarray(v, float), a, b) for ch, sr, v, a, b in p[["ch", "sr", "v", "_a", "_b"]].itertuples(index=False)]
+            rid = p["id"].iloc[0]
+            out = [(rid, x[0], y[0], *(r.get(k) for k in cols)) for x in rows if x[3] for y in rows if y[4] and x[1] == y[1] and (x[0] != y[0] if left else x[0] < y[0]) for r in f(x[2], y[2], x[1])]
+            return pd.DataFrame(out, columns=["id", "ch1", "ch2", *cols])
 
-        return j.select("id", "sr", "ch1", "v1", "ch2", "v2").mapInPandas(run, f"id string, ch1 string, ch2 string, {schema}")
+        both = self.samples.withColumns({"_a": one, "_b": two}).where("_a or _b").select("id", "ch", "sr", "v", "_a", "_b")
+        return both.groupBy("id").applyInPandas(run, f"id string, ch1 string, ch2 string, {schema}")
 
     def joint(self, c: Command, f: Callable[[dict[str, tuple[float, np.ndarray]]], dict[str, tuple[float, np.ndarray]]], keep: bool = True) -> Session:
         """New channels from all matched channels of a recording together."""
@@ -209,7 +228,7 @@ class Session:
             return pd.DataFrame([(p["id"].iloc[0], ch, float(sr), p["unit"].iloc[0], np.asarray(v, float)) for ch, (sr, v) in out.items()], columns=["id", "ch", "sr", "unit", "v"])
 
         new = self.channels(c).groupBy("id").applyInPandas(run, SAMPLES)
-        old = self.samples if keep else self.samples.where(~self.matching(c.get("sig")))
+        old = self.samples if keep else self.chosen(c.get("sig"), False)
         return self.with_samples(old.unionByName(new))
 
     # -- annotations
@@ -219,11 +238,16 @@ class Session:
         new = df.select("id", F.lit(name).alias("class"), F.lit(name).alias("inst"), "ch", F.round(F.col(start) * NS).cast("long").alias("start_ns"), F.round(F.col(stop) * NS).cast("long").alias("stop_ns"), F.create_map().cast("map<string,string>").alias("meta"))
         return replace(self, annots=self.annots.unionByName(new))
 
-    def of_class(self, names: list[str]) -> DataFrame:
+    @staticmethod
+    def in_class(names: list[str]) -> Column:
+        """Whether a row's class is one of ``names`` (``X*``: begins with X)."""
         hit = F.lit(False)
         for n in names:
             hit = hit | (F.col("class").startswith(n[:-1]) if n.endswith("*") else F.col("class") == n)
-        return self.annots.where(hit)
+        return hit
+
+    def of_class(self, names: list[str]) -> DataFrame:
+        return self.annots.where(self.in_class(names))
 
 
 def _load_commands() -> None:

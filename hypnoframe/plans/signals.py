@@ -99,20 +99,24 @@ def shift(s: Session, c: Command) -> Session:
 
 @command("REFERENCE", "DEREFERENCE")
 def reference(s: Session, c: Command) -> Session:
-    """Subtracts (or adds back) the mean of the reference channels, in array expressions; ``pairwise`` pairs sig with ref."""
+    """Subtracts (or adds back) the mean of the reference channels, in array expressions; ``pairwise`` pairs sig with ref.
+
+    The references of a recording are added up once, and each trace meets their sum.
+    """
     sign = -1.0 if c.name == "REFERENCE" else 1.0
     if c.has("pairwise"):
         for a, b in zip(c.list("sig"), c.list("ref"), strict=True):
             s = reference(s, Command(c.name, {"sig": a, "ref": b} | ({"new": c.get("new")} if c.has("new") else {})))
         return s
-    refs = s.samples.where(s.matching(c.get("ref"))).groupBy("id", "sr").agg(F.collect_list("v").alias("r"))
-    d = s.samples.join(refs, ["id", "sr"], "left")
-    mean = lambda i: F.aggregate(F.transform("r", lambda q: F.element_at(q, i + 1)), F.lit(0.0), lambda a, x: a + x) / F.size("r")
-    hit = s.matching(c.get("sig")) & F.col("r").isNotNull()
-    new = d.where(hit).withColumn("v", F.transform("v", lambda x, i: x + sign * mean(i)))
+    refs = s.chosen(c.get("ref")).groupBy("id", "sr").agg(F.collect_list("v").alias("r"))
+    total = F.aggregate(F.slice("r", 2, F.size("r")), F.element_at("r", 1), lambda a, q: F.zip_with(a, q, lambda x, y: x + y))
+    refs = refs.select("id", "sr", total.alias("r"), F.size("r").alias("n"))
+    d = s.samples.withColumn("_hit", s.matching(c.get("sig"))).join(refs, ["id", "sr"], "left")
+    moved = F.zip_with("v", "r", lambda x, y: x + F.lit(sign) * y / F.col("n"))
     if c.has("new"):
-        return s.with_samples(s.samples.unionByName(new.withColumn("ch", F.lit(c.get("new"))).select(*s.samples.columns)))
-    return s.with_samples(d.where(~hit).select(*s.samples.columns).unionByName(new.select(*s.samples.columns)))
+        new = d.where("_hit and r is not null").withColumns({"v": moved, "ch": F.lit(c.get("new"))})
+        return s.with_samples(s.samples.unionByName(new.select(*s.samples.columns)))
+    return s.with_samples(d.withColumn("v", F.when(F.col("_hit") & F.col("r").isNotNull(), moved).otherwise(F.col("v"))))
 
 
 @command("COMBINE")
@@ -150,7 +154,7 @@ def simul(s: Session, c: Command) -> Session:
 @command("SPIKE")
 def spike(s: Session, c: Command) -> Session:
     """Adds ``wgt`` times one channel to another."""
-    src = s.samples.where(s.matching(c.get("from"))).select("id", F.col("v").alias("w"))
+    src = s.chosen(c.get("from")).select("id", F.col("v").alias("w"))
     d = s.samples.join(src, "id", "left")
     hit = s.matching(c.get("to")) & F.col("w").isNotNull()
     return s.with_samples(d.withColumn("v", F.when(hit, F.zip_with("v", "w", lambda x, y: x + c.num("wgt", 1.0) * y)).otherwise(F.col("v"))))
@@ -168,10 +172,13 @@ def _edges(c: Command) -> tuple[str, list[float]]:
 
 @command("FILTER")
 def filter_(s: Session, c: Command) -> Session:
+    """Kaiser-window FIR, or with butterworth=order or chebyshev=order,eps one pass of that recursive filter."""
     kind, edges = _edges(c)
-    order = int(c.num("butterworth", c.num("order", 4))) if c.has("butterworth") else None
+    if c.has("butterworth") or c.has("chebyshev"):
+        order, eps = ([*_list(c, "chebyshev", "4,0.5"), 0.5])[:2] if c.has("chebyshev") else (c.num("butterworth", c.num("order", 4)), None)
+        return s.mapped(c, lambda x, sr: dsp.one_pass(x, *dsp.recursive(sr, kind, edges, int(order), eps)))
     ripple, tw = _list(c, "ripple", "0.02")[0], _list(c, "tw", "1")[0]
-    return s.mapped(c, lambda x, sr: dsp.filtered(x, sr, kind, edges, order, ripple, tw))
+    return s.mapped(c, lambda x, sr: dsp.filtered(x, sr, kind, edges, ripple, tw))
 
 
 @command("FILTER-DESIGN")
@@ -214,9 +221,13 @@ KERNELS = {
 
 
 def _rolling_z(x: np.ndarray, n: int) -> np.ndarray:
-    m = dsp.moving_average(x, n)
-    v = dsp.moving_average(x * x, n) - m * m
-    return (x - m) / np.sqrt(np.maximum(v, 1e-24))
+    """z-scores in whole windows: those at the ends take in the values next to the first and before the last once more."""
+    h = n // 2
+    if len(x) <= h:
+        return np.zeros(len(x))
+    w = np.lib.stride_tricks.sliding_window_view(np.concatenate([x[1 : h + 1], x, x[len(x) - h - 1 : len(x) - 1]]), n)
+    sd = w.std(1, ddof=1)
+    return np.divide(x - w.mean(1), sd, out=np.zeros(len(x)), where=sd > 0)
 
 
 def _kernel(name):
@@ -489,7 +500,7 @@ def _coh(c, x, y, sr):
 
 def _xcorr(c, x, y, sr):
     t, r = dsp.xcorr(x, y, sr, c.num("w", 1))
-    k = int(np.argmax(np.abs(r)))
+    k = int(np.argmax(np.round(np.abs(r), 12)))  # of equal peaks the first
     return [{"D": float(t[k]), "XCORR": float(r[k]), "S": int(round(t[k] * sr))}]
 
 
@@ -517,7 +528,7 @@ def _psi(c, x, y, sr):
 def _cc(c, x, y, sr):
     lo, hi = c.num("lwr", 8), c.num("upr", 12)
     a, b = (dsp.filtered(v, sr, "bandpass", [lo, hi]) for v in (x, y))
-    z, p = dsp.phase_amplitude(np.angle(dsp.analytic(a)), np.abs(dsp.analytic(b)), int(c.num("nreps", 50)))
+    z, p = dsp.phase_amplitude(np.angle(dsp.analytic(a)), np.abs(dsp.analytic(b)), int(c.num("nreps", 1000)))
     return [{"WPLI": dsp.weighted_phase_lag(a, b), "DPAC_Z": z, "DPAC_P": p}]
 
 
@@ -594,7 +605,7 @@ def psd(s: Session, c: Command) -> Session:
         s = s.emit("PSD-SLOPE", s.rows(c, lambda x, sr: [dict(zip(("SPEC_SLOPE", "SPEC_INTERCEPT", "SPEC_RSQ"), dsp.slope(*dsp.welch(x, sr), a, b), strict=True))], "SPEC_SLOPE double, SPEC_INTERCEPT double, SPEC_RSQ double"), "CH")
     if c.has("ratio") or c.has("slowing"):
         k = 1.0 if c.has("ratio1") else 0.0
-        w = d.groupBy("id", "ch").pivot("B", list(dsp.BANDS)).agg(F.first("PSD"))
+        w = d.groupBy("id", "ch").pivot("B", list(dsp.BANDS)).agg(F.first("PSD")).na.fill(0.0, list(dsp.BANDS))
         q = lambda a, b: F.try_divide(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)) + k)
         col = F.col
         s = s.emit("PSD-RATIO", w.select("id", "ch", q(col("SLOW"), col("SLOW") + col("DELTA")).alias("SOF"), q(col("DELTA"), col("ALPHA")).alias("DAR"), q(col("THETA"), col("ALPHA")).alias("TAR"), q(col("THETA"), col("BETA")).alias("TBR"), q(col("DELTA") + col("THETA"), col("ALPHA") + col("BETA")).alias("GSI")), "CH")
@@ -647,7 +658,7 @@ def pac(s: Session, c: Command) -> Session:
     def one(x, sr):
         phase = np.angle(dsp.analytic(dsp.filtered(x, sr, "bandpass", ph)))
         amp = np.abs(dsp.analytic(dsp.filtered(x, sr, "bandpass", am)))
-        z, p = dsp.phase_amplitude(phase, amp, int(c.num("nreps", 100)))
+        z, p = dsp.phase_amplitude(phase, amp, int(c.num("nreps", 1000)))
         _, _, r2 = dsp.ols(np.column_stack([np.sin(phase), np.cos(phase), np.ones(len(phase))]), amp)
         return [{"ZPAC": z, "PPAC": p, "R2_PAC": r2}]
 
@@ -799,7 +810,10 @@ def edger(s: Session, c: Command) -> Session:
     a, b = (Window.partitionBy("id", "ch").orderBy(F.col("e") if k else F.desc("e")).rowsBetween(Window.unboundedPreceding, 0) for k in (1, 0))
     st = lambda w: F.signum(F.sum("z").over(w)) * F.pow(F.sum("z").over(w), 2) / F.count("*").over(w)
     z = z.withColumns({"f": st(a), "g": st(b)})
-    out = z.groupBy("id", "ch").agg(F.max_by("e", "f").alias("_f"), F.max("f").alias("_fs"), F.max_by("e", "g").alias("_g"), F.max("g").alias("_gs"))
+    # among equal sums the epoch nearest the edge
+    top = lambda v, e: F.max(F.struct(F.col(v).alias("s"), e.alias("k")))
+    out = z.groupBy("id", "ch").agg(top("f", -F.col("e")).alias("a"), top("g", F.col("e")).alias("b"))
+    out = out.select("id", "ch", F.col("a.s").alias("_fs"), (-F.col("a.k")).alias("_f"), F.col("b.s").alias("_gs"), F.col("b.k").alias("_g"))
     return s.emit("EDGER", out.select("id", "ch", F.when(F.col("_fs") > 0, F.col("_f")).alias("EOFF"), F.when(F.col("_gs") > 0, F.col("_g")).alias("EON")), "CH")
 
 
@@ -910,7 +924,7 @@ def coupling(s: Session, c: Command) -> Session:
                     continue
                 m = np.exp(1j * ph[k]).mean()
                 r = np.random.default_rng(1)
-                null = np.array([abs(np.exp(1j * ph[(k + r.integers(len(x))) % len(x)]).mean()) for _ in range(int(c.num("nreps", 200)))])
+                null = np.array([abs(np.exp(1j * ph[(k + r.integers(len(x))) % len(x)]).mean()) for _ in range(int(c.num("nreps", 1000)))])
                 rows.append((i, ch, len(k), abs(m), float(np.degrees(np.angle(m)) % 360), float(math.exp(-len(k) * abs(m) ** 2)), float((abs(m) - null.mean()) / (null.std() or 1)), float((1 + (null >= abs(m)).sum()) / (len(null) + 1))))
             yield pd.DataFrame(rows, columns=["id", "ch", "N", "MAG", "ANGLE", "PV", "MAG_Z", "MAG_EMP"])
 
@@ -944,7 +958,7 @@ def hypoxic_burden(s: Session, c: Command) -> Session:
                 rows.append((i, len(g), area, area / (len(x) / sr / 3600)))
             yield pd.DataFrame(rows, columns=["id", "NE", "HB_TOT", "HB"])
 
-    return s.emit("HB", s.samples.where(s.matching(c.get("oxygen"))).join(ev, "id").mapInPandas(run, "id string, NE long, HB_TOT double, HB double"))
+    return s.emit("HB", s.chosen(c.get("oxygen")).join(ev, "id").mapInPandas(run, "id string, NE long, HB_TOT double, HB double"))
 
 
 @command("TLOCK", "PERI")

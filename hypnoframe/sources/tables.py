@@ -27,3 +27,14 @@ def annots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, class, start_ns, stop_ns: each event lasts as many minutes as its value."""
     s = samples(spark, sf_dir)
     return s.select("id", F.col("ch").alias("class"), F.col("t_ns").alias("start_ns"), (F.col("t_ns") + F.round(F.col("x") * 100).cast("long") * 600_000_000).alias("stop_ns"))
+
+
+def hours(spark: SparkSession, sf_dir: str, t0: int) -> tuple[int, int]:
+    """First hour (counted from ``t0``) and number of hours of the whole days that hold all events."""
+    t = nanos(F.col("ts"))
+    r = load(spark, sf_dir, "events").agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    if r["a"] is None:
+        return 0, 24
+    day = 86_400_000_000_000
+    first, last = (r["a"] - t0) // day, (r["b"] - t0) // day
+    return 24 * first, 24 * (last - first + 1)
