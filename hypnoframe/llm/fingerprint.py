@@ -25,6 +25,8 @@ SHINGLE = 5
 BLOCK_BYTES = 256 << 20
 #: rows a block whose place in the order is looked at to find the blocks' borders
 SAMPLES = 8
+#: first rows of blocks (of 30 bytes) that may be broadcast
+HEADS = 400_000
 _WIDTH = (tb.HASH_BITS + 7) // 8
 
 
@@ -142,6 +144,8 @@ def with_successors(docs: DataFrame, blocks: int | None = None, id_col: str = "d
     ids, h = (np.ascontiguousarray(raw[:, a : a + 8]).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63) for a in (1, 9))
     heads = [(int(x), int(i), int(j), min(k, len(cuts)), int(k == len(cuts))) for k, (x, i, j) in enumerate(zip(raw[:, 0], ids.view(np.int64), h.view(np.int64), strict=True))]
     heads = spark.createDataFrame(heads, "none int, id long, h long, block int, turn int")
+    # a row a block, of which there is one for each 256 MB of text; beyond the bound the join decides for itself
+    heads = F.broadcast(heads) if len(cuts) < HEADS else heads
     own = base.select(block_of("none", "id", "h").alias("block"), F.lit(0).alias("turn"), "none", "id", "h", "t", F.lit(True).alias("own"))
     copies = base.join(heads, ["none", "id", "h"]).select("block", "turn", "none", "id", "h", "t", F.lit(False).alias("own"))
     return own.unionByName(copies).repartition(len(cuts) + 1, "block").sortWithinPartitions("block", "turn", "none", "id", "h", F.desc("own"), "t")
