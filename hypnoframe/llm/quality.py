@@ -1,9 +1,11 @@
 """Quality classifier on learned subword embeddings.
 
 A document is the mean of hashed embeddings of its words (runs without white
-space, case kept), of the character n-grams of each word, its borders included, and
-of a mark at each word that repeats one of the three before it; a softmax over two
-classes follows.  Embeddings and output weights are learned
+space, case kept), of word pairs and triples, of the character n-grams of each word,
+its borders included, and of the pattern in which each word equals some of the three
+before it; a softmax over two classes follows.  (Hashed n-grams of words that were
+never seen say nothing, so that without the patterns a text that repeats rare words
+looks like any other.)  Embeddings and output weights are learned
 together by stochastic gradient descent in numpy on a bounded sample of labelled
 documents.
 """
@@ -23,7 +25,10 @@ from hypnoframe.llm import textblocks as tb
 
 U = np.uint64
 BUCKETS = 1 << 17
-GRAMS = (3, 4)
+GRAMS, WORDS = (3, 4), (2, 3)
+#: words back that a pattern looks; the first buckets are the patterns'
+LOOK_BACK = 3
+_KEPT = 1 << LOOK_BACK
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -36,16 +41,29 @@ class QualityModel:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(20)) % U(BUCKETS - _KEPT) + U(_KEPT)
+
+
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and character n-gram of the rows."""
+    """(row, bucket) of every word, word n-gram, character n-gram and pattern of the rows."""
     row, _, _, h = tb.words(raw, off, tb.SPACES)
-    rows, hashed = [row], [(h >> U(20)) & U(BUCKETS - 1)]
-    # words that stand within three words of themselves: a bucket by distance, as heavy as a word's n-grams
-    for k in range(1, 4):
-        again = row[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])]
-        for j in range(4):
-            rows.append(again)
-            hashed.append(np.full(len(again), 4 * k + j, U))
+    rows, hashed = [row], [_bucket(h)]
+    for size in WORDS:
+        m = max(0, len(h) - size + 1)
+        with np.errstate(over="ignore"):
+            g = h[:m].copy()
+            for j in range(1, size):
+                g = g * _STEP + h[j : m + j]
+        whole = row[:m] == row[size - 1 :]
+        rows.append(row[:m][whole])
+        hashed.append(_bucket(tb.mix(g[whole] + U(size))))
+    pattern = np.zeros(len(h), np.uint64)
+    for k in range(1, LOOK_BACK + 1):
+        pattern[k:] |= ((h[k:] == h[:-k]) & (row[k:] == row[:-k])).astype(np.uint64) << U(k - 1)
+    again = np.flatnonzero(pattern)
+    rows.append(row[again])
+    hashed.append(pattern[again])
     lead = (raw & 0xC0) != 0x80
     ends = np.concatenate([[0], np.cumsum(lead)])[off]  # borders in code points
     text = raw.tobytes().decode("utf-8", "replace")
@@ -69,7 +87,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     inner &= ~blank[j : m + j]
                 at = np.flatnonzero(inner)
                 rows.append(of[at + 1])
-                hashed.append((tb.mix(g[at] + U(k)) >> U(20)) & U(BUCKETS - 1))
+                hashed.append(_bucket(tb.mix(g[at] + U(k))))
     return np.concatenate(rows), np.concatenate(hashed).astype(np.int64)
 
 
