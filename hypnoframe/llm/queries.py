@@ -54,7 +54,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.trained_on(docs))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
