@@ -2,8 +2,9 @@
 
 A host's share of good pages is shrunk towards its registered domain's, that
 towards its suffix's, and that towards the share of all pages, by beta-binomial
-priors whose strength is estimated at each level by the method of moments.  A host
-is blocked when even the upper bound of its posterior lies under a floor.
+priors whose strength is estimated at each level by the method of moments, from how
+much units differ within their parent.  A host is blocked when even the upper bound
+of its posterior (its mean and ``z`` standard deviations) lies under a floor.
 """
 
 from __future__ import annotations
@@ -37,13 +38,18 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), path
 
 
+#: fixed values: second labels under which countries register names
+SECOND = r"(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$"
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels (there is no public-suffix table here)."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain: the suffix and the label before it."""
+    return F.when(host.rlike(SECOND), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, or the last two where a country registers under a second one (there is no public-suffix table here)."""
+    return F.when(host.rlike(SECOND), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -55,21 +61,21 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def strength(units: DataFrame, fallback: float = 10.0) -> tuple[float, float]:
-    """Mean share and prior strength of units with ``s`` good of ``n`` (beta-binomial moments).
+def strength(units: DataFrame, fallback: float = 10.0) -> float:
+    """Prior strength of units (parent, s good of n) around their parent's share, by beta-binomial moments.
 
-    With fewer than two units, or shares all 0 or all 1, the strength is ``fallback``.
+    The squared differences from the parent's share, over what a binomial would give,
+    are 1 + (n - 1) rho on average, rho the correlation within a unit; each unit
+    counts by the part of the parent that is not its own.  Where no parent has two
+    units and both outcomes, the strength is ``fallback``.
     """
-    t = units.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ssn"), F.count("*").alias("m")).first()
-    if not t["n"]:
-        return 0.5, fallback
-    p, n, m = t["s"] / t["n"], float(t["n"]), t["m"]
-    if m < 2 or p in (0.0, 1.0):
-        return p, fallback
-    spread = (t["ssn"] - n * p * p) / (p * (1 - p))
-    rho = (spread - (m - 1)) / (n - t["nn"] / n - (m - 1)) if n - t["nn"] / n > m - 1 else 0.0
-    rho = min(max(rho, 1e-3), 0.999)
-    return p, 1.0 / rho - 1.0
+    parents = units.groupBy("parent").agg(F.sum("s").alias("ps"), F.sum("n").alias("pn")).where("ps > 0 and ps < pn")
+    p, rest = F.col("ps") / F.col("pn"), 1 - F.col("n") / F.col("pn")
+    t = units.join(parents, "parent").agg(F.sum((F.col("s") - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p))).alias("x"), F.sum(rest).alias("free"), F.sum((F.col("n") - 1) * rest).alias("w")).first()
+    if not t["w"]:
+        return fallback
+    rho = min(max((t["x"] - t["free"]) / t["w"], 1e-3), 0.999)
+    return 1.0 / rho - 1.0
 
 
 def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
@@ -81,9 +87,11 @@ def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> Data
     by_host = settled(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("s"), F.count("*").cast("double").alias("n")), "hosts")
     by_domain = by_host.groupBy(domain_of(F.col("host")).alias("domain")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     by_suffix = by_host.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mean, k_suffix = strength(by_suffix)
-    _, k_domain = strength(by_domain)
-    _, k_host = strength(by_host)
+    total = by_suffix.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    mean = total["s"] / total["n"] if total["n"] else 0.5
+    k_suffix = strength(by_suffix.withColumn("parent", F.lit("")))
+    k_domain = strength(by_domain.withColumn("parent", suffix_of(F.col("domain"))))
+    k_host = strength(by_host.withColumn("parent", domain_of(F.col("host"))))
     suffix = by_suffix.select("suffix", ((F.col("s") + k_suffix * mean) / (F.col("n") + k_suffix)).alias("ms"))
     domain = by_domain.withColumn("suffix", suffix_of(F.col("domain"))).join(suffix, "suffix").select("domain", ((F.col("s") + k_domain * F.col("ms")) / (F.col("n") + k_domain)).alias("md"))
     known = hosts.join(by_host, "host", "left").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("n", F.lit(0.0)).alias("n"))
