@@ -116,6 +116,27 @@ def test_open_buckets_lose_no_link(spark, prose, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+def test_crowded_buckets_get_further_leaders(spark, prose, monkeypatch):
+    """A cluster of near texts whose pairs lie on both sides of the threshold: later leaders leave few texts to hold against each other, and no link is lost."""
+    monkeypatch.setattr(neardup, "CROWD", 3)
+    open_texts = []
+    real = neardup._promising
+    monkeypatch.setattr(neardup, "_promising", lambda now, *a: open_texts.append(now.where("label != ll").select("rep").distinct().count()) or real(now, *a))
+    r, base = random.Random(6), prose(64).split()
+    texts = []
+    for k in range(70):
+        w = base[:]
+        for _ in range(r.choice((0, 1, 1, 2))):
+            w[r.randrange(len(w))] = f"w{k}"
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+    rounds = len(open_texts)
+    monkeypatch.setattr(neardup, "LEADERS", 0)
+    neardup.near_duplicates(frame(spark, texts)).count()
+    assert 0 < rounds < len(open_texts) and open_texts[0] <= open_texts[rounds]
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(1)
     keys = r.integers(1, 1 << 44, 300).astype(np.uint64)
@@ -464,6 +485,27 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), good.limit(0), []).count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = ["a.b.example.co.uk", "example.co.uk", "co.uk", "x.example.com", "com", "", "shop.com.br"]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.domain_of(F.col("h")).alias("d"), urls.suffix_of(F.col("h")).alias("s")).collect()
+    assert {x["h"]: (x["d"], x["s"]) for x in got} == {"a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "shop.com.br": ("shop.com.br", "com.br")}
+
+
+def test_prior_strength_follows_spread_within_the_parent(spark):
+    """Hosts that agree within their domains are shrunk hard, though the domains differ; hosts that don't are left alone."""
+    def rows(inner):
+        r = np.random.default_rng(3)
+        out = []
+        for d in range(40):
+            p = 0.2 + 0.6 * (d % 2)
+            for h in range(5):
+                q = p if inner is None else r.beta(p * inner, (1 - p) * inner)
+                out.append((f"h{h}.d{d}.net", f"d{d}.net", float(r.binomial(40, q)), 40.0))
+        return spark.createDataFrame(out, "host string, parent string, s double, n double")
+
+    assert urls.strength(rows(None)) > 100 and 3 < urls.strength(rows(8.0)) < 20
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -478,6 +520,53 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == left.count()
 
 
+def test_pipeline_against_brute_force(spark, prose, tmp_path, monkeypatch):
+    """Planted copies, passages, secrets and texts without letters: what run() leaves, by plain means."""
+    import corpus_pipeline
+
+    r, items = random.Random(9), [prose(30) for _ in range(4)]
+    texts = [prose(40) for _ in range(12)] + ["12 34 !!", None, ""]
+    texts += [texts[0], texts[1], texts[2] + " " + texts[2].split()[0], texts[3].upper()]
+    texts += [f"{prose(20)} {' '.join(i.split()[15:])} {prose(5)} {' '.join(i.split()[:15])}" for i in items[:2]] + [f"{prose(30)} {' '.join(items[2].split()[:9])} {prose(30)}"]
+    texts += [f'{prose(15)} token = "{hashlib.sha1(b"x%d" % k).hexdigest()}" {prose(15)}' for k in range(3)] + [f"{prose(10)} number 4556737586899855 {prose(10)}"]
+    r.shuffle(texts)
+    rows = [(i, t, "en" if i % 3 else None, "src", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    of = dict(zip(left, classes(list(left.values()))))
+    left = {i: t for k, (i, t) in enumerate(left.items()) if of[i] == k}
+    plain = lambda t: re.sub(r"[^0-9a-z]+", " ", t.lower()).split()
+    left = {i: t for i, t in left.items() if not any(brute_tiles(plain(t), plain(x), 5) * 2 >= len(plain(x)) for x in items)}
+    left = {i: re.sub(r'"[0-9a-f]{40}"', '"[SECRET]"', t) for i, t in left.items()}
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in left.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: (x["length"], x["ids_crc32"]) for x in got} == {i: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in want.items()}
+    assert len({x["sequence_id"] for x in got}) == 1 and 15 <= len(got) < len(texts) - 8
+
+
+def test_best_fit_against_brute_force():
+    """Random pieces: each goes to the fullest open bin that has room, the fullest closes when all are open."""
+    r = random.Random(4)
+    for _ in range(30):
+        capacity, most = r.randint(5, 40), r.randint(1, 6)
+        fit, levels, of = packing.BestFit(capacity, most), [], {}
+        for _ in range(120):
+            n = r.randint(1, capacity)
+            seq, at = fit.put(n)
+            room = [x for x in levels if x + n <= capacity]
+            if room:
+                assert at == of[seq] == max(room)
+                levels.remove(at)
+            else:
+                if len(levels) == most:
+                    levels.remove(max(levels))
+                assert at == 0 and seq == len(of)
+            of[seq] = at + n
+            levels += [at + n] if at + n < capacity else []
+
+
 def test_pipeline_drops_only_undetermined_texts(spark, monkeypatch):
     import corpus_pipeline
 
