@@ -116,27 +116,6 @@ def test_open_buckets_lose_no_link(spark, prose, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
-def test_crowded_buckets_get_further_leaders(spark, prose, monkeypatch):
-    """A cluster of near texts whose pairs lie on both sides of the threshold: later leaders leave few texts to hold against each other, and no link is lost."""
-    monkeypatch.setattr(neardup, "CROWD", 3)
-    open_texts = []
-    real = neardup._promising
-    monkeypatch.setattr(neardup, "_promising", lambda now, *a: open_texts.append(now.where("label != ll").select("rep").distinct().count()) or real(now, *a))
-    r, base = random.Random(6), prose(64).split()
-    texts = []
-    for k in range(70):
-        w = base[:]
-        for _ in range(r.choice((0, 1, 1, 2))):
-            w[r.randrange(len(w))] = f"w{k}"
-        texts.append(" ".join(w))
-    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(frame(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == classes(texts)
-    rounds = len(open_texts)
-    monkeypatch.setattr(neardup, "LEADERS", 0)
-    neardup.near_duplicates(frame(spark, texts)).count()
-    assert 0 < rounds < len(open_texts) and open_texts[0] <= open_texts[rounds]
-
-
 def test_signature_estimates_similarity():
     r = np.random.default_rng(1)
     keys = r.integers(1, 1 << 44, 300).astype(np.uint64)
