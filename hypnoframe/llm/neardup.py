@@ -384,20 +384,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     has it too, a number that is no row's id.  kept holds for one row of each class,
     one of the smallest id.  Equal texts, empty ones too, are of one class; a text
     without words is alike to equal texts only; a null text is in a class of its
-    own.  Rows that repeat an id are all returned, each judged by its own text.
+    own.  Rows that repeat an id are all returned, each judged by its own text; a tie
+    for the smallest id goes to the row that was read first.  A very long text is
+    one row of shingle hashes, in one task.  An empty table gives no rows; only the
+    two named columns are read, so others can't clash.
     """
     return _judged(docs, threshold, id_col, text_col)[0].select(F.col("id").alias(id_col), "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, one of the smallest id."""
+    """``docs``, all columns, with one row of each class, one of the smallest id (see ``near_duplicates``)."""
     judged, repeated = _judged(docs, threshold, id_col, text_col)
     gone = settled(judged.where("gone").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")), "gone")
     digest = "digest"
     while digest in docs.columns:
         digest += "_"
     texts = docs.withColumn(digest, _digest(text_col))
-    kept = texts.join(gone, (F.col(digest) == F.col("gone_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    # what goes grows with the corpus, so both sides are dealt out, at every size
+    kept = texts.join(gone.hint("merge"), (F.col(digest) == F.col("gone_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
     if repeated:
         kept = kept.where(F.col(digest).isNotNull()).dropDuplicates([id_col, digest]).unionByName(kept.where(F.col(digest).isNull()))
     return kept.drop(digest)
