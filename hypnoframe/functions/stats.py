@@ -153,3 +153,49 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("within"))
     between = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     return s.select("k", "n", between.alias("ss_between"), F.col("within").alias("ss_within"), F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k"))).alias("f"))
+
+
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Pearson's chi-square of a table of two label columns, and its degrees of freedom; no pair of labels is made that doesn't occur."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("o"))
+    row, col = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
+    n = cells.agg(F.sum("o").alias("n")).withColumn("_k", F.lit(1))
+    # sum (o - e)^2 / e = n (sum o^2 / (ra cb) - 1), to which cells that are empty add nothing
+    s = cells.join(row, "a").join(col, "b").agg(F.sum(F.col("o") * F.col("o") / F.col("ra") / F.col("cb")).alias("s")).withColumn("_k", F.lit(1))
+    d = row.agg(F.count("*").alias("r")).withColumn("_k", F.lit(1)).join(col.agg(F.count("*").alias("c")).withColumn("_k", F.lit(1)), "_k")
+    return s.join(n, "_k").join(d, "_k").select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"))
+
+
+def runs_test(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:
+    """Number of runs of a two-valued series and its z-score under random order (Wald and Wolfowitz)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.select(*keys, *order, hit.alias("_h")).withColumn("_new", F.when(F.lag("_h").over(w).eqNullSafe(F.col("_h")), 0).otherwise(1))
+    g = d.groupBy(*keys).agg(F.sum("_new").alias("runs"), F.sum(F.col("_h").cast("int")).cast("double").alias("n1"), F.sum((~F.col("_h")).cast("int")).cast("double").alias("n0"))
+    n, both = F.col("n1") + F.col("n0"), 2 * F.col("n1") * F.col("n0")
+    mean, var = both / n + 1, both * (both - n) / (n * n * (n - 1))
+    return g.select(*keys, "runs", F.when((F.col("n1") > 0) & (F.col("n0") > 0) & (n > 1) & (both != n), (F.col("runs") - mean) / F.sqrt(var)).alias("z"))
+
+
+def matthews(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Matthews' correlation of two label columns (any number of labels) and the mean F1 over the labels of ``a``."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("o"))
+    long = cells.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("o").alias("t"), F.lit(0.0).alias("p")), F.struct(F.col("b").alias("k"), F.lit(0.0).alias("t"), F.col("o").alias("p")))).alias("x"), (F.col("a") == F.col("b")).alias("same"))
+    per = long.groupBy("x.k").agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), F.sum(F.when(F.col("same"), F.col("x.t")).otherwise(0.0)).alias("c"))
+    f1 = F.when(F.col("t") > 0, 2 * F.col("c") / (F.col("t") + F.col("p")))
+    g = per.agg(F.sum("c").alias("c"), F.sum("t").alias("s"), F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.avg(f1).alias("f1"))
+    s2 = F.col("s") * F.col("s")
+    return g.select(F.try_divide(F.col("c") * F.col("s") - F.col("tp"), F.sqrt((s2 - F.col("pp")) * (s2 - F.col("tt")))).alias("mcc"), "f1")
+
+
+def percentile_scaled(df: DataFrame, keys: list[str], order: list[str], value: str, p: float = 0.95, segments: int = 4, out: str = "scaled") -> DataFrame:
+    """sign(r) ln(|r| / q + 1) of the centred value r, q the lower median of the segments' truncated percentiles (q = 0: r itself).
+
+    The first segments * (n div segments) values of a group make the segments.
+    """
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w), "_centred": F.col(value) - F.avg(value).over(w)})
+    size = F.floor(F.col("_n") / segments)
+    d = d.withColumn("_s", F.when(size > 0, F.floor(F.col("_rn") / size)))
+    cut = trunc_percentile(d.where(F.col("_s") < segments), [*keys, "_s"], "_centred", p).groupBy(*keys).agg(lower_median("pctl").alias("_q"))
+    r, q = F.col("_centred"), F.col("_q")
+    return d.join(cut, keys, "left").withColumn(out, F.when(F.coalesce(q, F.lit(0.0)) == 0, r).otherwise(F.signum(r) * F.log(F.abs(r) / q + 1))).drop("_rn", "_n", "_centred", "_s", "_q")

@@ -379,6 +379,11 @@ def epoch(s: Session, c: Command) -> Session:
         if c.has("align"):
             shifted = grid.join(first, "id").select("id", (F.col("dur_ns") - F.col("o")).alias("dur_ns"), "o")
             e = ep.epochs(shifted, n, c.num("inc")).join(shifted.select("id", "o"), "id").select("id", "e", (F.col("start_ns") + F.col("o")).alias("start_ns"), (F.col("stop_ns") + F.col("o")).alias("stop_ns"), "masked")
+        elif s.segments is not None:
+            w = Window.partitionBy("id").orderBy("start_ns")
+            before = F.sum(F.col("stop_ns") - F.col("start_ns")).over(w) - (F.col("stop_ns") - F.col("start_ns"))
+            places = s.segments.select("id", "start_ns", "stop_ns", before.alias("b")).select("id", F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"), "b")
+            e = iv.range_join(ep.epochs_in_segments(s.segments, n, c.num("inc")), places, ["id"]).withColumn("pos_ns", F.col("start_ns") - F.col("r_start") + F.col("b")).drop("r_start", "r_stop", "b")
         else:
             e = ep.epochs(grid, n, c.num("inc"), c.num("offset", 0.0))
     s = replace(s, epochs=e)
@@ -539,7 +544,12 @@ def chep(s: Session, c: Command) -> Session:
 
 @command("SEGMENTS", "RECS", "ALIGN-SCAN")
 def segments(s: Session, c: Command) -> Session:
-    """Contiguous segments (traces are gapless: one each), records, and how annotations sit on the epoch grid."""
+    """Contiguous segments (one each of a recording without gaps), records, and how annotations sit on the epoch grid."""
+    if c.name == "SEGMENTS" and s.segments is not None:
+        seg = s.segments.select("id", F.col("seg").alias("SEG"), (F.col("start_ns") / NS).alias("START"), (F.col("stop_ns") / NS).alias("STOP"), ((F.col("stop_ns") - F.col("start_ns")) / NS).alias("DUR_SEC"))
+        gap = F.lead("START").over(Window.partitionBy("id").orderBy("SEG")) - F.col("STOP")
+        gaps = seg.select("id", F.col("SEG").alias("GAP"), F.col("STOP").alias("START"), (F.col("STOP") + gap).alias("STOP"), gap.alias("DUR_SEC")).where("DUR_SEC > 0")
+        return s.emit("SEGMENTS", seg, "SEG").emit("SEGMENTS", gaps, "GAP")
     if c.name == "SEGMENTS":
         return s.emit("SEGMENTS", s.recordings.select("id", F.lit(1).alias("SEG"), F.lit(0.0).alias("START"), (F.col("dur_ns") / NS).alias("STOP"), (F.col("dur_ns") / NS).alias("DUR_SEC")), "SEG")
     if c.name == "RECS":
@@ -896,11 +906,61 @@ def dynam(s: Session, c: Command) -> Session:
     return s.emit("DYNAM", quantile_dynamics(d, ["id", "var"], ["e"], "value", int(c.num("dynam-nq", 10))), "VAR", "Q")
 
 
-#: commands that aren't built: the script stops with an error instead of giving something else
-NOT_BUILT = {
-    "EPOCH-MASK": "redundant: use MASK",
-    **dict.fromkeys(("SET-TIMESTAMPS", "EDF-", "EDF-MINUS", "ALIGN", "ALIASES", "TSLIB", "SSS", "SUDS", "MAKE-SUDS", "COMPLETE", "REBASE", "POPS", "RUN-POPS"), "not built yet"),
-}
+# ---- time lines with gaps --------------------------------------------------
+
+
+@command("ALIASES")
+def show_aliases(s: Session, c: Command) -> Session:
+    rows = [(kind, name, alias) for kind, m in s.aliases.items() for alias, name in m.items()]
+    return s.emit("ALIASES", s.spark.createDataFrame(rows, "KIND string, NAME string, ORIG string"), "KIND", "NAME")
+
+
+@command("SET-TIMESTAMPS")
+def set_timestamps(s: Session, c: Command) -> Session:
+    """Start times (seconds, a line for each record, in order) from ``file``: records that don't follow one another part the recording."""
+    lines = s.spark.read.text(c.get("file"), wholetext=True).select(F.posexplode(F.filter(F.split("value", "\\s+"), lambda x: F.length(x) > 0)).alias("r", "t"))
+    rec = s.recordings.select("id", "rec_ns", F.floor(F.col("dur_ns") / F.col("rec_ns")).alias("nr"))
+    at = rec.join(lines, F.col("r") < F.col("nr")).select("id", "rec_ns", "nr", "r", F.round(F.col("t").cast("double") * NS).cast("long").alias("start_ns"))
+    short = at.groupBy("id", "nr").agg(F.count("*").alias("n")).where("n < nr").limit(1).count()
+    w = Window.partitionBy("id").orderBy("r")
+    new = F.when(F.lag("start_ns").over(w).isNull() | (F.lag("start_ns").over(w) + F.col("rec_ns") != F.col("start_ns")), 1).otherwise(0)
+    if short or at.where("start_ns is null").limit(1).count() or at.withColumn("back", F.col("start_ns") < F.lag("start_ns").over(w) + F.col("rec_ns")).where("back").limit(1).count():
+        raise ScriptError("SET-TIMESTAMPS: a time for each record is needed, in ascending order without overlap")
+    segs = at.withColumn("n", new).withColumn("seg", F.sum("n").over(w)).groupBy("id", "seg").agg(F.min("start_ns").alias("start_ns"), F.max(F.col("start_ns") + F.col("rec_ns")).alias("stop_ns"))
+    return replace(s, segments=segs, epochs=None)
+
+
+@command("EDF-", "EDF-MINUS")
+def without_gaps(s: Session, c: Command) -> Session:
+    """A recording with gaps becomes one without: zeros stand in the gaps (``policy=zero``), or segments are joined (``policy=splice``)."""
+    if s.segments is None:
+        return s
+    w = Window.partitionBy("id").orderBy("start_ns")
+    dur = F.col("stop_ns") - F.col("start_ns")
+    places = s.segments.select("id", "start_ns", "stop_ns", (F.sum(dur).over(w) - dur).alias("b"), F.coalesce(F.col("start_ns") - F.lag("stop_ns").over(w), F.col("start_ns")).alias("gap"))
+    packed = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start_ns", "stop_ns", "b", "gap"))).alias("g"), F.max("stop_ns").alias("end"), F.sum("gap").alias("lost"))
+    n = lambda x: F.round(x * F.col("sr") / NS).cast("int")
+    piece = lambda r: F.slice("v", n(r["b"]) + 1, n(r["stop_ns"] - r["start_ns"]))
+    splice = c.get("policy", "zero") == "splice"
+    filled = F.flatten(F.transform("g", (lambda r: piece(r)) if splice else (lambda r: F.concat(F.array_repeat(F.lit(0.0), n(r["gap"])), piece(r)))))
+    samples = s.samples.join(packed, "id").withColumn("v", filled).select(*s.samples.columns)
+    recs = s.recordings.join(packed, "id").withColumn("dur_ns", F.col("end") - F.col("lost") if splice else F.col("end")).select(*s.recordings.columns)
+    out = s.recordings.join(packed, "id").select("id", (F.col("dur_ns") / NS).alias("DUR_ORIG"), ((F.col("end") - F.col("lost") if splice else F.col("end")) / NS).alias("DUR_EDIT"), F.size("g").alias("N_ALL"))
+    return replace(s, samples=samples, recordings=recs, segments=None, epochs=None).emit(c.name, out)
+
+
+@command("ALIGN")
+def align(s: Session, c: Command) -> Session:
+    """Keeps what annotations of ``align`` cover, in whole records counted from each annotation's start."""
+    rec = s.recordings.select("id", "rec_ns", "dur_ns")
+    spans = iv.islands(s.of_class(c.list("align")), ["id"]).join(rec, "id").withColumn("stop_ns", F.least("stop_ns", "dur_ns"))
+    whole = spans.withColumn("stop_ns", F.col("start_ns") + F.floor((F.col("stop_ns") - F.col("start_ns")) / F.col("rec_ns")) * F.col("rec_ns")).where("stop_ns > start_ns")
+    e = whole.withColumn("e", F.row_number().over(Window.partitionBy("id").orderBy("start_ns")).cast("long")).select("id", "e", "start_ns", F.col("stop_ns").cast("long").alias("stop_ns"), F.lit(False).alias("masked"))
+    return replace(restructure(replace(s, epochs=e), c), epochs=None)
+
+
+#: commands that are refused: they have no meaning of their own
+NOT_BUILT = {"EPOCH-MASK": "redundant: use MASK"}
 
 
 def _refuse(name: str, why: str) -> None:

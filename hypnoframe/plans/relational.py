@@ -500,3 +500,51 @@ def expr_eval(spark, d):
 
     o = tables.load(spark, d, "orders")
     return o.select("o_orderkey", compiled('ifelse( sqrt(o_totalprice) > 300 && o_orderstatus == "F" , 1 , 0 )', o.columns).alias("flag"), compiled("ifelse( o_totalprice > 100000 , log(o_totalprice) , o_totalprice / 2 )", o.columns).alias("y"))
+
+
+# ---- further statistics ---------------------------------------------------
+
+
+@query("""SELECT sum(o) * (sum(o * o / ra / cb) - 1) AS chi2, (any_value(r) - 1) * (any_value(c) - 1) AS df FROM (SELECT l_linestatus AS a, l_returnflag AS b, CAST(count(*) AS DOUBLE) AS o, sum(count(*)) OVER (PARTITION BY l_linestatus) AS ra, sum(count(*)) OVER (PARTITION BY l_returnflag) AS cb FROM lineitem GROUP BY l_linestatus, l_returnflag),
+(SELECT count(DISTINCT l_linestatus) AS r, count(DISTINCT l_returnflag) AS c FROM lineitem)""", False)
+def chi_square(spark, d):
+    return stats.chi_square(tables.load(spark, d, "lineitem"), "l_linestatus", "l_returnflag")
+
+
+@query("""SELECT id, runs, CASE WHEN n1 > 0 AND n0 > 0 AND 2 * n1 * n0 != n1 + n0 THEN (runs - (2 * n1 * n0 / (n1 + n0) + 1)) / sqrt(2 * n1 * n0 * (2 * n1 * n0 - n1 - n0) / ((n1 + n0) * (n1 + n0) * (n1 + n0 - 1))) END AS z
+FROM (SELECT id, sum(new) AS runs, CAST(count(*) FILTER (h) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT h) AS DOUBLE) AS n0 FROM (SELECT id, x > 50 AS h, CASE WHEN (x > 50) IS NOT DISTINCT FROM lag(x > 50) OVER (PARTITION BY id ORDER BY t_ns, ix) THEN 0 ELSE 1 END AS new FROM s) GROUP BY id)""")
+def runs_test(spark, d):
+    return stats.runs_test(tables.samples(spark, d), ["id"], ["t_ns", "ix"], F.col("x") > 50).withColumn("runs", F.col("runs").cast("decimal(38,0)").cast("long"))
+
+
+@query(""", q AS (SELECT ch AS a, lead(ch) OVER (PARTITION BY id ORDER BY t_ns, ix) AS b FROM s), t AS (SELECT a AS k, CAST(count(*) AS DOUBLE) AS t, CAST(count(*) FILTER (a = b) AS DOUBLE) AS c FROM q WHERE b IS NOT NULL GROUP BY a), p AS (SELECT b AS k, CAST(count(*) AS DOUBLE) AS p FROM q WHERE b IS NOT NULL GROUP BY b),
+j AS (SELECT coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(c, 0) AS c FROM t FULL JOIN p USING (k)) SELECT (sum(c) * sum(t) - sum(t * p)) / sqrt((sum(t) * sum(t) - sum(p * p)) * (sum(t) * sum(t) - sum(t * t))) AS mcc, avg(CASE WHEN t > 0 THEN 2 * c / (t + p) END) AS f1 FROM j""")
+def matthews_f1(spark, d):
+    s = tables.samples(spark, d)
+    return stats.matthews(s.withColumn("b", F.lead("ch").over(Window.partitionBy("id").orderBy("t_ns", "ix"))), "ch", "b")
+
+
+@query(""", r AS (SELECT id, ix, row_number() OVER (PARTITION BY id ORDER BY t_ns, ix) - 1 AS rn, count(*) OVER (PARTITION BY id) AS n, x - avg(x) OVER (PARTITION BY id) AS r FROM s), g AS (SELECT *, rn // nullif(n // 4, 0) AS seg FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY id, seg ORDER BY r) AS o, count(*) OVER (PARTITION BY id, seg) AS m FROM g WHERE seg < 4),
+c AS (SELECT id, quantile_disc(r, 0.5) AS q FROM (SELECT id, seg, r FROM k WHERE o = least(m - 1, CAST(floor(m * CAST(0.95 AS DOUBLE)) AS BIGINT)) + 1) GROUP BY id) SELECT g.id, ix, CASE WHEN coalesce(q, 0) = 0 THEN r ELSE sign(r) * ln(abs(r) / q + 1) END AS scaled FROM g LEFT JOIN c ON c.id = g.id""")
+def percentile_scaled(spark, d):
+    return stats.percentile_scaled(tables.samples(spark, d), ["id"], ["t_ns", "ix"], "x").select("id", "ix", "scaled")
+
+
+@query("""SELECT id, avg(CASE WHEN a * b < 0 THEN 1.0 ELSE 0.0 END) AS turning_rate FROM (SELECT id, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b FROM s WINDOW w AS (PARTITION BY id ORDER BY t_ns, ix)) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY id""")
+def turning_rate(spark, d):
+    s = tables.samples(spark, d).withColumn("o", F.struct("t_ns", "ix"))
+    return stats.turning_rate(s, ["id"], "o", "x").where("turning_rate is not null")
+
+
+@query(""", r AS (SELECT id, ix, x, row_number() OVER w AS rn, count(*) OVER (PARTITION BY id) AS n, avg(x) OVER (w ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m, avg(x) OVER (PARTITION BY id) AS whole FROM s WINDOW w AS (PARTITION BY id ORDER BY t_ns, ix))
+SELECT r.id, r.ix, CASE WHEN r.n < 15 THEN r.whole ELSE q.m END AS local, r.x / nullif(CASE WHEN r.n < 15 THEN r.whole ELSE q.m END, 0) AS fac, CASE WHEN r.x / nullif(CASE WHEN r.n < 15 THEN r.whole ELSE q.m END, 0) > 2 THEN 1 ELSE 0 END AS flag FROM r LEFT JOIN r q ON q.id = r.id AND q.rn = least(greatest(r.rn, 8), r.n - 7)""")
+def local_ratio(spark, d):
+    return rolling.local_ratio(tables.samples(spark, d), ["id"], ["t_ns", "ix"], "x").select("id", "ix", "local", "fac", "flag")
+
+
+@query("""SELECT DISTINCT p.id, p.start_ns, p.stop_ns, q.start_ns AS r_start, q.stop_ns AS r_stop, CAST(least(p.stop_ns, q.stop_ns) - greatest(p.start_ns, q.start_ns) AS DOUBLE) / (greatest(p.stop_ns, q.stop_ns) - least(p.start_ns, q.start_ns)) AS jaccard FROM a p JOIN a q ON p.id = q.id AND p.class = 'error' AND q.class = 'view'
+WHERE p.start_ns < q.stop_ns AND q.start_ns < p.stop_ns AND CAST(least(p.stop_ns, q.stop_ns) - greatest(p.start_ns, q.start_ns) AS DOUBLE) / (greatest(p.stop_ns, q.stop_ns) - least(p.start_ns, q.start_ns)) >= 0.2""")
+def listed_overlap(spark, d):
+    from hypnoframe.plans import procs
+
+    return procs.listed_overlap(of(spark, d, "error"), of(spark, d, "view"), 0.2).select("id", "start_ns", "stop_ns", "r_start", "r_stop", "jaccard").distinct()

@@ -31,3 +31,37 @@ def pivot(results: DataFrame, rows: list[str], cols: dict[str, list[str]], varia
                 hit = hit & (F.element_at("strata", f) == x)
             out.append(F.max(F.when(hit, F.col(value))).alias(v + "".join(f".{f}_{x}" for f, x in combo)))
     return results.groupBy("id", *keys).agg(*out)
+
+
+def to_sqlite(results: dict, path: str) -> None:
+    """Result tables (command, factors) as tables of an SQLite file on the driver, fetched a partition at a time."""
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        for (cmd, factors), df in results.items():
+            name = "_".join([cmd, *factors])
+            db.execute(f'DROP TABLE IF EXISTS "{name}"')
+            db.execute(f'CREATE TABLE "{name}" ({", ".join(f"""\"{c}\"""" for c in df.columns)})')
+            plain = df.select(*(F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in df.dtypes))
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in plain.toLocalIterator()))
+    db.close()
+
+
+def from_sqlite(spark, path: str) -> dict[str, DataFrame]:
+    """Tables of an SQLite file written before, by name."""
+    import sqlite3
+
+    import pandas as pd
+
+    db = sqlite3.connect(path)
+    names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+    out = {n: spark.createDataFrame(pd.read_sql_query(f'SELECT * FROM "{n}"', db)) for n in names if db.execute(f'SELECT count(*) FROM "{n}"').fetchone()[0]}
+    db.close()
+    return out
+
+
+def to_text(results: dict, folder: str) -> None:
+    """Result tables as folders of tab-separated text with a header."""
+    for (cmd, factors), df in results.items():
+        plain = df.select(*(F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in df.dtypes))
+        plain.write.mode("overwrite").option("header", True).csv(f"{folder}/{'_'.join([cmd, *factors])}", sep="\t")

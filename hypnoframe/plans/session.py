@@ -49,6 +49,9 @@ class Session:
     frozen: dict[str, Session] = field(default_factory=dict)
     tags: dict[str, str] = field(default_factory=dict)
     hidden: frozenset = frozenset()
+    aliases: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: contiguous stretches (id, seg, start_ns, stop_ns) of recordings with gaps; traces hold them end to end
+    segments: DataFrame | None = None
     stopped: bool = False
 
     # -- construction
@@ -67,6 +70,20 @@ class Session:
         s = Session.create(spark, {}, [])
         return replace(s, recordings=spark.createDataFrame([(i, "1985-01-01 22:00:00", round(nr * rs * NS), round(rs * NS)) for i in ids], "id string, start string, dur_ns long, rec_ns long"))
 
+    def aliased(self, signals: dict[str, str] | None = None, annots: dict[str, str] | None = None) -> Session:
+        """Channels (without case) and annotation classes under their primary names: {alias: name}."""
+        sig, notes = {k.upper(): v for k, v in (signals or {}).items()}, annots or {}
+        table = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+        samples = self.samples.withColumn("ch", F.coalesce(table(sig)[F.upper("ch")], F.col("ch"))) if sig else self.samples
+        classes = self.annots.withColumn("class", F.coalesce(table(notes)[F.col("class")], F.col("class"))) if notes else self.annots
+        return replace(self, samples=samples, annots=classes, aliases={"signal": self.aliases.get("signal", {}) | (signals or {}), "annot": self.aliases.get("annot", {}) | notes})
+
+    def only(self, include: list[str] | None = None, exclude: list[str] | None = None) -> Session:
+        """The recordings whose ids are listed, or are not."""
+        hit = (F.col("id").isin(include) if include else F.lit(True)) & (~F.col("id").isin(exclude) if exclude else F.lit(True))
+        cut = lambda d: d.where(hit) if d is not None else None
+        return replace(self, samples=cut(self.samples), annots=cut(self.annots), recordings=cut(self.recordings), epochs=cut(self.epochs), chep=cut(self.chep), segments=cut(self.segments))
+
     # -- running
 
     def eval(self, text: str) -> Session:
@@ -172,7 +189,10 @@ class Session:
         cols = [x.split()[0] for x in schema.split(",")]
         if self.epochs is None:
             raise ScriptError(f"{c.name} needs EPOCH first")
-        grid = self.epochs.where("not masked").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("e", "start_ns", "stop_ns"))).alias("grid"))
+        # in a recording with gaps an epoch's place in the trace isn't its time
+        at = F.col("pos_ns") if "pos_ns" in self.epochs.columns else F.col("start_ns")
+        span = F.struct("e", at.alias("start_ns"), (at + F.col("stop_ns") - F.col("start_ns")).alias("stop_ns"))
+        grid = self.epochs.where("not masked").groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("grid"))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
@@ -248,10 +268,3 @@ class Session:
 
     def of_class(self, names: list[str]) -> DataFrame:
         return self.annots.where(self.in_class(names))
-
-
-def _load_commands() -> None:
-    from hypnoframe.plans import commands, signals  # noqa: F401  registers the commands
-
-
-_load_commands()

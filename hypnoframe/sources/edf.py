@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ WIDTHS = {"label": 16, "transducer": 80, "unit": 8, "pmin": 8, "pmax": 8, "dmin"
 
 def decode(raw: bytes, keep=None) -> tuple[dict, list[dict]]:
     """Header and signals; only labels that ``keep`` accepts are decoded, the others are skipped by offset."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     text = lambda a, b: raw[a:b].decode("latin-1").strip()
     ns, nr, dur, start = int(text(252, 256)), int(text(236, 244)), float(text(244, 252)), text(168, 184)
     at, cols = 256, {}
@@ -60,7 +62,7 @@ def read(spark: SparkSession, path: str, sig: list[str] | None = None) -> tuple[
 
     Only channels in ``sig`` are decoded.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf)?$", 1).alias("id"), "content")
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
     want = {x.upper() for x in sig} if sig else None
     keep = (lambda ch: ch.upper() in want) if want else None
 
@@ -94,3 +96,81 @@ def write(session, folder: str, tag: str = "") -> None:
         return pd.DataFrame([(i, len(raw))], columns=["id", "bytes"])
 
     session.samples.groupBy("id").applyInPandas(run, "id string, bytes long").agg(F.count("*")).collect()
+
+
+def tals(raw: bytes) -> list[list[tuple[float, float, list[str]]]]:
+    """(onset, duration, texts) of each record's annotation lists; the first of a record without a text is its start."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    text = lambda a, b: raw[a:b].decode("latin-1").strip()
+    ns, nr = int(text(252, 256)), int(text(236, 244))
+    labels = [text(256 + 16 * i, 272 + 16 * i) for i in range(ns)]
+    at = 256 + ns * sum(w for k, w in WIDTHS.items() if k not in ("n", "reserved"))
+    per = [int(text(at + 8 * i, at + 8 * i + 8)) for i in range(ns)]
+    body, width = 256 * (1 + ns), 2 * sum(per)
+    nr = (len(raw) - body) // width if nr < 0 else nr
+    out = []
+    for r in range(nr):
+        found, k = [], body + r * width
+        for label, n in zip(labels, per, strict=True):
+            if label.startswith("EDF Annotations"):
+                for part in raw[k : k + 2 * n].split(b"\x00"):
+                    if part[:1] in (b"+", b"-"):
+                        when, *texts = part.decode("utf-8", "replace").split("\x14")
+                        onset, _, length = when.partition("\x15")
+                        found.append((float(onset), float(length or 0), [t for t in texts if t]))
+            k += 2 * n
+        out.append(found)
+    return out
+
+
+def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(annotations, segments) of EDF+ files: their annotation lists, and the stretches in which records follow one another.
+
+    Files without annotation lists give neither.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
+
+    def notes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(i, t, t, ".", round(a * 1e9), round((a + d) * 1e9)) for i, raw in p.itertuples(index=False) for rec in tals(raw) for a, d, texts in rec for t in texts]
+            yield pd.DataFrame(rows, columns=["id", "class", "inst", "ch", "start_ns", "stop_ns"])
+
+    def stretches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for i, raw in p.itertuples(index=False):
+                n, seg, last = round(decode(raw, lambda ch: False)[0]["rec_s"] * 1e9), 0, None
+                for rec in tals(raw):
+                    if not rec:
+                        continue
+                    a = round(rec[0][0] * 1e9)
+                    if last is None or a != last:
+                        seg += 1
+                        rows.append([i, seg, a, a + n])
+                    rows[-1][3] = last = a + n
+            yield pd.DataFrame(rows, columns=["id", "seg", "start_ns", "stop_ns"])
+
+    annots = files.mapInPandas(notes, "id string, class string, inst string, ch string, start_ns long, stop_ns long").withColumn("meta", F.create_map().cast("map<string,string>"))
+    return annots, files.mapInPandas(stretches, "id string, seg int, start_ns long, stop_ns long")
+
+
+def read_ascii(spark: SparkSession, path: str, sr: float, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(recordings, samples) of text files with a column for each channel (blanks, tabs or commas between); without ``names`` the first line has them, after an optional #."""
+    import re
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[a-z]+(\.gz)?)?$", 1).alias("id"), "content")
+
+    def traces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for i, raw in p.itertuples(index=False):
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                lines = [x for x in raw.decode("utf-8", "replace").splitlines() if x.strip()]
+                own = names or re.split(r"[\s,]+", lines.pop(0).lstrip("#").strip())
+                v = np.array([[float(x) for x in re.split(r"[\s,]+", line.strip())] for line in lines]).reshape(-1, len(own))
+                rows += [(i, ch, float(sr), "uV", v[:, k]) for k, ch in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["id", "ch", "sr", "unit", "v"])
+
+    samples = files.mapInPandas(traces, "id string, ch string, sr double, unit string, v array<double>")
+    n = F.max(F.size("v"))
+    return samples.groupBy("id").agg(n.alias("n")).select("id", F.lit("1985-01-01 00:00:00").alias("start"), F.round(F.col("n") / sr * 1e9).cast("long").alias("dur_ns"), F.lit(1_000_000_000).cast("long").alias("rec_ns")), samples
