@@ -678,14 +678,17 @@ def overlap(s: Session, c: Command) -> Session:
                 x = np.array([(r["start_ns"], r["stop_ns"]) for r in a], np.int64)
                 y = np.array(sorted((r["start_ns"], r["stop_ns"]) for r in b) if b is not None else [], np.int64).reshape(-1, 2)
                 by = np.random.default_rng([seed, zlib.crc32(str(i).encode())]).integers(0, max(dur, 1), reps)
-                for k in range(reps + 1):
-                    at = (x[:, 0] + (by[k - 1] if k else 0)) % max(dur, 1) if k else x[:, 0]
-                    end = at + x[:, 1] - x[:, 0]
-                    hit = _meets(at, end, y) | (_meets(np.zeros(len(x), np.int64), end - dur, y) & (end > dur) if k else False)
-                    rows.append((name, k, int(hit.sum())))
+                rows.append((name, 0, int(_meets(x[:, 0], x[:, 1], y).sum())))
+                step = max(1, 1_000_000 // len(x))  # replicates side by side
+                for k in range(0, reps, step):
+                    at = (x[None, :, 0] + by[k : k + step, None]) % max(dur, 1)
+                    end = at + (x[:, 1] - x[:, 0])[None, :]
+                    hit = _meets(at.ravel(), end.ravel(), y) | (_meets(np.zeros(at.size, np.int64), (end - dur).ravel(), y) & (end > dur).ravel())
+                    rows += [(name, k + q + 1, int(n)) for q, n in enumerate(hit.reshape(at.shape).sum(1))]
             yield pd.DataFrame(rows, columns=["seed", "rep", "n"])
 
-    grid = j.mapInPandas(run, "seed string, rep int, n long").groupBy("seed", "rep").agg(F.sum("n").alias("n"))
+    dealt = j.repartition(max(1, int(s.spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+    grid = dealt.mapInPandas(run, "seed string, rep int, n long").groupBy("seed", "rep").agg(F.sum("n").alias("n"))
     obs = grid.where("rep = 0").select("seed", F.col("n").alias("OBS"))
     null = grid.where("rep > 0").join(obs, "seed").groupBy("seed", "OBS").agg(F.avg("n").alias("EXP"), F.stddev_pop("n").alias("sd"), F.sum((F.col("n") >= F.col("OBS")).cast("int")).alias("ge"))
     out = null.select("seed", "OBS", "EXP", F.when(F.col("sd") > 0, (F.col("OBS") - F.col("EXP")) / F.col("sd")).alias("Z"), ((F.col("ge") + 1) / F.lit(reps + 1)).alias("P"))

@@ -207,6 +207,10 @@ class Session:
 
         return self.channels(c).join(grid, "id").mapInPandas(run, f"id string, ch string, e long, {schema}")
 
+    def by_recording(self, df: DataFrame):
+        """Rows grouped by id, dealt by number: traces are small but costly to work on, so they mustn't be coalesced by size into few tasks."""
+        return df.repartition(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "id").groupBy("id")
+
     def grouped(self, c: Command, f: Callable[[str, dict[str, tuple[float, np.ndarray]]], list[dict]], schema: str, keys=("sig",)) -> DataFrame:
         """Result rows (+ schema) of a kernel over all matched channels of a recording."""
         cols = [x.split()[0] for x in schema.split(",")]
@@ -217,7 +221,7 @@ class Session:
             chs = {ch: (sr, np.asarray(v, float)) for ch, sr, v in p[["ch", "sr", "v"]].itertuples(index=False)}
             return pd.DataFrame([[p["id"].iloc[0], *(r.get(k) for k in cols)] for r in f(p["id"].iloc[0], chs)], columns=["id", *cols])
 
-        return self.chosen(sig).groupBy("id").applyInPandas(run, f"id string, {schema}")
+        return self.by_recording(self.chosen(sig)).applyInPandas(run, f"id string, {schema}")
 
     def pairs(self, c: Command, f: Callable[[np.ndarray, np.ndarray, float], list[dict]], schema: str) -> DataFrame:
         """Result rows (id, ch1, ch2, + schema) of channel pairs of equal rate; sig1 x sig2, or all pairs of sig.
@@ -237,7 +241,7 @@ class Session:
             return pd.DataFrame(out, columns=["id", "ch1", "ch2", *cols])
 
         both = self.samples.withColumns({"_a": one, "_b": two}).where("_a or _b").select("id", "ch", "sr", "v", "_a", "_b")
-        return both.groupBy("id").applyInPandas(run, f"id string, ch1 string, ch2 string, {schema}")
+        return self.by_recording(both).applyInPandas(run, f"id string, ch1 string, ch2 string, {schema}")
 
     def joint(self, c: Command, f: Callable[[dict[str, tuple[float, np.ndarray]]], dict[str, tuple[float, np.ndarray]]], keep: bool = True) -> Session:
         """New channels from all matched channels of a recording together."""
@@ -247,7 +251,7 @@ class Session:
             out = f({ch: (sr, np.asarray(v, float)) for ch, sr, v in p[["ch", "sr", "v"]].itertuples(index=False)})
             return pd.DataFrame([(p["id"].iloc[0], ch, float(sr), p["unit"].iloc[0], np.asarray(v, float)) for ch, (sr, v) in out.items()], columns=["id", "ch", "sr", "unit", "v"])
 
-        new = self.channels(c).groupBy("id").applyInPandas(run, SAMPLES)
+        new = self.by_recording(self.channels(c)).applyInPandas(run, SAMPLES)
         old = self.samples if keep else self.chosen(c.get("sig"), False)
         return self.with_samples(old.unionByName(new))
 
