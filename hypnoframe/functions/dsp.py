@@ -32,6 +32,9 @@ def shaped_noise(sr: float, n: int, alpha: float = 1.0, seed: int = 1) -> np.nda
 
 # ---- filters -------------------------------------------------------------
 
+#: convolutions up to this length are made directly: silent stretches stay exactly zero
+DIRECT = 128
+
 
 def kaiser_fir(sr: float, kind: str, edges: list[float], ripple: float = 0.02, tw: float = 1.0) -> np.ndarray:
     """Linear-phase windowed sinc of odd length from a ripple and a transition width."""
@@ -52,9 +55,12 @@ def kaiser_fir(sr: float, kind: str, edges: list[float], ripple: float = 0.02, t
 
 
 def fir(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Convolution by FFT, the group delay taken out, edges reflected."""
+    """Convolution (short filters directly, long ones by FFT), the group delay taken out, edges reflected."""
     k = len(h) // 2
     pad = np.pad(x, min(k, max(len(x) - 1, 0)), mode="reflect") if len(x) > 1 else x
+    if 0 < len(x) and len(h) <= DIRECT:
+        at = k + (len(pad) - len(x)) // 2
+        return np.convolve(pad, h)[at : at + len(x)]
     n = 1 << (len(pad) + len(h) - 2).bit_length()
     y = np.fft.irfft(np.fft.rfft(pad, n) * np.fft.rfft(h, n), n)
     at = k + (len(pad) - len(x)) // 2
@@ -255,11 +261,13 @@ def irasa(x: np.ndarray, sr: float, seg: float = 4.0, factors=tuple(np.arange(1.
 
 
 def morlet(x: np.ndarray, sr: float, f: float, cycles: float = 7.0) -> np.ndarray:
-    """Complex Morlet transform (unit peak gain) by FFT."""
+    """Complex Morlet transform (unit peak gain), short wavelets directly and long ones by FFT."""
     sd = cycles / (2 * np.pi * f)
     t = np.arange(-4 * sd, 4 * sd + 1 / sr, 1 / sr)
     w = np.exp(2j * np.pi * f * t) * np.exp(-t * t / (2 * sd * sd))
     w *= 2 / np.abs(w).sum()
+    if 0 < len(x) and len(w) <= DIRECT:
+        return np.convolve(x, w)[len(w) // 2 : len(w) // 2 + len(x)]
     n = 1 << (len(x) + len(w) - 2).bit_length()
     return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(w, n))[len(w) // 2 : len(w) // 2 + len(x)]
 
@@ -305,9 +313,15 @@ def xcorr(x: np.ndarray, y: np.ndarray, sr: float, w: float) -> tuple[np.ndarray
     return np.arange(-k, k + 1) / sr, np.concatenate([c[-k:], c[: k + 1]]) if k else c[:1]
 
 
+def settled(y: np.ndarray) -> np.ndarray:
+    """Rounding noise, under 1e-9 of the largest amplitude, made zero: it has no sign and no phase."""
+    size = np.abs(y)
+    return np.where(size < 1e-9 * size.max(initial=0), 0, y)
+
+
 def phase_locking(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """PLV, amplitude-weighted coherence and mean phase difference of two narrow-band signals."""
-    a, b = analytic(x), analytic(y)
+    """PLV, amplitude-weighted coherence and mean phase difference of two narrow-band signals; silence has phase 0."""
+    a, b = settled(analytic(x)), settled(analytic(y))
     d = np.angle(a) - np.angle(b)
     w = np.abs(a) * np.abs(b)
     m = np.exp(1j * d)
@@ -528,7 +542,7 @@ def spindles(x: np.ndarray, sr: float, fc: float = 13.5, cycles: float = 7, th:
 
 def slow_oscillations(x: np.ndarray, sr: float, flo: float = 0.5, fhi: float = 4.0, tlo: float = 0.5, thi: float = 2.0, mag: float = 1.5) -> list[dict]:
     """Half-waves between zero crossings (down to down) whose length fits and whose amplitude is above ``mag`` times the mean."""
-    y = filtered(x, sr, "bandpass", [flo, fhi], tw=0.5)
+    y = settled(filtered(x, sr, "bandpass", [flo, fhi], tw=0.5))
     down = np.flatnonzero((y[:-1] > 0) & (y[1:] <= 0)) + 1
     rows = []
     for a, b in zip(down[:-1], down[1:], strict=True):

@@ -888,7 +888,7 @@ def actigraphy(s: Session, c: Command) -> Session:
         win = lambda hours: np.array([ring[k : k + max(1, round(hours * 60 / per))].mean() for k in range(day)])
         l5, m10 = win(5), win(10)
         low = dsp.moving_average(h, 5) < 0.4 * h.mean() if len(h) >= 5 else h < 0.4 * h.mean()
-        return [{"NP_IS": float(((prof - h.mean()) ** 2).mean() / var) if var else 0.0, "NP_IV": float((np.diff(h) ** 2).mean() / var) if var else 0.0, "NP_L5": float(l5.min()), "NP_M10": float(m10.max()), "NP_RA": float((m10.max() - l5.min()) / (m10.max() + l5.min())) if m10.max() + l5.min() else 0.0, "NP_L5_ONSET_MIN": float(l5.argmin() * per), "NP_M10_ONSET_MIN": float(m10.argmax() * per), "SCORE_TST": float(low.sum() * per), "SCORE_TWT": float((~low).sum() * per)}]
+        return [{"NP_IS": float(((prof - h.mean()) ** 2).mean() / var) if var else 0.0, "NP_IV": float((np.diff(h) ** 2).mean() / var) if var else 0.0, "NP_L5": float(l5.min()), "NP_M10": float(m10.max()), "NP_RA": float((m10.max() - l5.min()) / (m10.max() + l5.min())) if m10.max() + l5.min() else 0.0, "NP_L5_ONSET_MIN": float(l5.round(9).argmin() * per), "NP_M10_ONSET_MIN": float(m10.round(9).argmax() * per), "SCORE_TST": float(low.sum() * per), "SCORE_TWT": float((~low).sum() * per)}]
 
     return s.emit("ACTIG", s.rows(c, one, ", ".join(f"{k} double" for k in ("NP_IS", "NP_IV", "NP_L5", "NP_M10", "NP_RA", "NP_L5_ONSET_MIN", "NP_M10_ONSET_MIN", "SCORE_TST", "SCORE_TWT"))), "CH")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hypnoframe.plans import proven, relational, scripted
+from hypnoframe.plans import kernel_sql, proven, relational, scripted
 
-QUERIES: dict = relational.QUERIES | scripted.QUERIES | proven.QUERIES
-ORACLE: dict = relational.ORACLE | scripted.ORACLE | proven.ORACLE
+QUERIES: dict = relational.QUERIES | scripted.QUERIES | proven.QUERIES | kernel_sql.QUERIES
+ORACLE: dict = relational.ORACLE | scripted.ORACLE | proven.ORACLE | kernel_sql.ORACLE
