@@ -105,11 +105,15 @@ def response(zeros: np.ndarray, poles: np.ndarray, gain: float, sr: float, f: np
     return h
 
 
-def one_pass(x: np.ndarray, zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
-    """A recursive filter run once over x from rest, through a spectrum padded until its tail is under 1e-12."""
-    tail = math.ceil(-27.7 / math.log(min(np.abs(poles).max(), 1 - 1e-6)))
+def ringing(x: np.ndarray, poles: np.ndarray, gain_at) -> np.ndarray:
+    """x through a recursive filter from rest, by a spectrum padded until its tail is under 1e-12; ``gain_at``: response at cycles a sample."""
+    tail = math.ceil(-27.7 / math.log(np.clip(np.abs(poles).max(initial=0), 1e-6, 1 - 1e-6)))
     n = 1 << (len(x) + min(tail, 50 * len(x) + 1000)).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, n) * response(zeros, poles, gain, 1.0, np.fft.rfftfreq(n)), n)[: len(x)]
+    return np.fft.irfft(np.fft.rfft(x, n) * gain_at(np.fft.rfftfreq(n)), n)[: len(x)]
+
+
+def one_pass(x: np.ndarray, zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
+    return ringing(x, poles, lambda f: response(zeros, poles, gain, 1.0, f))
 
 
 def filtered(x: np.ndarray, sr: float, kind: str, edges: list[float], ripple: float = 0.02, tw: float = 1.0) -> np.ndarray:
