@@ -23,11 +23,11 @@ from hypnoframe.plans.session import NS, Session, command
 
 @command("WRITE")
 def write(s: Session, c: Command) -> Session:
-    """Writes the traces as EDF files, one per recording, under edf-dir (default: parquet under out)."""
+    """Writes the traces as EDF files (edfz: block-compressed, indexed), one per recording, under edf-dir (default: parquet under out)."""
     from hypnoframe.sources import edf
 
     if c.has("edf-dir"):
-        edf.write(s, c.get("edf-dir"), c.get("edf-tag", ""))
+        edf.write(s, c.get("edf-dir"), c.get("edf-tag", ""), c.has("edfz"))
     elif c.has("out"):
         s.samples.write.mode("overwrite").partitionBy("id").parquet(c.get("out"))
     return s

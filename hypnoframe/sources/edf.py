@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +64,7 @@ def read(spark: SparkSession, path: str, sig: list[str] | None = None) -> tuple[
 
     Only channels in ``sig`` are decoded.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!x]").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
     want = {x.upper() for x in sig} if sig else None
     keep = (lambda ch: ch.upper() in want) if want else None
 
@@ -83,16 +85,115 @@ def read(spark: SparkSession, path: str, sig: list[str] | None = None) -> tuple[
     return files.mapInPandas(heads, "id string, start string, dur_ns long, rec_ns long"), files.mapInPandas(traces, "id string, ch string, sr double, unit string, v array<double>")
 
 
-def write(session, folder: str, tag: str = "") -> None:
-    """One EDF file per recording, written by the executors into a shared folder."""
+def _store(path: str):
+    """(file system, path in it) of a path or address; only stores that pyarrow knows."""
     import os
 
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def blocked(raw: bytes, at: list[int], size: int = 65280) -> tuple[bytes, list[int]]:
+    """Block-compressed ``raw`` (gzip members that say their length, then an empty one), and for each place in ``at`` its address: member offset * 65536 + place in the member."""
+    out, starts = [], []
+    for a in [*range(0, len(raw), size), len(raw)]:
+        part = raw[a : a + size]
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(part) + z.flush()
+        starts.append(sum(map(len, out[-1:])) + (starts[-1] if starts else 0))
+        out.append(b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out), [starts[k // size] << 16 | k % size for k in at]
+
+
+def unblocked(f, address: int, n: int) -> bytes:
+    """At most ``n`` bytes from an address of a block-compressed file; only the members that hold them are read."""
+    c, skip, got = address >> 16, address & 0xFFFF, b""
+    while len(got) < n + skip:
+        head = f.read_at(18, c)
+        if len(head) < 18:
+            break
+        width = struct.unpack("<H", head[16:18])[0] + 1
+        got += zlib.decompress(f.read_at(width, c)[18:-8], -15)
+        c += width
+    return got[skip : skip + n]
+
+
+def index_text(raw: bytes, addresses: list[int]) -> str:
+    """Index of a block-compressed file: a version line, the record size in bytes, then address, time and texts of each record."""
+    ns, dur = int(raw[252:256]), float(raw[244:252])
+    width = 2 * sum(int(raw[256 + ns * 216 + 8 * i :][:8]) for i in range(ns))
+    return f"EDFZv1\n{width}\n" + "".join(f"{a}\t{round(k * dur * 1e9)}\t.\n" for k, a in enumerate(addresses))
+
+
+def window(path: str, size: int, a_s: float, b_s: float, keep=None) -> tuple[dict, list[dict], float]:
+    """Header, signals and start (s) of the records that [a_s, b_s) meets; only they and the header are read.
+
+    A compressed file without an index beside it is read whole.
+    """
+    store, p = _store(path)
+    with store.open_input_file(p) as f:
+        packed, index = f.read_at(2, 0) == b"\x1f\x8b", None
+        if packed:
+            if store.get_file_info(p + ".idx").size:
+                with store.open_input_stream(p + ".idx") as g:
+                    index = [int(x.split("\t")[0]) for x in g.read().decode().split("\n")[2:] if x]
+                part = lambda a, n: unblocked(f, 0, a + n)[a:]
+            else:
+                whole = gzip.decompress(f.read_at(size, 0))
+                size, part = len(whole), lambda a, n: whole[a : a + n]
+        else:
+            part = lambda a, n: f.read_at(n, a)
+        ns = int(part(252, 4))
+        head = part(0, 256 * (1 + ns))
+        width = 2 * sum(int(head[256 + ns * 216 + 8 * i :][:8]) for i in range(ns))
+        dur, nr = float(head[244:252]), int(head[236:244])
+        nr = (len(index) if index else (size - len(head)) // width) if nr < 0 else nr
+        first = min(nr, max(0, int(a_s // dur)))
+        last = max(first, min(nr, int(-(-b_s // dur))))
+        n = (last - first) * width
+        body = (unblocked(f, index[first], n) if n else b"") if index else part(len(head) + first * width, n)
+    h, signals = decode(head[:236] + str(last - first).ljust(8).encode() + head[244:] + body, keep)
+    return h, signals, first * dur
+
+
+def read_window(spark: SparkSession, path: str, a_s: float, b_s: float, sig: list[str] | None = None) -> DataFrame:
+    """(id, ch, sr, unit, start_s, v) of the records that meet [a_s, b_s), by offset: a task reads headers and those records, not files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!x]").load(path).select("path", "length")
+    want = {x.upper() for x in sig} if sig else None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for p in parts:
+            for where, size in p.itertuples(index=False):
+                rid = re.search(r"([^/]+?)(\.edf(\.?gz|z)?)?$", where)[1]
+                _, found, at = window(where, size, a_s, b_s, (lambda ch: ch.upper() in want) if want else None)
+                yield pd.DataFrame([(rid, s["ch"], s["sr"], s["unit"], at, s["v"]) for s in found], columns=["id", "ch", "sr", "unit", "start_s", "v"])
+
+    return files.mapInPandas(run, "id string, ch string, sr double, unit string, start_s double, v array<double>")
+
+
+def write(session, folder: str, tag: str = "", packed: bool = False) -> None:
+    """One EDF file per recording, written by the executors into a shared folder; ``packed``: block-compressed, with an index beside it."""
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
         i = p["id"].iloc[0]
-        os.makedirs(folder, exist_ok=True)
         raw = encode([(ch, sr, u, np.asarray(v, float)) for ch, sr, u, v in p.sort_values("ch")[["ch", "sr", "unit", "v"]].itertuples(index=False)])
-        with open(f"{folder}/{i}{'-' + tag if tag else ''}.edf", "wb") as f:
-            f.write(raw)
+        store, base = _store(folder)
+        store.create_dir(base)
+        name = f"{base}/{i}{'-' + tag if tag else ''}.edf"
+        files = {name: raw}
+        if packed:
+            ns, nr = int(raw[252:256]), int(raw[236:244])
+            head = 256 * (1 + ns)
+            body, at = blocked(raw, [head + r * ((len(raw) - head) // max(nr, 1)) for r in range(nr)])
+            files = {name + "z": body, name + "z.idx": index_text(raw, at).encode()}
+        for where, content in files.items():
+            with store.open_output_stream(where) as f:
+                f.write(content)
         return pd.DataFrame([(i, len(raw))], columns=["id", "bytes"])
 
     session.samples.groupBy("id").applyInPandas(run, "id string, bytes long").agg(F.count("*")).collect()
@@ -128,7 +229,7 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     Files without annotation lists give neither.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!x]").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.edf(\.?gz|z)?)?$", 1).alias("id"), "content")
 
     def notes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
