@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hypnoframe.plans import kernel_sql, proven, relational, scripted, views
+from hypnoframe.plans import kernel_sql, proven, relational, scripted, tools, views
 
-QUERIES: dict = relational.QUERIES | scripted.QUERIES | proven.QUERIES | kernel_sql.QUERIES | views.QUERIES
-ORACLE: dict = relational.ORACLE | scripted.ORACLE | proven.ORACLE | kernel_sql.ORACLE | views.ORACLE
+QUERIES: dict = relational.QUERIES | scripted.QUERIES | proven.QUERIES | kernel_sql.QUERIES | views.QUERIES | tools.QUERIES
+ORACLE: dict = relational.ORACLE | scripted.ORACLE | proven.ORACLE | kernel_sql.ORACLE | views.ORACLE | tools.ORACLE

@@ -45,6 +45,42 @@ def read_stages(spark: SparkSession, path: str, epoch_s: float = 30.0) -> DataFr
     return d.select("id", "class", F.col("class").alias("inst"), F.lit(".").alias("ch"), ((e - 1) * n).alias("start_ns"), (e * n).alias("stop_ns"), F.create_map().cast("map<string,string>").alias("meta"))
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Feature lists: start and stop (ns), label, then key=value fields; a key alone has an empty value.
+
+    The class is the file's name, the instance the label. A line of fewer than three
+    fields goes; one with a start that is no number or after its stop is an error.
+    """
+    d = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[a-z]+)?$", 1).alias("class"), F.split("value", "\t").alias("f"), "value").where("size(f) >= 3")
+    a, b = F.col("f")[0].try_cast("long"), F.col("f")[1].try_cast("long")
+    bad = a.isNull() | b.isNull() | (a > b)
+    start = F.when(bad, F.raise_error(F.concat(F.lit("bad feature line: "), "value"))).otherwise(a)
+    pairs = F.transform(F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substr(x, F.instr(x, F.lit("=")) + 1)).otherwise("").alias("v")))
+    # a key that comes again counts as it came last
+    last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+    return d.select("class", F.col("f")[2].alias("inst"), F.lit(".").alias("ch"), start.alias("start_ns"), b.alias("stop_ns"), last.alias("meta"))
+
+
+def build_sample_list(spark: SparkSession, folder: str) -> DataFrame:
+    """id, edf, annots (array) of the recordings below a folder, annotation files matched by name; listed by Spark, so any store."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    # sorted lists: an id may have several annotation files
+    d = files.select("path", F.regexp_extract("path", r"([^/]+?)(-nsrr|-profusion)?\.([A-Za-z.]+)$", 1).alias("id"), F.lower(F.regexp_extract("path", r"\.(edf\.gz|[A-Za-z]+)$", 1)).alias("kind"))
+    edf = F.col("kind").isin("edf", "edfz", "edf.gz")
+    note = F.col("kind").isin("annot", "eannot", "stages", "xml", "ftr", "tsv")
+    g = d.where(edf | note).groupBy("id").agg(F.min(F.when(edf, F.col("path"))).alias("edf"), F.array_sort(F.collect_list(F.when(note, F.col("path")))).alias("annots"))
+    return g.where("edf is not null").select("id", "edf", "annots")
+
+
+def validated(samples: DataFrame, found: DataFrame) -> DataFrame:
+    """``samples`` with ``ok``, whether its files are among ``found`` (path), and ``missing``, the ones that aren't; ids that come twice aren't ok."""
+    want = samples.select("id", F.explode(F.concat(F.array("edf"), "annots")).alias("path")).distinct()
+    gone = want.join(found.select("path").distinct(), "path", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("path")).alias("missing"))
+    twice = samples.groupBy("id").agg((F.count("*") > 1).alias("twice"))
+    j = samples.join(gone, "id", "left").join(twice, "id")
+    return j.withColumn("missing", F.coalesce("missing", F.array().cast("array<string>"))).withColumn("ok", (F.size("missing") == 0) & ~F.col("twice")).drop("twice")
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """ScoredEvent elements (EventConcept, Start, Duration)."""
     x = spark.read.format("xml").option("rowTag", "ScoredEvent").schema("EventConcept string, SignalLocation string, Start double, Duration double").load(path)
