@@ -526,21 +526,44 @@ def merged(found: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return out
 
 
-def spindles(x: np.ndarray, sr: float, fc: float = 13.5, cycles: float = 7, th: float = 4.5, th2: float = 2.0, lo: float = 0.5, hi: float = 3.0, core: float = 0.3, gap: float = 0.5, smooth: float = 0.1) -> list[dict]:
-    """Wavelet detections: a core above th times the mean, its flanks above th2 times, joined over gaps, of 0.5 to 3 s."""
+def between_modes(v: np.ndarray, bins: int = 100) -> float:
+    """The cut of a histogram with the largest variance between its two sides."""
+    n, edges = np.histogram(v, bins)
+    mid = (edges[:-1] + edges[1:]) / 2
+    w, m = np.cumsum(n), np.cumsum(n * mid)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num((m[-1] * w - m * w[-1]) ** 2 / (w * (w[-1] - w)))
+    return float(edges[1 + int(gain[:-1].argmax())]) if len(gain) > 1 else float(edges[-1])
+
+
+def spindles(x: np.ndarray, sr: float, fc: float = 13.5, cycles: float = 7, th: float | None = 4.5, th2: float = 2.0, lo: float = 0.5, hi: float = 3.0, core: float = 0.3, gap: float = 0.5, smooth: float = 0.1, local: float = 0.0, most: float = math.inf) -> list[dict]:
+    """Wavelet detections: a core above th times the mean, its flanks above th2 times, joined over gaps, of ``lo`` to ``hi`` s.
+
+    ``th`` None: cut between the modes of the logarithms. ``local``: the mean is taken
+    in a window of as many seconds. A detection that reaches ``most`` times the mean goes.
+    """
     p = np.abs(morlet(x, sr, fc, cycles)) ** 2
     p = moving_average(p, max(1, round(smooth * sr)) | 1)
-    base = p.mean()
+    base = moving_average(p, round(local * sr) | 1) if local else np.full(len(p), p.mean())
+    if th is None:
+        some = (p > 0) & (base > 0)
+        if not some.any():
+            return []
+        th = math.exp(between_modes(np.log(p[some] / base[some])))
+        th2 = min(th2, th)
     cores = [r for r in runs(p > th * base) if r[1] - r[0] >= core * sr]
     wide = runs(p > th2 * base)
-    keep = [w for w in wide if any(c[0] >= w[0] and c[1] <= w[1] for c in cores)]
+    keep = [w for w in wide if any(c[0] >= w[0] and c[1] <= w[1] for c in cores) and (p[w[0] : w[1]] < most * base[w[0] : w[1]]).all()]
     out = []
-    band = filtered(x, sr, "bandpass", [max(0.5, fc - 2), fc + 2])
+    band = settled(filtered(x, sr, "bandpass", [max(0.5, fc - 2), fc + 2]))
     for a, b in merged(keep, round(gap * sr)):
         if lo * sr <= b - a <= hi * sr:
             s = band[a:b]
-            zc = np.flatnonzero(np.diff(np.signbit(s).astype(int)))
-            out.append({"start": a / sr, "stop": b / sr, "dur": (b - a) / sr, "amp": float(np.ptp(s)), "frq": float(len(zc) / 2 / ((b - a) / sr)), "peak": (a + int(np.argmax(np.abs(s)))) / sr, "isa": float(p[a:b].sum() / base / sr)})
+            zc = np.flatnonzero(np.diff((s < 0).astype(int)))
+            top, half = int(np.argmax(np.abs(s))), len(zc) // 2
+            rate = lambda k: (len(k) - 1) * sr / 2 / (k[-1] - k[0]) if len(k) > 1 else math.nan
+            where = (top + 0.5) / (b - a)
+            out.append({"start": a / sr, "stop": b / sr, "dur": (b - a) / sr, "amp": float(np.ptp(s)), "frq": float(len(zc) / 2 / ((b - a) / sr)), "peak": (a + top) / sr, "isa": float((p[a:b] / base[a:b]).sum() / sr), "nosc": len(zc) / 2, "symm": where, "symm2": 2 * abs(where - 0.5), "chirp": float(rate(zc[half:]) - rate(zc[: half + 1]))})
     return out
 
 
@@ -560,15 +583,15 @@ def slow_oscillations(x: np.ndarray, sr: float, flo: float = 0.5, fhi: float = 4
 
 
 def smoothed_z_peaks(x: np.ndarray, lag: int, th: float, influence: float) -> np.ndarray:
-    """+1, -1 or 0 a sample: a stateful scan in which signals enter the baseline damped."""
+    """+1, -1 or 0 a sample: a stateful scan in which signals enter the baseline damped; differences under 1e-9 of the range are none."""
     out, y = np.zeros(len(x), int), x.astype(float).copy()
     if len(x) <= lag:
         return out
-    s, ss = y[:lag].sum(), (y[:lag] ** 2).sum()
+    s, ss, least = y[:lag].sum(), (y[:lag] ** 2).sum(), 1e-9 * np.abs(x).max()
     for i in range(lag, len(x)):
         m = s / lag
         sd = math.sqrt(max(ss / lag - m * m, 0.0))
-        if abs(x[i] - m) > th * sd:
+        if abs(x[i] - m) > th * sd + least:
             out[i] = 1 if x[i] > m else -1
             y[i] = influence * x[i] + (1 - influence) * y[i - 1]
         s += y[i] - y[i - lag]

@@ -72,8 +72,8 @@ ORACLE["cmd_bands_stats"] = _after(
 ORACLE["cmd_hilbert_stats"] = _after(_ERROR + _filtered("f", "er", 2.0, 5.0) + _analytic("w", "f"), _rows("w", "'error_hilbert_mag'", _MAG))
 
 
-def _morlet(fc: float, cycles: float = 7.0) -> str:
-    """``w``(id, ch, n, y, z): real and imaginary parts of the Morlet transform of ``er``."""
+def _morlet(fc: float, cycles: float = 7.0, source: str = "er") -> str:
+    """``w``(id, ch, n, y, z): real and imaginary parts of the Morlet transform of ``source``."""
     sd = cycles / (2 * math.pi * fc)
     n = math.ceil(8 * sd * RATE + 1)
     t = f"({-4 * sd!r} + i / {RATE}.0)"
@@ -81,7 +81,7 @@ def _morlet(fc: float, cycles: float = 7.0) -> str:
     dot = lambda part: f"list_transform(range({n // 2 + 1}, n + {n // 2 + 1}), lambda q: list_dot_product(p[q : q + {n - 1}], {part}))"
     return f""", m0 AS (SELECT i, exp(-pow({t}, 2) / {2 * sd * sd!r}) AS g, 2 * pi() * {fc!r} * {t} AS a FROM (SELECT unnest(range(0, {n})) AS i)),
 m1 AS (SELECT list(2 * g * cos(a) / s ORDER BY i DESC) AS re, list(2 * g * sin(a) / s ORDER BY i DESC) AS im FROM m0, (SELECT sum(g) AS s FROM m0)),
-w AS (SELECT id, ch, n, {dot("re")} AS y, {dot("im")} AS z FROM (SELECT id, ch, count(*) AS n, list_concat({zeros}, list(x ORDER BY k), {zeros}) AS p FROM er GROUP BY ALL), m1)"""
+w AS (SELECT id, ch, n, {dot("re")} AS y, {dot("im")} AS z FROM (SELECT id, ch, count(*) AS n, list_concat({zeros}, list(x ORDER BY k), {zeros}) AS p FROM {source} GROUP BY ALL), m1)"""
 
 
 ORACLE["cmd_cwt_stats"] = _after(_ERROR + _morlet(4.0), _rows("w", "'error_cwt_4_mag'", _MAG))
@@ -139,6 +139,47 @@ ORACLE["cmd_ripples"] = (
 )
 
 
+ORACLE["cmd_spindles"] = (
+    _morlet(4.0, 5.0, "v")
+    + f""", p0 AS ({_rows("w", x="list_transform(range(1, n + 1), lambda t: y[t] * y[t] + z[t] * z[t])")}),
+p1 AS (SELECT id, ch, k, avg(x) OVER (PARTITION BY id, ch ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM p0),
+p AS (SELECT a.id, a.ch, a.k, b.x, avg(b.x) OVER (PARTITION BY a.id, a.ch) AS base FROM p1 a, lim JOIN p1 b ON b.id = a.id AND b.ch = a.ch AND b.k = least(greatest(a.k, 1), n - 2))"""
+    + _RUNS.format("core", "SELECT id, ch, k FROM p WHERE x > 4.5 * base")
+    + _RUNS.format("wide", "SELECT id, ch, k FROM p WHERE x > 2 * base")
+    + """, kept AS (SELECT w.id, w.ch, w.a, w.b FROM wide w SEMI JOIN (SELECT * FROM core WHERE b - a >= 2.4) c ON c.id = w.id AND c.ch = w.ch AND c.a >= w.a AND c.b <= w.b),
+one AS (SELECT id, ch, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY id, ch ORDER BY a) AS g FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY id, ch ORDER BY a) <= 12 THEN 0 ELSE 1 END AS fresh FROM kept)) GROUP BY id, ch, g)"""
+    + _filtered("f", "v", 2.0, 6.0)
+    + f""", band AS (SELECT id, ch, k, CASE WHEN abs(x) < 1e-9 * max(abs(x)) OVER (PARTITION BY id, ch) THEN 0.0 ELSE x END AS x FROM ({_rows("f")})),
+turn AS (SELECT *, (x < 0) != (lag(x) OVER (PARTITION BY id, ch ORDER BY k) < 0) AS t FROM band),
+found AS (SELECT o.id, o.ch, a, b, max(t.x) - min(t.x) AS amp, count(*) FILTER (t.t AND t.k > a) / 2.0 AS nosc, arg_max(t.k, (abs(t.x), -t.k)) AS top, sum(p.x / p.base) / 24.0 AS isa
+FROM one o JOIN turn t ON t.id = o.id AND t.ch = o.ch AND t.k >= a AND t.k < b JOIN p ON p.id = t.id AND p.ch = t.ch AND p.k = t.k WHERE b - a BETWEEN 4.8 AND 72 GROUP BY ALL) """
+    + _summary("SELECT * FROM found", 'avg((b - a) / 24.0) AS "DUR", avg(amp) AS "AMP", avg(nosc / ((b - a) / 24.0)) AS "FRQ", avg(top / 24.0) AS "PEAK", avg(isa) AS "ISA",')
+)
+
+
+ORACLE["cmd_z_peaks"] = (
+    """, tr AS (SELECT id, ch, list(x ORDER BY k) AS x, 1e-9 * max(abs(x)) AS least FROM v GROUP BY ALL),
+scan AS (WITH RECURSIVE r AS (SELECT id, ch, 47 AS k, x[1:48] AS win, 0 AS hit FROM tr
+UNION ALL SELECT id, ch, k, list_append(win[2:], CASE WHEN hit = 0 THEN xi ELSE 0.01 * xi + 0.99 * win[48] END), hit FROM
+(SELECT id, ch, k, win, xi, CASE WHEN abs(xi - m) > 3 * sqrt(greatest(m2 - m * m, 0)) + least THEN CASE WHEN xi > m THEN 1 ELSE -1 END ELSE 0 END AS hit FROM
+(SELECT r.id, r.ch, r.k + 1 AS k, win, least, tr.x[r.k + 2] AS xi, list_avg(win) AS m, list_avg(list_transform(win, lambda u: u * u)) AS m2 FROM r JOIN tr ON tr.id = r.id AND tr.ch = r.ch WHERE r.k + 1 < len(tr.x)))) SELECT id, ch, k FROM r WHERE hit = 1)"""
+    + _RUNS.format("z", "SELECT id, ch, k FROM scan")
+    + ' SELECT id, ch, a / 24.0 AS "start", b / 24.0 AS "stop" FROM z'
+)
+
+_turns = "".join(_morlet(float(f), 7.0, "v").replace("m0 AS", f"m0{f} AS").replace("m1 AS", f"m1{f} AS").replace("FROM m0", f"FROM m0{f}").replace("), m1)", f"), m1{f})").replace("w AS (", f"w{f} AS (") for f in range(2, 7))
+_all = " UNION ALL ".join(f"SELECT id, ch, {f}.0 AS f, unnest(range(0, n)) AS k, unnest(list_transform(range(1, n + 1), lambda t: atan2(z[t], y[t]))) AS a FROM w{f}" for f in range(2, 7))
+ORACLE["cmd_sync"] = f"""{_turns}, ph AS ({_all}), o AS (SELECT id, f, k, sqrt(pow(avg(cos(a)), 2) + pow(avg(sin(a)), 2)) AS o FROM ph GROUP BY ALL)
+SELECT id, CAST(f AS DOUBLE) AS "F", avg(o) AS "KOP" FROM o GROUP BY id, f"""
+
+# cosine transform of the mirrored trace, cut at the new rate and turned back
+ORACLE["cmd_resample_stats"] = """, tr AS (SELECT id, ch, list(x ORDER BY k) AS x FROM v GROUP BY ALL),
+ct AS (SELECT q, list(2 * cos(pi() * q * (2 * i + 1) / (2 * n)) ORDER BY i) AS c FROM (SELECT n, q, unnest(range(0, n)) AS i FROM (SELECT n, unnest(range(0, n // 2 + 1)) AS q FROM lim)) GROUP BY q),
+co AS (SELECT id, ch, list(list_dot_product(x, c) ORDER BY q) AS c FROM tr, ct GROUP BY id, ch),
+back AS (SELECT j, list(CASE WHEN q = 0 THEN 1.0 WHEN q = n // 2 THEN cos(pi() * q / (2 * n)) * CASE j % 2 WHEN 0 THEN 1 ELSE -1 END ELSE 2 * cos(pi() * q / (2 * n) + 2 * pi() * q * j / n) END / (2 * n) ORDER BY q) AS b
+FROM (SELECT n, j, unnest(range(0, n // 2 + 1)) AS q FROM (SELECT n, unnest(range(0, n // 2)) AS j FROM lim)) GROUP BY j)""" + _STATS.format("SELECT id, ch, j AS k, list_dot_product(c, b) AS x FROM co, back")
+
+
 def _cycles(rows: str, up: bool) -> str:
     """``seg``(id, ch, a, b): stretches from one upward (or downward) zero crossing to the next; ``y``: the samples."""
     cross = "before <= 0 AND x > 0" if up else "before > 0 AND x <= 0"
@@ -186,7 +227,7 @@ def _rounded(name: str, keys: list[str], names: list[str], start: str) -> None:
     ORACLE[name] = f"{ORACLE[name][:at]} SELECT {', '.join(keys)}, {cols} FROM ({ORACLE[name][at:]})"
 
 
-for _name in ("cmd_filter_stats", "cmd_bands_stats", "cmd_hilbert_stats", "cmd_cwt_stats"):
+for _name in ("cmd_filter_stats", "cmd_bands_stats", "cmd_hilbert_stats", "cmd_cwt_stats", "cmd_resample_stats"):
     _rounded(_name, ["id", "ch", "N"], [n for n in re.findall(r'AS "(\w+)"', _STATS) if n != "N"], _STATS[:30])
 _rounded("cmd_ipc", ["id", "ch1", "ch2", "N_TOT"], ["PLV", "WIPC", "PHASE", "IPC"], "SELECT id, ch1")
 ORACLE = {k: _TRACE + v for k, v in ORACLE.items()}

@@ -886,7 +886,36 @@ def _detector(name, schema, f, summary=None):
     return run
 
 
-_detector("SPINDLES", "start double, stop double, dur double, amp double, frq double, peak double, isa double", lambda c, x, sr: [r for fc in _list(c, "fc", "13.5") for r in dsp.spindles(x, sr, fc, c.num("cycles", 7), c.num("th", 4.5), c.num("th2", 2), c.num("min", 0.5), c.num("max", 3), c.num("min0", 0.3), c.num("merge", 0.5))])
+@command("SPINDLES")
+def spindles(s: Session, c: Command) -> Session:
+    """Spindles at each target frequency: every event, and numbers by channel and by channel and frequency.
+
+    th=empirical cuts between modes; local=sec takes means in a window; th-max drops
+    artifacts; collate joins events of one channel that overlap across frequencies.
+    """
+    names = ("dur", "amp", "frq", "peak", "isa", "nosc", "symm", "symm2", "chirp")
+    th = None if c.get("th", "") == "empirical" or c.has("empirical") else c.num("th", 4.5)
+
+    def one(x, sr):
+        return [{"F": fc} | r for fc in _list(c, "fc", "13.5") for r in dsp.spindles(x, sr, fc, c.num("cycles", 7), th, c.num("th2", 2), c.num("min", 0.5), c.num("max", 3), c.num("min0", 0.3), c.num("merge", 0.5), c.num("win", 0.1), c.num("local", 0), c.num("th-max", math.inf))]
+
+    d = s.rows(c, one, "F double, start double, stop double, " + ", ".join(f"{k} double" for k in names))
+    mins = s.channels(c).select("id", "ch", (F.size("v") / F.col("sr") / 60).alias("MINS"))
+    w = Window.partitionBy("id", "ch", "F").orderBy("start")
+    s = s.emit("SPINDLES", d.withColumn("SPINDLE", F.row_number().over(w)), "CH", "F", "SPINDLE")
+    numbers = lambda keys, ns: d.groupBy("id", "ch", *keys).agg(F.count("*").alias("_n"), *(F.avg(k).alias(k.upper()) for k in ns))
+    filled = lambda t, g, keys: t.join(g, ["id", "ch", *keys], "left").withColumn("N", F.coalesce("_n", F.lit(0))).drop("_n").withColumn("DENS", F.col("N") / F.col("MINS"))
+    fcs = F.explode(F.array(*(F.lit(f) for f in _list(c, "fc", "13.5")))).alias("F")
+    s = s.emit("SPINDLES", filled(mins.select("*", fcs), numbers(["F"], names), ["F"]), "CH", "F")
+    s = s.emit("SPINDLES", filled(mins, numbers([], names[:5]), []), "CH")
+    if c.has("collate"):
+        after = F.max("stop").over(Window.partitionBy("id", "ch").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+        g = d.withColumn("_new", F.when(F.col("start") < after, 0).otherwise(1)).withColumn("MSP", F.sum("_new").over(Window.partitionBy("id", "ch").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
+        m = g.groupBy("id", "ch", "MSP").agg(F.min("start").alias("MSP_START"), F.max("stop").alias("MSP_STOP"), F.count("*").alias("MSP_SIZE"), F.avg("F").alias("MSP_F"), F.min("F").alias("MSP_FL"), F.max("F").alias("MSP_FU"))
+        s = s.emit("SPINDLES", m.withColumn("MSP_DUR", F.col("MSP_STOP") - F.col("MSP_START")), "CH", "MSP")
+    return s.events(d, c.get("annot", "SPINDLES")) if c.has("annot") else s
+
+
 _detector("SO", "start double, stop double, neg double, p2p double, neg_at double, pos_at double", lambda c, x, sr: dsp.slow_oscillations(x, sr, c.num("f-lwr", 0.5), c.num("f-upr", 4), c.num("t-lwr", 0.5), c.num("t-upr", 2), c.num("mag", 1.5)))
 _detector("RIPPLES", "start double, stop double", lambda c, x, sr: [{"start": a, "stop": b} for a, b in dsp.ripples(x, sr, c.num("f-lwr", 70), c.num("f-upr", 150), c.num("th", 0.98), c.num("msec", 30))])
 _detector("DESAT", "start double, stop double, nadir double, baseline double, drop double", lambda c, x, sr: dsp.desaturations(x, sr, c.num("drop", 3)))

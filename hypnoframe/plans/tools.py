@@ -27,10 +27,11 @@ def tab_vertical(spark, d):
     return wide.vertical(_read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
 
 
-@_tool("""SELECT l_suppkey, """ + ", ".join(f"max({v}) FILTER (l_returnflag = '{r}' AND l_linestatus = '{s}') AS \"{v}.l_returnflag_{r}.l_linestatus_{s}\"" for v in ("l_quantity", "l_extendedprice") for r in "ANR" for s in "FO") + " FROM lineitem GROUP BY l_suppkey")
+@_tool("""SELECT l_suppkey, """ + ", ".join(f"max({v}) FILTER (l_returnflag = '{r}' AND l_linestatus = '{s}') AS \"{v}_l_returnflag_{r}_l_linestatus_{s}\"" for v in ("l_quantity", "l_extendedprice") for r in "ANR" for s in "FO") + " FROM lineitem GROUP BY l_suppkey")
 def tab_by_columns(spark, d):
     t = _read(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
-    return wide.by_columns(t, ["l_suppkey"], {"l_returnflag": list("ANR"), "l_linestatus": list("FO")})
+    out = wide.by_columns(t, ["l_suppkey"], {"l_returnflag": list("ANR"), "l_linestatus": list("FO")})
+    return out.toDF(*(c.replace(".", "_") for c in out.columns))
 
 
 @_tool("SELECT c_custkey, c_name, c_mktsegment FROM customer")
