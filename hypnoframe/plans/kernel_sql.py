@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hypnoframe.functions.dsp import BANDS
 from hypnoframe.plans import scripted
-from hypnoframe.plans.proven import _STATS
+from hypnoframe.plans.proven import _LAGS, _LISTS, _STATS
 from hypnoframe.plans.scripted import _TRACE, RATE
 
 QUERIES: dict = {}
@@ -106,6 +106,22 @@ g AS (SELECT id, ch1, ch2, count(*) AS n, avg(cos(d)) AS c, avg(sin(d)) AS s, su
 SELECT id, ch1, ch2, sqrt(c * c + s * s) AS "PLV", CASE WHEN w > 0 THEN sqrt(wc * wc + ws * ws) / w ELSE 0.0 END AS "WIPC", atan2(s, c) AS "PHASE", c AS "IPC", n AS "N_TOT" FROM g"""
 )
 
+_locked = ORACLE["cmd_ipc"]
+ORACLE["cmd_tsync"] = (
+    _LISTS
+    + f""", lags AS (SELECT p.id, p.ch AS ch1, q.ch AS ch2, g, {_LAGS} AS r FROM z p JOIN z q ON p.id = q.id AND p.ch < q.ch, (SELECT unnest(range(-24, 25)) AS g)),
+best AS (SELECT id, ch1, ch2, arg_max(g, (round(r, 12), -g)) / 24.0 AS d, arg_max(r, (round(r, 12), -g)) AS r FROM lags GROUP BY id, ch1, ch2)"""
+    + _locked[: _locked.rindex("SELECT id, ch1")].replace("d AS (SELECT a.id", "turned AS (SELECT a.id").replace("FROM d GROUP BY ALL", "FROM turned GROUP BY ALL").replace(", r AS (SELECT id", ", parts AS (SELECT id").replace("FROM r a JOIN r b", "FROM parts a JOIN parts b")
+    + """SELECT id, ch1, ch2, best.d AS "D", r AS "XCORR", sqrt(c * c + s * s) AS "PHL", atan2(s, c) AS "PHASE" FROM best JOIN g USING (id, ch1, ch2)"""
+)
+
+#: window lengths, as many as 20 in geometric steps
+_lengths = sorted({int(4 * (240 / 4) ** (k / 19) + 1e-9) for k in range(20)})
+ORACLE["cmd_dfa"] = f""", y AS (SELECT id, ch, k, sum(x - m) OVER (PARTITION BY id, ch ORDER BY k) AS y FROM (SELECT *, avg(x) OVER (PARTITION BY id, ch) AS m FROM v WHERE ch = 'error')),
+wd AS (SELECT id, ch, s, regr_syy(y, k % s) - CASE WHEN regr_sxx(y, k % s) > 0 THEN pow(regr_sxy(y, k % s), 2) / regr_sxx(y, k % s) ELSE 0 END AS res FROM y, (SELECT unnest({_lengths}) AS s), lim WHERE k < n // s * s GROUP BY id, ch, s, k // s),
+fl AS (SELECT id, ch, s / 24.0 AS w, sqrt(sum(res) / (count(*) * s)) AS f FROM wd GROUP BY id, ch, s)
+SELECT id, ch, CAST(w AS DOUBLE) AS "SEC", f AS "FLUCT", regr_slope(ln(f), ln(w)) OVER (PARTITION BY id, ch) AS "ALPHA" FROM fl"""
+
 ORACLE["cmd_mse"] = """, er AS (SELECT id, ch, k // 360 AS e, k % 360 AS k, x FROM v WHERE ch = 'error' AND k // 360 < (SELECT n // 360 FROM lim)),
 sc AS (SELECT id, ch, e, s, k // s AS k, avg(x) AS x FROM er, (SELECT unnest([1, 2, 3]) AS s) GROUP BY id, ch, e, s, k // s),
 p AS (SELECT id, ch, e, s, k, x AS a, lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, 0.15 * stddev_pop(x) OVER (PARTITION BY id, ch, e, s) AS tol FROM sc WINDOW w AS (PARTITION BY id, ch, e, s ORDER BY k)),
@@ -180,6 +196,22 @@ back AS (SELECT j, list(CASE WHEN q = 0 THEN 1.0 WHEN q = n // 2 THEN cos(pi() *
 FROM (SELECT n, j, unnest(range(0, n // 2 + 1)) AS q FROM (SELECT n, unnest(range(0, n // 2)) AS j FROM lim)) GROUP BY j)""" + _STATS.format("SELECT id, ch, j AS k, list_dot_product(c, b) AS x FROM co, back")
 
 
+ORACLE["cmd_lzw"] = """, ep AS (SELECT id, ch, k // 120 + 1 AS e, count(*) AS n, list(CASE WHEN x > m THEN '1' ELSE '0' END ORDER BY k) AS b FROM (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY id, ch, k // 120) AS m FROM v) GROUP BY ALL),
+fin AS (WITH RECURSIVE r AS (SELECT id, ch, e, 0 AS i, CAST([] AS VARCHAR[]) AS seen, '' AS phrase FROM ep
+UNION ALL SELECT id, ch, e, i, CASE WHEN list_contains(seen, p) THEN seen ELSE list_append(seen, p) END, CASE WHEN list_contains(seen, p) THEN p ELSE '' END FROM
+(SELECT r.id, r.ch, r.e, r.i + 1 AS i, seen, phrase || b[r.i + 1] AS p FROM r JOIN ep ON ep.id = r.id AND ep.ch = r.ch AND ep.e = r.e WHERE r.i < ep.n)) SELECT * FROM r)
+SELECT fin.id, fin.ch, fin.e, (len(seen) + CASE WHEN phrase != '' THEN 1 ELSE 0 END) * log2(n) / n AS "LZW" FROM fin JOIN ep ON ep.id = fin.id AND ep.ch = fin.ch AND ep.e = fin.e AND fin.i = ep.n WHERE n = 120"""
+
+# the spectrum from 3 to 9 Hz; bins within 1 Hz of 6 take the others' mean magnitude
+ORACLE["cmd_line_denoise_stats"] = """, tr AS (SELECT id, ch, list(x ORDER BY k) AS x FROM v GROUP BY ALL),
+fq AS (SELECT q, abs(q * (CAST(1 AS DOUBLE) / (n / CAST(24 AS DOUBLE))) - 6) AS off FROM (SELECT n, unnest(range(1, n // 2)) AS q FROM lim)),
+wave AS (SELECT q, off <= 1 AS inside, list(cos(2 * pi() * q * i / n) ORDER BY i) AS c, list(sin(2 * pi() * q * i / n) ORDER BY i) AS s FROM fq, (SELECT n, unnest(range(0, n)) AS i FROM lim) WHERE off <= 3 GROUP BY ALL),
+sp AS (SELECT id, ch, q, inside, list_dot_product(x, c) AS re, -list_dot_product(x, s) AS im FROM tr, wave),
+ring AS (SELECT id, ch, avg(sqrt(re * re + im * im)) AS m FROM sp WHERE NOT inside GROUP BY ALL),
+dl AS (SELECT sp.id, sp.ch, list(re * g ORDER BY q) AS dr, list(im * g ORDER BY q) AS di FROM (SELECT sp.*, CASE WHEN re = 0 AND im = 0 THEN 0.0 ELSE m / sqrt(re * re + im * im) - 1 END AS g FROM sp JOIN ring ON ring.id = sp.id AND ring.ch = sp.ch WHERE inside) sp GROUP BY ALL),
+col AS (SELECT i, list(cos(2 * pi() * q * i / n) ORDER BY q) AS c, list(sin(2 * pi() * q * i / n) ORDER BY q) AS s FROM fq, (SELECT n, unnest(range(0, n)) AS i FROM lim) WHERE off <= 1 GROUP BY i)""" + _STATS.format("SELECT tr.id, tr.ch, i AS k, x[i + 1] + 2.0 / len(x) * (list_dot_product(dr, c) - list_dot_product(di, s)) AS x FROM tr JOIN dl ON dl.id = tr.id AND dl.ch = tr.ch, col")
+
+
 def _cycles(rows: str, up: bool) -> str:
     """``seg``(id, ch, a, b): stretches from one upward (or downward) zero crossing to the next; ``y``: the samples."""
     cross = "before <= 0 AND x > 0" if up else "before > 0 AND x <= 0"
@@ -227,7 +259,8 @@ def _rounded(name: str, keys: list[str], names: list[str], start: str) -> None:
     ORACLE[name] = f"{ORACLE[name][:at]} SELECT {', '.join(keys)}, {cols} FROM ({ORACLE[name][at:]})"
 
 
-for _name in ("cmd_filter_stats", "cmd_bands_stats", "cmd_hilbert_stats", "cmd_cwt_stats", "cmd_resample_stats"):
+for _name in ("cmd_filter_stats", "cmd_bands_stats", "cmd_hilbert_stats", "cmd_cwt_stats", "cmd_resample_stats", "cmd_line_denoise_stats"):
     _rounded(_name, ["id", "ch", "N"], [n for n in re.findall(r'AS "(\w+)"', _STATS) if n != "N"], _STATS[:30])
 _rounded("cmd_ipc", ["id", "ch1", "ch2", "N_TOT"], ["PLV", "WIPC", "PHASE", "IPC"], "SELECT id, ch1")
+_rounded("cmd_tsync", ["id", "ch1", "ch2"], ["D", "XCORR", "PHL", "PHASE"], "SELECT id, ch1, ch2, best.d")
 ORACLE = {k: _TRACE + v for k, v in ORACLE.items()}

@@ -507,7 +507,7 @@ def _xcorr(c, x, y, sr):
 def _tsync(c, x, y, sr):
     w = c.num("w", 0.25)
     t, r = dsp.xcorr(x, y, sr, w)
-    k = int(np.argmax(r))
+    k = int(np.argmax(np.round(r, 12)))  # of lags that differ by rounding alone the first
     plv, _, ph = dsp.phase_locking(x, y)
     return [{"D": float(t[k]), "XCORR": float(r[k]), "PHL": plv, "PHASE": ph}]
 
