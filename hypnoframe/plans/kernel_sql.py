@@ -12,7 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from hypnoframe.functions.dsp import BANDS
-from hypnoframe.plans import scripted
+from hypnoframe.plans import proven, scripted
 from hypnoframe.plans.proven import _LAGS, _LISTS, _STATS
 from hypnoframe.plans.scripted import _TRACE, RATE
 
@@ -264,3 +264,20 @@ for _name in ("cmd_filter_stats", "cmd_bands_stats", "cmd_hilbert_stats", "cmd_c
 _rounded("cmd_ipc", ["id", "ch1", "ch2", "N_TOT"], ["PLV", "WIPC", "PHASE", "IPC"], "SELECT id, ch1")
 _rounded("cmd_tsync", ["id", "ch1", "ch2"], ["D", "XCORR", "PHL", "PHASE"], "SELECT id, ch1, ch2, best.d")
 ORACLE = {k: _TRACE + v for k, v in ORACLE.items()}
+
+
+def _wrapped(name: str, keys: list[str], names: list[str]) -> None:
+    """As ``_rounded``, for a query of ``proven``."""
+    base = proven.QUERIES.get(name) or scripted.QUERIES[name]
+
+    def run(spark, d: str):
+        return base(spark, d).select(*keys, *((F.round(n, 9) + F.lit(0.0)).alias(n) for n in names))
+
+    run.__name__, run.__doc__ = name, f"{base.__doc__}, to nine places"
+    QUERIES[name] = run
+    cols = ", ".join(f'round("{n}", 9) + 0.0 AS "{n}"' for n in names)
+    ORACLE[name] = f"SELECT {', '.join(keys)}, {cols} FROM ({proven.ORACLE[name]})"
+
+
+_wrapped("cmd_coh", ["id", "ch1", "ch2", "B"], ["COH", "ICOH", "LCOH"])
+_wrapped("cmd_rolling_norm_stats", ["id", "ch", "N"], [n for n in re.findall(r'AS "(\w+)"', _STATS) if n != "N"])
