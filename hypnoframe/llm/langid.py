@@ -208,30 +208,6 @@ def sample(docs: DataFrame, per_language: int = 250, most_chars: int = 20_000, i
     return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["l"], r["r"]))]
 
 
-def sample(docs: DataFrame, per_language: int = 250, most_languages: int = 64, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """Whole labelled texts to learn from, chosen by a hash of their id.
-
-    Bounds, all parameters: texts a language, languages (the most frequent), and
-    the length of a text that may be chosen.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and length(t) between 1 and %d" % most_chars)
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
-    if not sizes:
-        return []
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("l") == r["l"], min(1.0, per_language / r["count"])).otherwise(share)
-    order = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 20))
-    got = rows.where(order < share * (1 << 20)).select("t", "l", F.xxhash64(F.lit("order"), "id").alias("o")).collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(got, key=lambda r: (r["o"], r["t"])):
-        taken[r["l"]] = taken.get(r["l"], 0) + 1
-        if taken[r["l"]] <= per_language:
-            out.append((r["t"], r["l"]))
-    return out
-
-
 def predictions(auto: Scorer, col: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and posterior of each text."""
     if not auto.languages or not len(col):
@@ -270,21 +246,25 @@ def identify(docs: DataFrame, model: PPMModel, id_cols: list[str] = ("doc_id",),
     return out.withColumnsRenamed(dict(zip(names, id_cols, strict=True)))
 
 
-def accepted(docs: DataFrame, model: PPMModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: PPMModel, least: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is determined with a posterior of at least ``least``.
 
     Null texts and texts without a letter go; each of the other rows is judged by
-    its own text, whatever its id.
+    its own text, whatever its id.  ``lang_col``: a string column whose nulls become
+    the language predicted; a language that is there stays.
     """
     narrow_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     place = docs.columns.index(text_col)
+    label = docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = None
         for b in batches:
             auto = auto or compiled(pickle.loads(blob.value))
             lang, score = predictions(auto, b.column(place))
+            if label is not None:
+                b = b.set_column(label, b.schema.field(label), pc.coalesce(b.column(label), pa.array(lang, b.column(label).type)))
             yield b.filter(pa.array(np.array([x != UNDETERMINED for x in lang], bool) & (score >= least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -556,6 +556,22 @@ def test_pipeline_drops_only_undetermined_texts(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, SMALL).collect()) == [0, 1]
 
 
+def test_pipeline_learns_and_names_every_language(spark):
+    """Seventy languages, each of its own syllables: all are learned, and documents without a language get theirs."""
+    import corpus_pipeline
+
+    def text(k, n):
+        r = random.Random(100 * k + n)
+        parts = [random.Random(1000 * k + i).choice("bcdfghjklmnpqrstvwxz") + random.Random(2000 * k + i).choice("aeiouy") for i in range(8)]
+        return " ".join("".join(r.choice(parts) for _ in range(r.randint(2, 4))) for _ in range(40))
+
+    rows = [(k * 20 + n, text(k, n), f"l{k:02}" if n else None) for k in range(70) for n in range(20 - k // 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for _, lang in langid.sample(docs)} == {f"l{k:02}" for k in range(70)}
+    got = corpus_pipeline.language_id(spark, docs, SMALL).collect()
+    assert sorted(tuple(x) for x in got) == [(i, t, f"l{i // 20:02}") for i, t, _ in rows]
+
+
 def test_every_query_takes_empty_tables_and_extra_columns(spark, tmp_path):
     """Tables without rows, with columns whose names clash with those the operators make."""
     extra = {c: F.lit("clash") for c in ("id", "t", "row", "token", "host", "path", "good", "class_id", "score", "piece", "n", "start", "rep")}
