@@ -21,7 +21,7 @@ is at least the threshold.  Classes are the connected components of that relatio
    only pairs whose estimate comes near the threshold leave it: first the best of
    each text, and once those have joined classes, all the rest.  1 - J is a metric,
    so what the leader has measured rules further pairs out.
-5. Pairs are verified exactly; linked texts are joined by label propagation.
+5. Pairs are verified exactly; linked texts are joined by contracting the links.
 """
 
 from __future__ import annotations
@@ -190,23 +190,58 @@ def _verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """v, label: the smallest id of each connected component, for the ids that have an edge.
 
-    Labels travel along the edges and are then shortened by pointer jumping, so a
-    chain of n links needs about log n rounds.  Only counts reach the driver.
+    A round hooks every id to its smallest neighbour if that is smaller, shortens the
+    chains of hooks by pointer jumping, and moves the edges to the ids they end at.
+    Edges within one id go and equal ones become one, so that a further round has only
+    the edges between what is still apart: at most half of the ids are left each time.
+    Only counts reach the driver.
     """
-    both = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))), "edges")
-    labels = settled(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("v").alias("u"), "label"), "u").select("v", "label")
-        lower = settled(heard.unionByName(labels).groupBy("v").agg(F.min("label").alias("label")), "heard")
-        to = lower.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        jumped = settled(lower.join(to, "label", "left").select("v", F.coalesce("further", "label").alias("label")), "labels")
-        moved = jumped.join(labels.withColumnRenamed("label", "before"), "v").where("label != before").limit(1).count()
-        discard(labels)
-        discard(lower)
-        labels = jumped
-        if not moved:
-            discard(both)
-            return labels
+    ids = edges.select(F.col(a).alias("v")).unionByName(edges.select(F.col(b).alias("v"))).distinct()
+    left = settled(_apart(edges, F.col(a), F.col(b)), "edges")
+    rounds = []
+    while _some(left):
+        up = settled(left.groupBy("v").agg(F.min("u").alias("label")), "hooks")
+        while True:
+            to = up.select(F.col("v").alias("label"), F.col("label").alias("further"))
+            jumped = settled(up.join(to, "label", "left").select("v", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "hooks")
+            discard(up)
+            up = jumped
+            if not _some(up.where("moved")):
+                break
+        rounds.append(up)
+        ends = left.join(up.select("v", F.col("label").alias("lv")), "v").join(up.select(F.col("v").alias("u"), F.col("label").alias("lu")), "u", "left")
+        moved = settled(_apart(ends, F.coalesce("lu", "u"), F.col("lv")), "edges")
+        discard(left)
+        left = moved
+    discard(left)
+    whole = edges.sparkSession.createDataFrame([], "v long, label long")
+    for up in reversed(rounds):
+        whole = whole.unionByName(_followed(up, whole))
+    labels = settled(ids.join(whole, "v", "left").select("v", F.coalesce("label", "v").alias("label")), "labels")
+    for up in rounds:
+        discard(up)
+    return labels
+
+
+def _apart(edges: DataFrame, a, b) -> DataFrame:
+    """u < v: the different pairs of unlike ends."""
+    return edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
+
+
+def _followed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """v, label of ``labels``, where a label that ``further`` has a label of is replaced by that."""
+    to = further.select(F.col("v").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """v, label once the links (a, b) are added to the classes: components of the classes, not of all links anew."""
+    of_a, of_b = (labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    between = links.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    between = settled(between.where("a != b").distinct(), "between")
+    further = components(between)
+    discard(between)
+    return settled(_followed(labels, further).unionByName(further.join(labels.select("v"), "v", "left_anti")), "labels")
 
 
 def _some(df: DataFrame) -> bool:
@@ -313,8 +348,9 @@ def linked(buckets: DataFrame, groups: DataFrame, texts: DataFrame, threshold: f
         got = settled(_verified(pairs, content), "measured")
         discard(pairs)
         measured = settled(measured.unionByName(got), "measured")
-        if _some(got.where(F.col("sim") >= threshold)):
-            labels = _labelled(measured.where(F.col("sim") >= threshold), spark)
+        found = got.where(F.col("sim") >= threshold)
+        if _some(found):
+            labels = joined(labels, found)
         state = now.select("bucket", "rep", "leader", "sim")
     discard(content)
     return measured.where(F.col("sim") >= threshold), labels

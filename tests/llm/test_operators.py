@@ -133,6 +133,46 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 120)}}
 
 
+def joined_rows(spark, run):
+    """What run() returns, and the rows that all joins of its queries made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, made = store.executionsList().size(), 0
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in range(before, store.executionsList().size()):
+        at = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                rows = [m for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in rows if values.contains(m.accumulatorId()))
+    return out, made
+
+
+def test_links_are_joined_once(spark):
+    """Crowded classes in a chain: joins make rows in proportion to the links, whatever the rounds."""
+    links = [(1000 * k + i, 1000 * k + j) for k in range(8) for i in range(20, 70) for j in range(20)] + [(1000 * k + 20, 1000 * k + 1019) for k in range(7)]
+    random.Random(2).shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    got, made = joined_rows(spark, lambda: neardup.components(df).collect())
+    assert {x["v"]: x["label"] for x in got} == {x: 0 for e in links for x in e}
+    assert len(links) < made < 3 * len(links)
+
+
+def test_components_of_random_graphs(spark):
+    """Links in two lots: the second joins the classes of the first."""
+    r = random.Random(5)
+    for n, m in [(40, 25), (300, 280), (60, 400)]:
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        of = {x: x for e in links for x in e}
+        for _ in range(n):
+            for x, y in links:
+                of[x] = of[y] = min(of[x], of[y])
+        first, second = (spark.createDataFrame(x, "a long, b long") for x in (links[: m // 2], links[m // 2 :]))
+        got = {x["v"]: x["label"] for x in neardup.joined(neardup.components(first), second).collect()}
+        assert got == {x: y for x, y in of.items() if x in got} and all(x in got for e in links for x in e if e[0] != e[1])
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_token_counts_match_library(spark, prose, name):
     """With every pre-token joined through the shuffle, with some in the head, with all of them there."""
