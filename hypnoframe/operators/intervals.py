@@ -30,6 +30,11 @@ def spanned(start: Column, stop: Column, q_start: Column, q_stop: Column) -> Col
     return (start <= q_start) & (stop >= q_stop)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side that is never broadcast: Spark takes rows exploded from few (epochs, bins) for few."""
+    return df.hint("merge")
+
+
 def _binned(df: DataFrame, start: str, stop: str, width: int) -> DataFrame:
     first = F.floor(F.col(start) / width).cast("long")
     last = F.floor((F.greatest(F.col(stop), F.col(start) + 1) - 1) / width).cast("long")
@@ -45,8 +50,9 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width_ns: int
     gets the right side's interval as the indexed one and the left as the window.
     ``how`` is inner, left_semi or left_anti.
     """
-    a, b = _binned(left, *left_cols, width_ns), _binned(right, *right_cols, width_ns)
+    a, b = shuffled(_binned(left, *left_cols, width_ns)), _binned(right, *right_cols, width_ns)
     b = b.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys), F.col("_first").alias("_rfirst"), F.col("_bin").alias("_rbin"))
+    b = shuffled(b)
     same = F.col("_bin") == F.col("_rbin")
     for k in keys:
         same = same & (F.col(k) == F.col(f"_k_{k}"))
@@ -63,7 +69,7 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width_ns: int
     cond = on[0]
     for x in on[1:]:
         cond = cond & x
-    return left.join(touched, cond, "left_anti")
+    return left.join(shuffled(touched), cond, "left_anti")
 
 
 def islands(df: DataFrame, keys: list[str], join_neighbours: bool = True, gap_ns: int = 0) -> DataFrame:
@@ -148,7 +154,9 @@ def nearest(seeds: DataFrame, others: DataFrame, keys: list[str], at: str = "t_n
     w = Window.partitionBy(*keys).orderBy(at, "_k")
     u = s.unionByName(o)
     u = u.withColumn("prev_t", F.last("_o", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("next_t", F.first("_o", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_k = 1")
+    # what follows is what came before in the reverse order: a frame that runs to the end is read anew for each row
+    back = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_k"))
+    u = u.withColumn("next_t", F.last("_o", True).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("_k = 1")
     back, ahead = F.col(at) - F.col("prev_t"), F.col("next_t") - F.col(at)
     near = F.when(ahead.isNull() | (back <= ahead), -back / SECOND).otherwise(ahead / SECOND)
     return u.select(*cols, "prev_t", "next_t", near.alias("nearest_s"))
@@ -165,7 +173,7 @@ def coverage(windows: DataFrame, annots: DataFrame, keys: list[str], width_ns: i
     hits = range_join(windows, other, keys, width_ns)
     part = (F.least("stop_ns", "r_stop") - F.greatest("start_ns", "r_start")) / SECOND
     agg = hits.groupBy(*cols).agg(F.sum(part).alias("sec"), F.count("*").alias("cnt"))
-    out = windows.join(agg, cols, "left")
+    out = windows.join(shuffled(agg), cols, "left")
     dur = (F.col("stop_ns") - F.col("start_ns")) / SECOND
     return out.select(*cols, F.coalesce("sec", F.lit(0.0)).alias("sec"), F.coalesce(F.col("sec") / dur * 100, F.lit(0.0)).alias("pct"), F.coalesce("cnt", F.lit(0)).alias("cnt"), F.when(F.col("cnt") > 0, 1).otherwise(0).alias("has"))
 
