@@ -20,7 +20,8 @@ def epochs(recordings: DataFrame, len_s: float = 30.0, inc_s: float | None = Non
         raise ValueError("epoch length is under its increment")
     count = F.greatest(F.lit(0), F.floor((F.col("dur_ns") - o - n) / i) + 1)
     starts = F.when(count > 0, F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
-    e = recordings.select("id", F.explode(starts).alias("k"))
+    # dealt by number: recordings are few rows that become many, so they mustn't be coalesced by size into one task
+    e = recordings.select("id", "dur_ns").repartition(int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").select("id", F.explode(starts).alias("k"))
     return e.select("id", (F.col("k") + 1).alias("e"), (F.col("k") * i + o).alias("start_ns"), (F.col("k") * i + o + n).alias("stop_ns"), F.lit(False).alias("masked"))
 
 
@@ -79,7 +80,7 @@ def annotated(eps: DataFrame, annots: DataFrame, classes: list[str], every: bool
     if full:
         hits = hits.where(~F.col("_c").isin(list(full)) | iv.spanned(F.col("r_start"), F.col("r_stop"), F.col("start_ns"), F.col("stop_ns")))
     seen = hits.groupBy("id", "e").agg(F.countDistinct("_c").alias("_n"))
-    return eps.join(seen, ["id", "e"], "left").withColumn("m", F.coalesce(F.col("_n") >= (len(set(names)) if every else 1), F.lit(False))).drop("_n")
+    return eps.join(iv.shuffled(seen), ["id", "e"], "left").withColumn("m", F.coalesce(F.col("_n") >= (len(set(names)) if every else 1), F.lit(False))).drop("_n")
 
 
 def mask_annots(eps: DataFrame, annots: DataFrame, classes: list[str], mode: int = FORCE, negate: bool = False, every: bool = False) -> DataFrame:
@@ -189,9 +190,9 @@ def restructure(eps: DataFrame) -> DataFrame:
 
 
 def retained(points: DataFrame, eps: DataFrame, width_ns: int = iv.HOUR, at: str = "t_ns") -> DataFrame:
-    """Samples or records (id, t) that an unmasked epoch contains: a left semi range join."""
+    """Samples or records (id, t) that an unmasked epoch contains: a left semi range join.  An epoch without length contains none."""
     p = points.withColumns({"start_ns": F.col(at), "stop_ns": F.col(at) + 1})
-    keep = eps.where("not masked").select("id", F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
+    keep = eps.where("not masked and start_ns < stop_ns").select("id", F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
     return iv.range_join(p, keep, ["id"], width_ns, "left_semi").drop("start_ns", "stop_ns")
 
 
