@@ -16,7 +16,7 @@ def staged(eps: DataFrame, annots: DataFrame, stages: list[str] = STAGES) -> Dat
     """Stage of each epoch from annotations: `?` if none, or if several differ (conflict = 1)."""
     a = annots.where(F.col("class").isin(stages)).select("id", F.col("class").alias("s"), F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
     hit = iv.range_join(eps.select("id", "e", "start_ns", "stop_ns"), a, ["id"]).groupBy("id", "e").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    j = eps.join(hit, ["id", "e"], "left")
+    j = eps.join(iv.shuffled(hit), ["id", "e"], "left")
     return j.select(*eps.columns, F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("?").alias("stage"), F.coalesce((F.col("lo") != F.col("hi")).cast("int"), F.lit(0)).alias("conflict"))
 
 
@@ -108,7 +108,8 @@ def n2_direction(h: DataFrame, th: float = 0.25) -> DataFrame:
     w = Window.partitionBy("id").orderBy("e")
     other = F.when(F.col("stage") != "N2", F.col("stage"))
     left = F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(other, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # what follows is what came before in the reverse order: a frame that runs to the end is read anew for each row
+    right = F.last(other, True).over(Window.partitionBy("id").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
     up = lambda s, sign: F.when(s == "N3", float(sign)).when(s.isin("N1", "W", "R"), float(-sign))
     a, b = up(left, 1), up(right, -1)
     score = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))) / F.greatest(F.lit(1), a.isNotNull().cast("int") + b.isNotNull().cast("int"))
