@@ -63,7 +63,7 @@ def flagship_epoch_mask_stats(spark, d):
     eps = ep.restructure(ep.mask_annots(hourly(spark, d), of(spark, d, "error"), ["error"], ep.FORCE, negate=True))
     s = tables.samples(spark, d).withColumn("_h", F.floor((F.col("t_ns") - T0) / HOUR) + 1 - tables.hours(spark, d, T0)[0])
     # the grid is regular, so samples meet epochs by an equi-join on the epoch's number
-    j = s.join(eps.select("id", F.col("e_orig").alias("_h"), "e"), ["id", "_h"])
+    j = s.join(iv.shuffled(eps.select("id", F.col("e_orig").alias("_h"), "e")), ["id", "_h"])
     x = F.col("x")
     return j.groupBy("id", "ch", "e", F.col("_h").alias("e_orig")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), stats.rms(x).alias("rms"))
 
@@ -211,7 +211,7 @@ le AS (SELECT e.id, e.e, coalesce(lab.label, '?') AS label FROM e LEFT JOIN lab
 def labelled(spark, d):
     """Hourly epochs labelled with the first event type in them, `?` without one."""
     s = tables.samples(spark, d).groupBy("id", (F.floor((F.col("t_ns") - T0) / HOUR) + 1).alias("e")).agg(F.min("ch").alias("label"))
-    return hourly(spark, d).join(s, ["id", "e"], "left").withColumn("label", F.coalesce("label", F.lit("?")))
+    return hourly(spark, d).join(iv.shuffled(s), ["id", "e"], "left").withColumn("label", F.coalesce("label", F.lit("?")))
 
 
 @query(_LABELLED + " SELECT id, e, coalesce(sum(CAST(label = '?' AS INT)) OVER (PARTITION BY id ORDER BY e ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) < 5 AS masked FROM le")
