@@ -480,16 +480,16 @@ def suppress_ecg(s: Session, c: Command) -> Session:
 # ---- pairs ---------------------------------------------------------------
 
 
-def _pair(name, schema, f, *factors):
+def _pair(name, schema, f, *factors, once=None):
     @command(name)
     def run(s: Session, c: Command) -> Session:
-        return s.emit(name, s.pairs(c, lambda x, y, sr: f(c, x, y, sr), schema), "CH1", "CH2", *factors)
+        return s.emit(name, s.pairs(c, lambda x, y, sr: f(c, x, y, sr), schema, once and (lambda x, sr: once(c, x, sr))), "CH1", "CH2", *factors)
 
     return run
 
 
 def _coh(c, x, y, sr):
-    f, m, im, lag = dsp.coherence(x, y, sr, seg=c.num("segment-sec", 5), inc=c.num("segment-inc", 2.5))
+    f, m, im, lag = dsp.coherences(x[0], *dsp.crossed(x[1], y[1]))
     out = []
     for b, (lo, hi) in dsp.BANDS.items():
         k = (f >= lo) & (f < hi)
@@ -522,7 +522,8 @@ def _mi(c, x, y, sr):
 
 
 def _psi(c, x, y, sr):
-    return [{"F": b, "PSI": dsp.phase_slope(x, y, sr, lo, hi)} for b, (lo, hi) in dsp.BANDS.items() if hi <= sr / 2]
+    bands = {b: span for b, span in dsp.BANDS.items() if span[1] <= sr / 2}
+    return [{"F": b, "PSI": v} for b, v in zip(bands, dsp.phase_slopes(x[0], *dsp.crossed(x[1], y[1]), list(bands.values())), strict=True)]
 
 
 def _cc(c, x, y, sr):
@@ -533,17 +534,17 @@ def _cc(c, x, y, sr):
 
 
 def _ipc(c, x, y, sr):
-    plv, w, ph = dsp.phase_locking(x, y)
+    plv, w, ph = dsp.locked(x, y)
     return [{"PLV": plv, "WIPC": w, "PHASE": ph, "IPC": math.cos(ph) * plv, "N_TOT": len(x)}]
 
 
-_pair("COH", "B string, COH double, ICOH double, LCOH double", _coh, "B")
+_pair("COH", "B string, COH double, ICOH double, LCOH double", _coh, "B", once=lambda c, x, sr: dsp.segment_spectra(x, sr, c.num("segment-sec", 5), c.num("segment-inc", 2.5)))
 _pair("XCORR", "D double, XCORR double, S int", _xcorr)
 _pair("TSYNC", "D double, XCORR double, PHL double, PHASE double", _tsync)
 _pair("MI", "MI double, JINF double, INFA double, INFB double, NBINS int", _mi)
-_pair("PSI", "F string, PSI double", _psi, "F")
+_pair("PSI", "F string, PSI double", _psi, "F", once=lambda c, x, sr: dsp.segment_spectra(x, sr))
 _pair("CC", "WPLI double, DPAC_Z double, DPAC_P double", _cc)
-_pair("IPC", "PLV double, WIPC double, PHASE double, IPC double, N_TOT long", _ipc)
+_pair("IPC", "PLV double, WIPC double, PHASE double, IPC double, N_TOT long", _ipc, once=lambda c, x, sr: dsp.settled(dsp.analytic(x)))
 _pair("CORREL", "R double", lambda c, x, y, sr: [{"R": float(np.corrcoef(x, y)[0, 1])}])
 _pair("COVAR", "COV double", lambda c, x, y, sr: [{"COV": float(np.cov(x, y)[0, 1])}])
 _pair("ED", "ED double", lambda c, x, y, sr: [{"ED": float(np.var(x - y))}])
