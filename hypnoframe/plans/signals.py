@@ -10,6 +10,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -1096,7 +1097,7 @@ def hypnodensity(s: Session, c: Command) -> Session:
         srt = np.sort(p, 0)[::-1]
         tv = np.concatenate([[0.0], 0.5 * np.abs(np.diff(p, axis=1)).sum(0)])
         h = -(p * np.log2(np.maximum(p, 1e-12))).sum(0)
-        return [{"E": i + 1, "H": float(h[i]), "C": float(srt[0, i]), "MG": float(srt[0, i] - srt[1, i]), "TV": float(tv[i]), "ARGMAX": keys[int(p[:, i].argmax())]} for i in range(p.shape[1])]
+        return pd.DataFrame({"E": np.arange(1, p.shape[1] + 1), "H": h, "C": srt[0], "MG": srt[0] - srt[1], "TV": tv, "ARGMAX": np.array(keys, object)[p.argmax(0)]})
 
     return s.emit("HDSTATS", s.grouped(Command(c.name, {"sig": ",".join(names)}), one, "E long, H double, C double, MG double, TV double, ARGMAX string"), "E")
 
