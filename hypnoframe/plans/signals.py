@@ -515,7 +515,7 @@ def _tsync(c, x, y, sr):
 
 def _mi(c, x, y, sr):
     n = int(c.num("nbins", max(2, math.ceil(len(x) ** (1 / 3)))))
-    h, _, _ = np.histogram2d(x, y, n)
+    h = np.bincount(dsp.bins(x, n) * n + dsp.bins(y, n), minlength=n * n).reshape(n, n)
     p = h / h.sum()
     px, py = p.sum(1), p.sum(0)
     ent = lambda q: float(-(q[q > 0] * np.log2(q[q > 0])).sum())
@@ -773,11 +773,13 @@ def rai(s: Session, c: Command) -> Session:
 @command("OTSU")
 def otsu(s: Session, c: Command) -> Session:
     def one(x, sr):
-        h, e = np.histogram(x, int(c.num("k", 100)))
+        k, lo, hi = int(c.num("k", 100)), x.min(), x.max()
+        h = np.bincount(dsp.bins(x, k), minlength=k)
         p, m = np.cumsum(h) / h.sum(), np.cumsum(h * np.arange(len(h))) / h.sum()
         with np.errstate(all="ignore"):
             v = np.nan_to_num((m[-1] * p - m) ** 2 / (p * (1 - p)))
-        return [{"TH": float(e[int(v.argmax()) + 1]), "SIGMA_B": float(v.max())}]
+        at = (int(v.argmax()) + 1) / k
+        return [{"TH": float(lo + at * (hi - lo) if hi > lo else lo - 0.5 + at), "SIGMA_B": float(v.max())}]
 
     return s.emit("OTSU", s.rows(c, one, "TH double, SIGMA_B double"), "CH")
 
