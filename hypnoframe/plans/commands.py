@@ -164,12 +164,21 @@ def requires(s: Session, c: Command) -> Session:
 @command("DUMP", "MATRIX", "HEAD", "DUMP-RECORDS")
 def dump(s: Session, c: Command) -> Session:
     """Samples as rows (id, ch, t, x); MATRIX and HEAD pivot channels of one rate into columns."""
-    d = s.channels(c).select("id", "ch", "sr", F.posexplode("v").alias("k", "x")).select("id", "ch", (F.col("k") / F.col("sr")).alias("t"), "x")
+    d = s.channels(c)
+    kinds = d.select("ch", "sr").distinct().collect() if c.name in ("MATRIX", "HEAD") else []
+    names, whole = sorted({r["ch"] for r in kinds}), kinds and len({r["sr"] for r in kinds}) == 1
+    if whole:
+        # of one rate: the traces of a recording meet before they become rows
+        d = s.dealt(d).groupBy("id", "sr").pivot("ch", names).agg(F.first("v"))
+        d = d.select("id", "sr", F.posexplode(F.arrays_zip(*(F.coalesce(F.col(f"`{n}`"), F.array().cast("array<double>")).alias(f"c{i}") for i, n in enumerate(names)))).alias("k", "r"))
+        d = d.select("id", (F.col("k") / F.col("sr")).alias("t"), *(F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)))
+    else:
+        d = d.select("id", "ch", "sr", F.posexplode("v").alias("k", "x")).select("id", "ch", (F.col("k") / F.col("sr")).alias("t"), "x")
     if c.name == "HEAD" or c.has("epoch") and s.epochs is not None:
         e = s.epochs.where(F.col("e") == int(c.num("epoch", 1))).select("id", "start_ns", "stop_ns")
         d = d.join(e, "id").where("t * 1e9 >= start_ns and t * 1e9 < stop_ns").drop("start_ns", "stop_ns")
-    if c.name in ("MATRIX", "HEAD"):
-        d = d.groupBy("id", "t").pivot("ch").agg(F.first("x"))
+    if kinds and not whole:
+        d = d.groupBy("id", "t").pivot("ch", names).agg(F.first("x"))
     return s.emit(c.name, d)
 
 
@@ -332,17 +341,25 @@ def summary_channels(s: Session, c: Command) -> Session:
     Result SEDF by channel; with ``sedf-dir`` also written there as Parquet by recording.
     """
 
-    def one(x, sr):
-        return [dict(zip(("H1", "H2", "H3"), dsp.hjorth(x), strict=True)) | {"M": float(x.mean()), "L": float(x.min()), "U": float(x.max())}]
-
     s = _ensured(s)
-    e = s.epoch_rows(c, one, ", ".join(f"{k} double" for k in ("H1", "H2", "H3", "M", "L", "U")))
-    electric = channel_type(F.col("ch")).isin("EEG", "EOG", "EMG", "ECG")
-    stats = [F.struct(F.concat(F.when(electric, F.lit(a)).otherwise(F.lit(b)), F.lit("_"), F.col("ch")).alias("ch"), F.when(electric, F.col(a)).otherwise(F.col(b)).alias("x")) for a, b in (("H1", "M"), ("H2", "L"), ("H3", "U"))]
-    long = e.select("id", "e", F.explode(F.array(*stats)).alias("r")).select("id", "e", "r.ch", "r.x")
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for i, ch, sr, v, g, hj in p[["id", "ch", "sr", "v", "grid", "hj"]].itertuples(index=False):
+                x = np.asarray(v, float)
+                cuts = [q for q in (x[round(q["start_ns"] * sr / NS) : round(q["stop_ns"] * sr / NS)] for q in g) if len(q)]
+                # epochs of one length side by side
+                m = [np.array(cuts)] if len({len(q) for q in cuts}) == 1 else [q[None] for q in cuts]
+                if cuts:
+                    got = [dsp.hjorths(q) if hj else (q.mean(1), q.min(1), q.max(1)) for q in m]
+                    rows += [(i, f"{k}_{ch}", np.concatenate(z)) for k, z in zip(("H1", "H2", "H3") if hj else "MLU", zip(*got, strict=True), strict=True)]
+            yield pd.DataFrame(rows, columns=["id", "ch", "v"])
+
+    d = s.gridded(s.channels(c)).withColumn("hj", channel_type(F.col("ch")).isin("EEG", "EOG", "EMG", "ECG"))
     step = s.epochs.groupBy("id").agg(F.min(F.col("stop_ns") - F.col("start_ns")).alias("step"))
-    traces = long.groupBy("id", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", "x"))), lambda r: r["x"]).alias("v"))
-    traces = traces.join(step, "id").select("id", "ch", (F.lit(float(NS)) / F.col("step")).alias("sr"), F.lit("").alias("unit"), "v")
+    traces = s.dealt(d.mapInPandas(run, "id string, ch string, v array<double>")).join(step.hint("shuffle_hash"), "id")
+    traces = traces.select("id", "ch", (F.lit(float(NS)) / F.col("step")).alias("sr"), F.lit("").alias("unit"), "v")
     if c.has("sedf-dir"):
         traces.write.mode("overwrite").partitionBy("id").parquet(c.get("sedf-dir"))
     return s.emit("SEDF", traces, "CH")
@@ -518,12 +535,10 @@ def file_mask(s: Session, c: Command) -> Session:
 @command("CHEP-MASK")
 def chep_mask(s: Session, c: Command) -> Session:
     """Channel x epoch outliers of RMS and Hjorth numbers, iterated over thresholds."""
-    e = _ensured(s).epoch_rows(c, lambda x, sr: [dict(zip(("H1", "H2", "H3"), dsp.hjorth(x), strict=True))], "H1 double, H2 double, H3 double")
-    got = None
+    e = s.dealt(_ensured(s).epoch_rows(c, lambda x, sr: [dict(zip(("H1", "H2", "H3"), dsp.hjorth(x), strict=True))], "H1 double, H2 double, H3 double"))
     for v in ("H1", "H2", "H3"):
-        m = ep.chep_outliers(e, v, [float(x) for x in c.list("ep-th", "3")], [float(x) for x in c.list("ch-th")]).where("masked").select("id", "e", "ch")
-        got = m if got is None else got.unionByName(m)
-    got = got.distinct()
+        e = ep.chep_outliers(e, v, [float(x) for x in c.list("ep-th", "3")], [float(x) for x in c.list("ch-th")]).withColumnRenamed("masked", f"_{v}")
+    got = e.where("_H1 or _H2 or _H3").select("id", "e", "ch").distinct()
     return replace(s, chep=got if s.chep is None else s.chep.unionByName(got).distinct()).emit("CHEP-MASK", got.groupBy("id", "ch").agg(F.count("*").alias("ANY")), "CH")
 
 
@@ -663,7 +678,8 @@ def overlap(s: Session, c: Command) -> Session:
 
     A recording's seeds and its merged others meet in one row; each replicate moves
     all seeds by one offset around the recording, and a seed that crosses its end
-    goes on at its start.  Counts by recording and replicate are added up by Spark.
+    goes on at its start.  A task adds up its recordings' counts by replicate, and
+    Spark those of the tasks.
     """
     reps, seed = int(c.num("nreps", 1000)), int(s.variables.get("srand", "1"))
     pack = lambda: F.collect_list(F.struct("start_ns", "stop_ns"))
@@ -672,20 +688,22 @@ def overlap(s: Session, c: Command) -> Session:
     j = seeds.join(s.recordings.select("id", "dur_ns"), "id").join(other, "id", "left").select("id", "seed", "dur_ns", "a", "b")
 
     def run(parts):
+        sums: dict[str, np.ndarray] = {}
         for p in parts:
-            rows = []
             for i, name, dur, a, b in p.itertuples(index=False):
                 x = np.array([(r["start_ns"], r["stop_ns"]) for r in a], np.int64)
                 y = np.array(sorted((r["start_ns"], r["stop_ns"]) for r in b) if b is not None else [], np.int64).reshape(-1, 2)
                 by = np.random.default_rng([seed, zlib.crc32(str(i).encode())]).integers(0, max(dur, 1), reps)
-                rows.append((name, 0, int(_meets(x[:, 0], x[:, 1], y).sum())))
-                step = max(1, 1_000_000 // len(x))  # replicates side by side
+                n = sums.setdefault(name, np.zeros(reps + 1, np.int64))
+                n[0] += _meets(x[:, 0], x[:, 1], y).sum()
+                step = max(1, 100_000 // len(x))  # replicates side by side
                 for k in range(0, reps, step):
                     at = (x[None, :, 0] + by[k : k + step, None]) % max(dur, 1)
                     end = at + (x[:, 1] - x[:, 0])[None, :]
                     hit = _meets(at.ravel(), end.ravel(), y) | (_meets(np.zeros(at.size, np.int64), (end - dur).ravel(), y) & (end > dur).ravel())
-                    rows += [(name, k + q + 1, int(n)) for q, n in enumerate(hit.reshape(at.shape).sum(1))]
-            yield pd.DataFrame(rows, columns=["seed", "rep", "n"])
+                    n[k + 1 : k + 1 + len(at)] += hit.reshape(at.shape).sum(1)
+        for name, n in sums.items():
+            yield pd.DataFrame({"seed": name, "rep": np.arange(reps + 1, dtype=np.int32), "n": n})
 
     dealt = j.repartition(max(1, int(s.spark.conf.get("spark.sql.shuffle.partitions"))), "id")
     grid = dealt.mapInPandas(run, "seed string, rep int, n long").groupBy("seed", "rep").agg(F.sum("n").alias("n"))
