@@ -37,7 +37,8 @@ NATIVE = {
     "REVERSE": lambda c: lambda v: F.reverse(v),
     "LOG": lambda c: lambda v: F.transform(v, lambda x: F.signum(x) * F.log1p(F.abs(x))) if c.has("signed") else F.transform(v, lambda x: F.log(x + c.num("offset", c.num("eps", 0.0)))),
     "CLIP": lambda c: lambda v: F.transform(v, lambda x: F.greatest(F.lit(c.num("lwr", -1e300)), F.least(F.lit(c.num("upr", 1e300)), x))),
-    "1FNORM": lambda c: lambda v: F.transform(v, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x - F.element_at(v, i))),
+    # no lambda names v: Spark may put there what v is made of, and make it anew for each sample
+    "1FNORM": lambda c: lambda v: F.when(F.size(v) > 0, F.concat(F.array(F.lit(0.0)), F.zip_with(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda x, y: x - y))).otherwise(v),
 }
 
 
