@@ -40,11 +40,24 @@ def robust_sd(x: Column) -> Column:
 
 
 def trunc_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """Percentile without interpolation: the value at 0-based rank trunc(n p), the last at p = 1."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    """Percentile without interpolation: the value at 0-based rank trunc(n p), the last at p = 1.
+
+    No group is ordered in one task: values are counted in narrow parts of the line,
+    and of the part that holds the rank the distinct values are.
+    """
+    x = F.col(value).cast("double")
+    # parts a thousandth apart in log1p(|x|), which never falls as |x| grows; NaN is above all others
+    part = F.when(F.isnan(x), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * 1000).cast("long"))
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), part.alias("_b"))
+    w = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    b = d.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumns({"_to": F.sum("_c").over(w("_b")), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
     at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) + 1
-    return ranked.where(F.col("_r") == at).select(*keys, F.col(value).alias("pctl"))
+    b = b.where((at <= F.col("_to")) & (at > F.col("_to") - F.col("_c"))).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_b").alias("_part"), (at - F.col("_to") + F.col("_c")).alias("_at"))
+    same = F.col("_b") == F.col("_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    v = d.join(b, same).groupBy(*keys, "_v", "_at").agg(F.count("*").alias("_c")).withColumn("_to", F.sum("_c").over(w("_v")))
+    return v.where((F.col("_at") <= F.col("_to")) & (F.col("_at") > F.col("_to") - F.col("_c"))).select(*keys, F.col("_v").alias("pctl"))
 
 
 def winsorized(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
