@@ -91,11 +91,11 @@ def islands(df: DataFrame, keys: list[str], join_neighbours: bool = True, gap_ns
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: list[str], width_ns: int = HOUR) -> DataFrame:
-    """Intersection of two interval sets, each flattened first."""
+    """Intersection of two interval sets, each flattened first; a point strictly inside the other set's interval stays one."""
     x = islands(a, keys).drop("n")
     y = islands(b, keys).select(*keys, F.col("start_ns").alias("r_start"), F.col("stop_ns").alias("r_stop"))
-    both = range_join(x, y, keys, width_ns)
-    return both.select(*keys, F.greatest("start_ns", "r_start").alias("start_ns"), F.least("stop_ns", "r_stop").alias("stop_ns")).where("start_ns < stop_ns")
+    both = range_join(x, y, keys, width_ns, predicate=lambda a, b, c, d: (a < d) & (b > c))
+    return both.select(*keys, F.greatest("start_ns", "r_start").alias("start_ns"), F.least("stop_ns", "r_stop").alias("stop_ns"))
 
 
 def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -114,6 +114,29 @@ def test_histogram_parts_are_as_in_sql():
     assert dsp.bins(np.full(3, 4.0), 100).tolist() == [50] * 3
 
 
+def test_direct_spectra_are_the_spectra():
+    x = np.random.default_rng(1).normal(size=100)
+    (f, p), (g, q) = dsp.direct_spectra(x, 24.0, 1, 0.5), dsp.spectra(x, 24.0, 1, 0.5, "hann")
+    assert f == pytest.approx(g) and p == pytest.approx(q, rel=1e-9, abs=1e-15)
+
+
+def test_direct_spectra_are_summed_in_order():
+    # of the first bin, sample by sample and without numpy
+    x = np.random.default_rng(4).normal(size=24)
+    w = [0.5 - 0.5 * math.cos(2 * math.pi * j / 23.0) for j in range(24)]
+    re = im = ww = 0.0
+    for j in range(24):
+        re, im, ww = re + x[j] * w[j] * math.cos(2 * math.pi * 1 * j / 24.0), im + x[j] * w[j] * math.sin(2 * math.pi * 1 * j / 24.0), ww + w[j] * w[j]
+    assert dsp.direct_spectra(x, 24.0, 1, 0.5)[1][0, 1] == (re * re + im * im) * 2 / (24.0 * ww)
+
+
+def test_points_within_the_other_set_are_kept(spark):
+    a = spark.createDataFrame([(1, 5, 5), (1, 20, 30), (1, 50, 50), (1, 60, 60)], "id long, start_ns long, stop_ns long")
+    b = spark.createDataFrame([(1, 0, 10), (1, 25, 25), (1, 28, 40), (1, 50, 55), (1, 60, 60)], "id long, start_ns long, stop_ns long")
+    # not those at a start, nor two points
+    assert sorted(r[1:] for r in iv.intersection(a, b, ["id"]).collect()) == [(5, 5), (25, 25), (28, 30)]
+
+
 # ---- traces ---------------------------------------------------------------
 
 
