@@ -932,8 +932,9 @@ def arousals(s: Session, c: Command) -> Session:
     """Sliding features: log power of bands over 1 s every 0.5 s, per channel."""
 
     def one(x, sr):
-        f, p = dsp.spectra(x, sr, 1, 0.5, "hann")
-        return [{"T": i * 0.5, **{b: float(np.log(q[(f >= lo) & (f < hi)].sum() + 1e-12)) for b, (lo, hi) in (("ALPHA", (8, 12)), ("BETA", (15, 30)), ("SIGMA", (12, 15)))}} for i, q in enumerate(p)]
+        # a second of up to 128 samples directly, as short convolutions are
+        f, p = dsp.direct_spectra(x, sr, 1, 0.5) if sr <= dsp.DIRECT else dsp.spectra(x, sr, 1, 0.5, "hann")
+        return [{"T": i * 0.5, **{b: math.log(sum(q[(f >= lo) & (f < hi)].tolist()) + 1e-12) for b, (lo, hi) in (("ALPHA", (8, 12)), ("BETA", (15, 30)), ("SIGMA", (12, 15)))}} for i, q in enumerate(p)]
 
     return s.emit("AROUSALS", s.rows(c, one, "T double, ALPHA double, BETA double, SIGMA double"), "CH", "T")
 
