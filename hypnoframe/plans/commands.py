@@ -16,7 +16,7 @@ from hypnoframe.operators import epochs as ep
 from hypnoframe.operators import hypno
 from hypnoframe.operators import intervals as iv
 from hypnoframe.plans.script import Command, ScriptError
-from hypnoframe.plans.session import NS, Session, command
+from hypnoframe.plans.session import NS, SAMPLES, Session, command
 
 # ---- session, sinks, tables ----------------------------------------------
 
@@ -346,20 +346,18 @@ def summary_channels(s: Session, c: Command) -> Session:
     def run(parts):
         for p in parts:
             rows = []
-            for i, ch, sr, v, g, hj in p[["id", "ch", "sr", "v", "grid", "hj"]].itertuples(index=False):
+            for i, ch, sr, v, g, step, hj in p[["id", "ch", "sr", "v", "grid", "step", "hj"]].itertuples(index=False):
                 x = np.asarray(v, float)
                 cuts = [q for q in (x[round(q["start_ns"] * sr / NS) : round(q["stop_ns"] * sr / NS)] for q in g) if len(q)]
                 # epochs of one length side by side
                 m = [np.array(cuts)] if len({len(q) for q in cuts}) == 1 else [q[None] for q in cuts]
                 if cuts:
                     got = [dsp.hjorths(q) if hj else (q.mean(1), q.min(1), q.max(1)) for q in m]
-                    rows += [(i, f"{k}_{ch}", np.concatenate(z)) for k, z in zip(("H1", "H2", "H3") if hj else "MLU", zip(*got, strict=True), strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "ch", "v"])
+                    rows += [(i, f"{k}_{ch}", NS / step, "", np.concatenate(z)) for k, z in zip(("H1", "H2", "H3") if hj else "MLU", zip(*got, strict=True), strict=True)]
+            yield pd.DataFrame(rows, columns=["id", "ch", "sr", "unit", "v"])
 
     d = s.gridded(s.channels(c)).withColumn("hj", channel_type(F.col("ch")).isin("EEG", "EOG", "EMG", "ECG"))
-    step = s.epochs.groupBy("id").agg(F.min(F.col("stop_ns") - F.col("start_ns")).alias("step"))
-    traces = s.dealt(d.mapInPandas(run, "id string, ch string, v array<double>")).join(step.hint("shuffle_hash"), "id")
-    traces = traces.select("id", "ch", (F.lit(float(NS)) / F.col("step")).alias("sr"), F.lit("").alias("unit"), "v")
+    traces = d.mapInPandas(run, SAMPLES)
     if c.has("sedf-dir"):
         traces.write.mode("overwrite").partitionBy("id").parquet(c.get("sedf-dir"))
     return s.emit("SEDF", traces, "CH")
